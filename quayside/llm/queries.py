@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash
+from . import line_dedup, minhash, sharding
 from .common import documents
 
 
@@ -14,6 +15,16 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), shingle=3, percent=85)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(documents(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shard_bytes(documents(spark, sf_dir), shards=40)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 #: DuckDB: lower-cased words of whole texts.
 WORDS = """translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"""
 
@@ -33,10 +44,25 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.co
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1) c USING (doc_id)
 """
 
+OP3_SQL = r"""
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text <> ''),
+w AS (
+  SELECT doc_id, pos, least(len(ls), 3) AS width, array_to_string(ls[pos + 1 : pos + least(len(ls), 3)], chr(10)) AS win
+  FROM (SELECT doc_id, ls, unnest(range(0, len(ls) - least(len(ls), 3) + 1)) AS pos FROM l)),
+f AS (SELECT *, row_number() OVER (PARTITION BY win, width ORDER BY doc_id, pos) AS rn FROM w),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + width)) AS line FROM f WHERE rn > 1),
+kept AS (
+  SELECT doc_id, string_agg(line_text, chr(10) ORDER BY line) AS text, count(*) AS n
+  FROM (SELECT doc_id, unnest(ls) AS line_text, unnest(range(0, len(ls))) AS line FROM l) ANTI JOIN gone USING (doc_id, line) GROUP BY 1)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END AS n_lines,
+  coalesce(g.n, 0) AS n_removed, CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(k.text, '')) END AS kept_sha256
+FROM documents d LEFT JOIN kept k USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1) g USING (doc_id)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash}
+    return {"op1_minhash": op1_minhash, "op3_line_dedup": op3_line_dedup, "op6_sharding": op6_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": OP1_SQL}
+    return {"op1_minhash": OP1_SQL, "op3_line_dedup": OP3_SQL}
