@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, minhash, sharding
+from . import decontaminate, line_dedup, minhash, sharding
 from .common import documents
 
 
@@ -25,6 +25,12 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    hits = F.expr("aggregate(spans, 0L, (n, s) -> n + s.stop - s.start)")
+    return out.select("doc_id", "n_words", hits.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hits > 0).alias("contaminated"))
+
+
 #: DuckDB: lower-cased words of whole texts.
 WORDS = """translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"""
 
@@ -59,10 +65,30 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, c
 FROM documents d LEFT JOIN kept k USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1) g USING (doc_id)
 """
 
+OP7_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex({WORDS}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
+b AS (
+  SELECT item_id, list_filter(string_split_regex({WORDS}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM benchmark),
+bw AS (
+  SELECT DISTINCT item_id, least(10, len(ws)) AS width, array_to_string(ws[i : i + least(10, len(ws)) - 1], ' ') AS win
+  FROM (SELECT item_id, ws, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0)),
+widths AS (SELECT DISTINCT width FROM bw),
+dw AS (
+  SELECT doc_id, i, width, array_to_string(ws[i : i + width - 1], ' ') AS win
+  FROM (SELECT doc_id, ws, width, unnest(range(1, len(ws) - width + 2)) AS i FROM d, widths WHERE len(ws) >= width)),
+hit AS (SELECT doc_id, i, width, item_id FROM dw JOIN bw USING (width, win)),
+n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + width)) AS p FROM hit) GROUP BY 1),
+it AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS items FROM hit GROUP BY 1)
+SELECT d.doc_id, coalesce(len(ws), 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0) AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op3_line_dedup": op3_line_dedup, "op6_sharding": op6_sharding}
+    return {"op1_minhash": op1_minhash, "op3_line_dedup": op3_line_dedup, "op6_sharding": op6_sharding, "op7_decontaminate": op7_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": OP1_SQL, "op3_line_dedup": OP3_SQL}
+    return {"op1_minhash": OP1_SQL, "op3_line_dedup": OP3_SQL, "op7_decontaminate": OP7_SQL}
