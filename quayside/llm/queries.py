@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, minhash, sharding
+from . import bpe, decontaminate, line_dedup, minhash, sharding
 from .common import documents
 
 
@@ -31,6 +31,14 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", hits.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hits > 0).alias("contaminated"))
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    out = bpe.decode(bpe.encode(documents(spark, sf_dir), path), path)
+    return out.select("doc_id", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 #: DuckDB: lower-cased words of whole texts.
 WORDS = """translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"""
 
@@ -87,7 +95,7 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op3_line_dedup": op3_line_dedup, "op6_sharding": op6_sharding, "op7_decontaminate": op7_decontaminate}
+    return {"op1_minhash": op1_minhash, "op3_line_dedup": op3_line_dedup, "op6_sharding": op6_sharding, "op7_decontaminate": op7_decontaminate, "op9_bpe": op9_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
