@@ -7,14 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, minhash, sharding
-from .common import documents
+from . import bpe, decontaminate, hmm_lm, line_dedup, minhash, sharding
+from .common import crc_part, documents
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), shingle=3, percent=85)
 
 
+def op2_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = hmm_lm.score(documents(spark, sf_dir), crc_part(F.col("doc_id"), 7) != 2)
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(documents(spark, sf_dir))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -95,7 +100,7 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op3_line_dedup": op3_line_dedup, "op6_sharding": op6_sharding, "op7_decontaminate": op7_decontaminate, "op9_bpe": op9_bpe}
+    return {"op1_minhash": op1_minhash, "op2_hmm_lm": op2_hmm_lm, "op3_line_dedup": op3_line_dedup, "op6_sharding": op6_sharding, "op7_decontaminate": op7_decontaminate, "op9_bpe": op9_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
