@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hmm_lm, line_dedup, minhash, sharding
+from . import bpe, decontaminate, hmm_lm, language_id, line_dedup, minhash, quality, sharding
 from .common import crc_part, documents
 
 
@@ -25,6 +25,19 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = crc_part(F.col("doc_id"), 5)
+    out = language_id.identify(documents(spark, sf_dir), part != 0)
+    return out.select("doc_id", F.coalesce(part == 0, F.lit(True)).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = crc_part(F.col("doc_id"), 5)
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), part != 0)
+    return quality.rank(docs, model).select("doc_id", F.coalesce(part == 0, F.lit(True)).alias("held_out"), "score", "predicted")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_bytes(documents(spark, sf_dir), shards=40)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -100,7 +113,7 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op2_hmm_lm": op2_hmm_lm, "op3_line_dedup": op3_line_dedup, "op6_sharding": op6_sharding, "op7_decontaminate": op7_decontaminate, "op9_bpe": op9_bpe}
+    return {"op1_minhash": op1_minhash, "op2_hmm_lm": op2_hmm_lm, "op3_line_dedup": op3_line_dedup, "op4_language_id": op4_language_id, "op5_quality": op5_quality, "op6_sharding": op6_sharding, "op7_decontaminate": op7_decontaminate, "op9_bpe": op9_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
