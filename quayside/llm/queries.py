@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hmm_lm, language_id, line_dedup, minhash, quality, sharding
+from . import bpe, decontaminate, hmm_lm, language_id, line_dedup, minhash, quality, sharding, url_filter, vectors
 from .common import crc_part, documents
 
 
@@ -49,6 +49,22 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", hits.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hits > 0).alias("contaminated"))
 
 
+def page_labels(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """(page_id, good) for pages whose url ends in the number of a labelled document; the majority of a document's labels counts, a tie for nothing."""
+    number = F.expr(r"try_cast(regexp_extract(url, '(?s)^.*?://[^/?#]*/(?:[^?#]*/)?([0-9]+)[^/?#]*/?(?:[?#].*)?$', 1) as bigint)")
+    votes = labels.filter("quality in (0, 1)").groupBy("doc_id").agg(F.avg("quality").alias("vote")).filter("vote <> 0.5")
+    return pages.select("page_id", number.alias("doc_id")).filter("doc_id is not null").join(votes, "doc_id").select("page_id", (F.col("vote") > 0.5).alias("good"))
+
+
+RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    labels = page_labels(pages, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return url_filter.judge(pages, labels, RULES).select("page_id", "host", "path", "rule", "verdict", "template")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -57,6 +73,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), least=0.95)
+
+
 #: DuckDB: lower-cased words of whole texts.
 WORDS = """translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"""
 
@@ -112,9 +132,73 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
 
+def _op8_sql() -> str:
+    u = url_filter
+    host = f"translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{u.UPPER}', '{u.LOWER}')"
+    fits = [(v, r, *r.partition("/")) for v, r in sorted(RULES, key=lambda r: (-len(r[1]), r[1]))]
+    when = lambda what: "CASE " + " ".join(f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{s}{p}') THEN '{r if what else v}'" for v, r, h, s, p in fits) + " END"
+    levels, last = [], "t0"
+    for d in range(u.DEPTH + 1):
+        levels.append(f"""
+c{d} AS (SELECT host, template, segs[{d + 1}] AS seg, sum(n) AS n, sum(labelled) AS labelled, sum(good) AS good FROM {last} GROUP BY ALL),
+k{d} AS (
+  SELECT *, count(*) OVER w AS branches, sum(n) OVER w AS all_n, sum(labelled) OVER w AS all_labelled, sum(good) OVER w AS all_good
+  FROM c{d} WINDOW w AS (PARTITION BY host, template)),
+w{d} AS (SELECT *, CASE WHEN branches > {u.BRANCH} AND n < {u.SHARE} * all_n AND seg <> '' THEN '*' ELSE seg END AS wide FROM k{d}),
+p{d} AS (
+  SELECT *, sum(labelled) OVER v AS ol, sum(good) OVER v AS og, all_good / greatest(all_labelled, 1)::DOUBLE AS p
+  FROM w{d} WINDOW v AS (PARTITION BY host, template, wide)),
+s{d} AS (
+  SELECT host, template, seg, CASE WHEN wide = '' OR (abs(og - ol * p) >= {u.SIMILAR} * sqrt(ol * p * (1 - p)) AND ol > 0 AND p > 0 AND p < 1) THEN wide ELSE '+' END AS step FROM p{d}),
+t{d + 1} AS (
+  SELECT t.host, segs, n, labelled, good, CASE WHEN step = '' THEN t.template ELSE t.template || '/' || step END AS template
+  FROM {last} t JOIN s{d} s ON s.host = t.host AND s.template = t.template AND s.seg = t.segs[{d + 1}])""")
+        last = f"t{d + 1}"
+    return rf"""
+WITH u AS (SELECT page_id, url, {host} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+parts AS (SELECT *, list_filter(string_split(regexp_replace(path, '[0-9]+', '*', 'g'), '/'), lambda s: s <> '') AS ps FROM u),
+seen AS (
+  SELECT page_id, url, host, path, [{", ".join(f"coalesce(ps[{i}], '')" for i in range(1, u.DEPTH + 1))}, CASE WHEN len(ps) > {u.DEPTH} THEN '**' ELSE '' END] AS segs FROM parts),
+votes AS (SELECT doc_id, avg(quality) AS vote FROM labels WHERE quality IN (0, 1) GROUP BY 1 HAVING avg(quality) <> 0.5),
+marks AS (
+  SELECT page_id, count(*) AS labelled, sum((vote > 0.5)::INT) AS good
+  FROM (SELECT page_id, try_cast(regexp_extract(url, '(?s)^.*?://[^/?#]*/(?:[^?#]*/)?([0-9]+)[^/?#]*/?(?:[?#].*)?$', 1) AS BIGINT) AS doc_id FROM pages) JOIN votes USING (doc_id) GROUP BY 1),
+t0 AS (
+  SELECT host, segs, count(*) AS n, coalesce(sum(labelled), 0) AS labelled, coalesce(sum(good), 0) AS good, '' AS template
+  FROM seen LEFT JOIN marks USING (page_id) GROUP BY host, segs),
+{",".join(levels)},
+prior AS (SELECT coalesce(sum(good) / sum(labelled)::DOUBLE, 1.0) AS p FROM {last}),
+leaf AS (SELECT host, template, (sum(good) + {u.WEIGHT} * any_value(p)) / (sum(labelled) + {u.WEIGHT}) AS purity FROM {last}, prior GROUP BY 1, 2)
+SELECT page_id, host, path, {when(True)} AS rule, coalesce({when(False)}, CASE WHEN purity < {u.LEAST} THEN 'block' ELSE 'allow' END) AS verdict, template
+FROM seen JOIN {last} t USING (host, segs) JOIN leaf USING (host, template)
+"""
+
+
+OP8_SQL = _op8_sql()
+
+OP10_SQL = """
+WITH RECURSIVE v AS (
+  SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (
+  SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS norm FROM v
+  WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, link.b FROM reach r JOIN link ON link.a = r.b)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY 1) n USING (vec_id)
+JOIN (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY 1) c USING (vec_id)
+"""
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op2_hmm_lm": op2_hmm_lm, "op3_line_dedup": op3_line_dedup, "op4_language_id": op4_language_id, "op5_quality": op5_quality, "op6_sharding": op6_sharding, "op7_decontaminate": op7_decontaminate, "op9_bpe": op9_bpe}
+    return {"pipeline": pipeline, "op1_minhash": op1_minhash, "op2_hmm_lm": op2_hmm_lm, "op3_line_dedup": op3_line_dedup, "op4_language_id": op4_language_id, "op5_quality": op5_quality, "op6_sharding": op6_sharding, "op7_decontaminate": op7_decontaminate, "op8_url_filter": op8_url_filter, "op9_bpe": op9_bpe, "op10_vectors": op10_vectors}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": OP1_SQL, "op3_line_dedup": OP3_SQL, "op7_decontaminate": OP7_SQL}
+    return {"op1_minhash": OP1_SQL, "op3_line_dedup": OP3_SQL, "op7_decontaminate": OP7_SQL, "op8_url_filter": OP8_SQL, "op10_vectors": OP10_SQL}
