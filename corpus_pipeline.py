@@ -25,8 +25,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without later occurrences of repeated passages of three lines or more; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs.select(COLUMNS))
+    """All documents without later occurrences of repeated passages of three lines or more, as far as any line is left; n_chars follows the text."""
+    out = line_dedup.dedup_lines(docs.select(COLUMNS)).filter("n_removed = 0 or n_removed < n_lines")
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
 
 
