@@ -24,12 +24,13 @@ def with_ami(sit: DataFrame) -> DataFrame:
     return sit.withColumn("county_key", key).join(F.broadcast(median_income(sit.sparkSession)), "county_key", "left").drop("county_key")
 
 
-def pairs(sit: DataFrame, cat: DataFrame) -> DataFrame:
-    """All pairs of a situation and a programme with the verdicts that both decide: area_verdict, miles, income."""
+def pairs(sit: DataFrame, cat: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """All pairs of a situation and a programme with the verdicts that both decide: area_verdict, miles, income. only(sit_id, id, ...) restricts the pairs and adds its columns."""
     s = location_columns(with_ami(sit)) if "ami" not in sit.columns else location_columns(sit)
     at = area_table(s, prepare_catalogue(cat))
     own = s.drop("location", "has_location", "u_county", "u_city", "u_lat", "u_lng")
-    both = own.join(F.broadcast(at) if at.count() <= BROADCAST_ROWS else at, "place_key").drop("place_key")
+    at = F.broadcast(at) if at.count() <= BROADCAST_ROWS else at
+    both = (own.join(only, "sit_id").join(at, ["place_key", "id"]) if only is not None else own.join(at, "place_key")).drop("place_key")
     return both.withColumn("income", income_verdict(F.col("monthly_income"), F.col("household_size"), F.col("ami")))
 
 
