@@ -19,6 +19,8 @@ BASE, RATE, TOP = 1.001, 20.0, 65534
 ROWS, MISS = 4, 1e-6
 #: A candidate goes only if its registers are e^20 times likelier under a similarity below the threshold.
 EVIDENCE = 20.0
+#: Sets, and shingles in them, of a block; two blocks are compared in one task.
+BLOCK_SETS, BLOCK_SHINGLES = 512, 250_000
 
 
 def bands_for(threshold: float) -> int:
@@ -65,6 +67,13 @@ def sketches(docs: DataFrame, shingle: int, threshold: float) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, registers binary")
 
 
+def shingle_sets(texts: pa.Array, shingle: int) -> Iterator[np.ndarray]:
+    for i, j, buf, off in text_blocks(texts):
+        words, at, _, _ = hashed_words(buf, off)
+        for k in range(j - i):
+            yield np.unique(shingle_hashes(words[at[k] : at[k + 1]], shingle))
+
+
 def log_likelihood(j: np.ndarray, u: np.ndarray, more: np.ndarray, less: np.ndarray, same: np.ndarray) -> np.ndarray:
     """Joint log-likelihood of similarity j, given u (the first set's share of both sizes) and how many registers are larger, smaller and equal."""
     p = lambda x: -np.log1p(-np.clip(x, 0, 1) * (BASE - 1) / BASE) / math.log(BASE)
@@ -108,16 +117,10 @@ def verify(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Dat
     texts = docs.select("doc_id", "text").join(measured(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     rows = pairs.join(texts.toDF("a", "t1"), "a").join(texts.toDF("b", "t2"), "b").select("a", "b", "t1", "t2")
 
-    def sets(texts: pa.Array) -> Iterator[np.ndarray]:
-        for i, j, buf, off in text_blocks(texts):
-            words, at, _, _ = hashed_words(buf, off)
-            for k in range(j - i):
-                yield np.unique(shingle_hashes(words[at[k] : at[k + 1]], shingle))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for s, t in zip(sets(batch.column(2)), sets(batch.column(3)), strict=True):
+            for s, t in zip(shingle_sets(batch.column(2), shingle), shingle_sets(batch.column(3), shingle), strict=True):
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 keep.append(100 * both >= percent * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -125,6 +128,58 @@ def verify(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Dat
     return rows.mapInArrow(run, "a long, b long")
 
 
+def block_links(sets: list[np.ndarray], component: np.ndarray, percent: int) -> np.ndarray:
+    """For each set the smallest index that links between different components connect it to. Intersections come from products of 0/1 matrices, a slice of the shingles at a time."""
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets])
+    uniq, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), sizes)
+    column = np.cumsum(count > 1) - 1
+    keep = count[at] > 1  # a shingle of one set is in no intersection
+    owner, at = owner[keep], column[at[keep]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    both = np.zeros((n, n), np.float32)
+    for lo in range(0, int(at[-1]) + 1 if len(at) else 0, 4096):
+        a, b = np.searchsorted(at, (lo, lo + 4096))
+        m = np.zeros((n, 4096), np.float32)
+        m[owner[a:b], at[a:b] - lo] = 1
+        both += m @ m.T
+    both = both.astype(np.int64)
+    link = (100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)) & (component[:, None] != component[None, :])
+    link |= np.eye(n, dtype=bool)
+    label = np.arange(n)
+    while True:
+        new = np.where(link, label[None, :], n).min(axis=1)
+        if (new == label).all():
+            return label
+        label = new
+
+
+def settle(members: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect whatever is linked between different components within a cluster, for members(hub, rep, component, n_shingles).
+
+    A cluster is cut into blocks of bounded content, and each pair of blocks is compared in one task, which returns at most
+    a link for each of its members. So no pair is left out, and none is written out unless it joins something.
+    """
+    open_ = members.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum("n_shingles").alias("size")).filter("lo <> hi")
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_SETS, F.col("size") / BLOCK_SHINGLES)).cast("int")
+    own = members.join(open_.select("hub", blocks.alias("blocks")), "hub").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = own.select("hub", "rep", "component", "own", other).select("hub", "rep", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    ids = cut(own.select(F.col("rep").alias("doc_id")).distinct())
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(measured(ids.withColumnRenamed("doc_id", "rep")), "rep", "left_semi").dropDuplicates(["rep"])
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("rep")
+        rep = t["rep"].to_numpy()
+        label = block_links(list(shingle_sets(t["text"], shingle)), t["component"].to_numpy(), percent)
+        some = np.flatnonzero(label != np.arange(len(label)))
+        return pa.table({"a": rep[label[some]], "b": rep[some]})
+
+    return dealt.join(texts, "rep").groupBy("hub", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text, ...).
 
@@ -135,31 +190,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     folded into their smallest doc_id before anything is paired, so that copies cost nothing. A repeated row gets the same
     result again. Other columns are ignored. An empty table gives an empty table.
 
-    Candidates: within each band's bucket, every member is paired with the smallest one; what is verified is contracted to
-    components; then members of one bucket that are still in different components are paired, so that no candidate of the
-    bands is left out, while a group of near copies, however large, costs a pair a member instead of all pairs.
+    Candidates: within each band's bucket, every member is paired with the smallest one, its hub; pairs that the registers
+    leave plausible are verified on the full sets and contracted to components. Then the members of all buckets of one hub
+    are a cluster; where it still holds several components, these are compared in blocks (settle), so that no candidate of
+    the bands is left out, however large a group of near copies is.
     """
     threshold = percent / 100
     sk = cut(sketches(docs, shingle, threshold))
-    groups = sk.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
-    reps = cut(groups)
+    reps = cut(sk.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")))
     width = 2 * ROWS
     band = F.explode(F.sequence(F.lit(0), F.lit(bands_for(threshold) - 1)))
     bands = reps.select("rep", "registers", band.alias("i")).select("rep", F.xxhash64(F.expr(f"substring(registers, {width} * i + 1, {width})"), "i").alias("bucket"))
-    shared_buckets = bands.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    members = cut(bands.join(shared_buckets, "bucket").select("bucket", "rep", "hub", "n"))
-    stars = members.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    hubs = bands.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    members = cut(bands.join(hubs, "bucket").groupBy("hub", "rep").agg(F.max("n").alias("n")))
+    stars = members.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
     links = cut(verify(cut(estimate(stars, reps, threshold)), docs, shingle, percent))
     found = components(links)
 
-    # buckets whose members ended in different components; a bucket of two was settled by its star
-    at = members.filter("n > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "hub", F.coalesce("component", "rep").alias("component"))
-    split = at.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
-    open_ = cut(at.join(split, "bucket").filter("rep <> hub"))
-    left, right = open_.select("bucket", F.col("rep").alias("a"), F.col("component").alias("ca")), open_.select("bucket", F.col("rep").alias("b"), F.col("component").alias("cb"))
-    rest = left.join(right, "bucket").filter("a < b and ca <> cb").select("a", "b").distinct()
-    if rest.limit(1).count():
-        more = cut(verify(cut(estimate(rest, reps, threshold)), docs, shingle, percent))
+    # a bucket of two was settled by its star
+    wide = members.groupBy("hub").agg(F.max("n").alias("most")).filter("most > 2").select("hub")
+    rest = members.join(wide, "hub").join(found.withColumnRenamed("node", "rep"), "rep", "left").join(reps.select("rep", "n_shingles"), "rep")
+    more = cut(settle(cut(rest.select("hub", "rep", F.coalesce("component", "rep").alias("component"), "n_shingles")), docs, shingle, percent))
+    if more.limit(1).count():
         found = components(links.unionByName(more))
 
     of = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
