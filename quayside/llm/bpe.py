@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK, SPACE, cut, span_hashes, text_blocks
+from .common import BLOCK, SPACE, HashIndex, span_hashes, stash, text_blocks
 
 #: The most words, and bytes of them, that are broadcast with their ids. All others reach their documents through a shuffled join.
 COMMON_WORDS, COMMON_BYTES = 1 << 20, 1 << 25
@@ -76,38 +76,49 @@ def count_words(docs: DataFrame) -> DataFrame:
     """(word, n) of words seen twice or more within a task, for the choice of common words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, int] = {}
-        words: list[bytes] = []
-        counts = np.zeros(0, np.int64)
+        keys, counts, at = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        words: list[bytes] = []  # keys, in order, have their words at `at`
+        held: list[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def flush() -> None:
+            nonlocal keys, counts, at, words
+            base = np.cumsum([0, *(len(x[0]) for x in held)])
+            raw, h = b"".join(x[0] for x in held), np.concatenate([x[3] for x in held])
+            starts, ends = (np.concatenate([x[k] + b for x, b in zip(held, base, strict=False)]) for k in (1, 2))
+            uniq, first, n = np.unique(h, return_index=True, return_counts=True)
+            pos = np.minimum(np.searchsorted(keys, uniq), max(0, len(keys) - 1))
+            old = keys[pos] == uniq if len(keys) else np.zeros(len(uniq), bool)
+            counts[pos[old]] += n[old]
+            new = ~old
+            fresh = [raw[s:e] for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
+            keys, counts, at = np.concatenate([keys, uniq[new]]), np.concatenate([counts, n[new]]), np.concatenate([at, np.arange(len(words), len(words) + len(fresh))])
+            words += fresh
+            order = np.argsort(keys, kind="stable")
+            if len(words) > COUNTED:
+                order = order[counts[order] > 1]
+            keys, counts, at = keys[order], counts[order], at[order]
+            if len(words) > COUNTED:
+                words, at = [words[k] for k in at.tolist()], np.arange(len(at))
+            held.clear()
+
         for batch in batches:
             for _, _, buf, starts, ends, h, _ in blocks_of_words(batch.column(0)):
-                uniq, first, n = np.unique(h, return_index=True, return_counts=True)
-                raw = buf.tobytes()
-                at = []
-                for x, s, e in zip(uniq.tolist(), starts[first].tolist(), ends[first].tolist(), strict=True):
-                    k = seen.setdefault(x, len(words))
-                    if k == len(words):
-                        words.append(raw[s:e])
-                    at.append(k)
-                if len(words) > len(counts):
-                    counts = np.concatenate([counts, np.zeros(max(len(words) - len(counts), len(counts)), np.int64)])
-                counts[at] += n
-                if len(words) > COUNTED:
-                    keep = np.flatnonzero(counts[: len(words)] > 1)
-                    new = {int(k): i for i, k in enumerate(keep)}
-                    seen = {x: new[k] for x, k in seen.items() if k in new}
-                    words, counts = [words[k] for k in keep], counts[keep]
-        some = np.flatnonzero(counts[: len(words)] > 1)
+                held.append((buf.tobytes(), starts, ends, h))
+                if sum(len(x[0]) for x in held) > 16 * BLOCK:
+                    flush()
+        if held:
+            flush()
+        some = np.flatnonzero(counts > 1)
         for i in range(0, len(some), 1 << 16):
             part = some[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array([words[k].decode() for k in part.tolist()], pa.string()), pa.array(counts[part])], ["word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([words[k].decode() for k in at[part].tolist()], pa.string()), pa.array(counts[part])], ["word", "n"])
 
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def common_words(docs: DataFrame, path: str) -> DataFrame:
-    """(word, ids) of the most frequent words: as many as COMMON_WORDS and COMMON_BYTES allow, whole classes of like frequency."""
-    counted = cut(count_words(docs))
+    """(word, n, ids) of the most frequent words: as many as COMMON_WORDS and COMMON_BYTES allow, whole classes of like frequency."""
+    counted = stash(count_words(docs))
     level = F.floor(F.log2("n") * 8).cast("int")
     rows, size, least = 0, 0, 1 << 30
     for lv, n, b in sorted(map(tuple, counted.groupBy(level).agg(F.count("*"), F.sum(F.octet_length("word"))).collect()), reverse=True):
@@ -115,12 +126,11 @@ def common_words(docs: DataFrame, path: str) -> DataFrame:
         if rows > COMMON_WORDS or size > COMMON_BYTES:
             break
         least = lv
-    return encoded(counted.filter(level >= least).select("word"), path)
+    return encoded(counted.filter(level >= least), path)
 
 
 def encoded(words: DataFrame, path: str) -> DataFrame:
-    """(word, ids as little-endian unsigned 32-bit integers, other columns) for rows that stand in the order of word: each distinct word is encoded once."""
-    rest = [c for c in words.columns if c != "word"]
+    """words with ids, little-endian unsigned 32-bit integers; rows of equal words that stand together are encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, ids = None, b""
@@ -135,57 +145,48 @@ def encoded(words: DataFrame, path: str) -> DataFrame:
             if batch.num_rows:
                 last = names[coded.indices[-1].as_py()]
                 ids = table[last]
-            yield pa.RecordBatch.from_arrays([own, *(batch.column(batch.schema.get_field_index(c)) for c in rest)], ["ids", *rest])
+            yield pa.RecordBatch.from_arrays([*batch.columns, own], [*batch.schema.names, "ids"])
 
-    kinds = dict(words.dtypes)
-    if not rest:
-        words = words.withColumn("of", F.col("word"))
-        rest, kinds = ["of"], {"of": "string"}
-    out = words.mapInArrow(run, ", ".join(["ids binary", *(f"`{c}` {kinds[c]}" for c in rest)]))
-    return out.withColumnRenamed("of", "word") if rest == ["of"] else out
+    return words.mapInArrow(run, ", ".join([*(f"`{c}` {kind}" for c, kind in words.dtypes), "ids binary"]))
 
 
 class Table:
-    """Ids of the common words by hash, flat."""
+    """Ids of the common words, flat, in the order given: the most frequent first, so that places are small numbers."""
 
     def __init__(self, words: list[str], ids: list[bytes]):
         data = [w.encode() for w in words]
         ends = np.cumsum([len(w) for w in data])
-        h = np.concatenate([span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]), cased=True) for w in data]) if len(data) < 64 else _hash_all(data, ends)
-        order = np.argsort(h)
-        self.hashes = h[order]
-        self.sizes = np.array([len(x) // 4 for x in ids], np.int64)[order]
-        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])[:-1]
-        self.ids = np.frombuffer(b"".join(ids[k] for k in order.tolist()), "<u4")
+        parts = [np.zeros(0, np.uint64)]
+        for i in range(0, len(data), 1 << 14):
+            own = ends[i : i + (1 << 14)] - (ends[i - 1] if i else 0)
+            buf = np.frombuffer(b"".join(data[i : i + (1 << 14)]), np.uint8)
+            parts.append(span_hashes(buf, np.concatenate([[0], own[:-1]]), own, cased=True))
+        h = np.concatenate(parts)
+        self.order = np.argsort(h).astype(np.int32)
+        self.index = HashIndex(h[self.order])
+        self.sizes = np.array([len(x) // 4 for x in ids], np.int32)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes, dtype=np.int64)])[:-1]
+        self.ids = np.frombuffer(b"".join(ids), "<u4")
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """1 + the place of each hash, 0 if it isn't there."""
-        if not len(self.hashes):
-            return np.zeros(len(h), np.uint32)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, at + 1, 0).astype(np.uint32)
-
-
-def _hash_all(data: list[bytes], ends: np.ndarray) -> np.ndarray:
-    parts = []
-    for i in range(0, len(data), 1 << 14):
-        own = ends[i : i + (1 << 14)] - (ends[i - 1] if i else 0)
-        buf = np.frombuffer(b"".join(data[i : i + (1 << 14)]), np.uint8)
-        parts.append(span_hashes(buf, np.concatenate([[0], own[:-1]]), own, cased=True))
-    return np.concatenate(parts)
+        """1 + the place of each hash's word, 0 if it isn't there."""
+        at = self.index.find(h)
+        out = np.zeros(len(h), np.uint32)
+        out[at >= 0] = self.order[at[at >= 0]] + 1
+        return out
 
 
 def pack(places: np.ndarray) -> bytes:
-    """Places as three planes of bytes, compressed."""
-    planes = np.stack([places & 0xFF, places >> 8 & 0xFF, places >> 16]).astype(np.uint8)
-    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(places) else b""
+    """Places as their lowest bytes, which hardly shrink, and the two planes above, compressed."""
+    high = np.stack([places >> 8 & 0xFF, places >> 16]).astype(np.uint8)
+    return (places & 0xFF).astype(np.uint8).tobytes() + pa.compress(high.tobytes(), codec="zstd", asbytes=True) if len(places) else b""
 
 
 def unpack(data: bytes, n: int) -> np.ndarray:
     if not n:
         return np.zeros(0, np.uint32)
-    p = np.frombuffer(pa.decompress(data, decompressed_size=3 * n, codec="zstd"), np.uint8).reshape(3, n).astype(np.uint32)
-    return p[0] | p[1] << 8 | p[2] << 16
+    p = np.frombuffer(pa.decompress(data[n:], decompressed_size=2 * n, codec="zstd"), np.uint8).reshape(2, n).astype(np.uint32)
+    return np.frombuffer(data, np.uint8, n) | p[0] << 8 | p[1] << 16
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -206,62 +207,59 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     Null and empty texts have no ids. Repeated rows are kept, each with its ids. Other columns are ignored. An empty table
     gives an empty table.
     """
-    table = cut(common_words(docs, path)).toArrow()
+    table = common_words(docs, path).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
     common = docs.sparkSession.sparkContext.broadcast(Table(table["word"].to_pylist(), table["ids"].to_pylist()))
     del table
-    keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text")
+    # a repeated doc_id may come with another text: `tag` tells them apart
+    keyed = docs.select(F.col("doc_id").cast("long"), F.hash("text").alias("tag"), "text").withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
 
     def other_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            tags = batch.column(1).to_numpy().astype(np.int64) << 32
             for i, _, buf, starts, ends, h, at in blocks_of_words(batch.column(2)):
                 miss = np.flatnonzero(common.value.find(h) == 0)
                 row = np.searchsorted(at, miss, side="right") - 1
                 raw = buf.tobytes()
                 words = pa.array([raw[s:e].decode() for s, e in zip(starts[miss].tolist(), ends[miss].tolist(), strict=True)], pa.string())
-                take = pa.array(row + i)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(miss - at[row], pa.int32()), words], ["doc_id", "h", "pos", "word"])
+                yield pa.RecordBatch.from_arrays([batch.column(3).take(pa.array(row + i)), pa.array(tags[row + i] | (miss - at[row])), words], ["key", "at", "word"])
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, _, _, _, h, at in blocks_of_words(batch.column(2)):
                 p = common.value.find(h)
                 coded = [pack(p[at[k] : at[k + 1]]) for k in range(j - i)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(at), pa.int32()), pa.array(coded, pa.binary())], ["doc_id", "h", "n_words", "places"])
-
-    others = keyed.mapInArrow(other_words, "doc_id long, h long, pos int, word string").repartition("word").sortWithinPartitions("word")
-    fills = encoded(others, path).groupBy("doc_id", "h").agg(F.collect_list(F.struct("pos", "ids")).alias("fills"))
-    coded = keyed.mapInArrow(places, "doc_id long, h long, n_words int, places binary")
-    rows = coded.join(fills.withColumnRenamed("doc_id", "_d"), F.col("doc_id").eqNullSafe(F.col("_d")) & (coded["h"] == fills["h"]), "left").select("doc_id", "n_words", "places", F.col("fills.pos").alias("pos"), F.col("fills.ids").alias("ids"))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in (0, 1, 3)), pa.array(np.diff(at), pa.int32()), pa.array(coded, pa.binary())], ["doc_id", "tag", "key", "n_words", "places"])
+
+    others = keyed.mapInArrow(other_words, "key long, at long, word string").repartition("word").sortWithinPartitions("word")
+    fills = encoded(others, path).select("key", "at", "ids").repartition("key").groupBy("key").agg(F.collect_list("at").alias("at"), F.collect_list("ids").alias("ids"))
+    coded = keyed.mapInArrow(places, "doc_id long, tag int, key long, n_words int, places binary")
+    rows = coded.join(fills, "key", "left").select("doc_id", "tag", "n_words", "places", "at", "ids")
+
+    def whole(t: Table, tag: int, n: int, packed: bytes, at: pa.ListScalar, own: pa.ListScalar) -> bytes:
+        """The ids of one text: those of common words by place, the others by position."""
+        p = unpack(packed, n).astype(np.int64) - 1
+        lost = p < 0
+        if not lost.any():
+            return gather(t.ids, t.starts[p], t.sizes[p]).tobytes()
+        where, data = at.values.to_numpy(), own.values.to_pylist()
+        mine = np.flatnonzero(where >> 32 == tag)
+        pos = where[mine] & 0xFFFFFFFF
+        sizes, start = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        some = [data[k] for k in mine.tolist()]
+        more = np.array([len(x) // 4 for x in some])
+        sizes[pos], start[pos] = more, np.cumsum(more) - more
+        low, fill = gather(t.ids, t.starts[p[~lost]], t.sizes[p[~lost]]), gather(np.frombuffer(b"".join(some), "<u4"), start[lost], sizes[lost])
+        sizes[~lost] = t.sizes[p[~lost]]
+        out, filled = np.zeros(sizes.sum(), "<u4"), np.repeat(lost, sizes)
+        out[~filled], out[filled] = low, fill
+        return out.tobytes()
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = common.value
         for batch in batches:
-            out, ids = [], []
-            for n, packed, pos, own in zip(*(batch.column(k).to_pylist() for k in (1, 2)), batch.column(3), batch.column(4), strict=True):
-                p = unpack(packed, n).astype(np.int64) - 1
-                starts, sizes, flat = t.starts[p], t.sizes[p], t.ids
-                if pos.is_valid and len(pos):
-                    at, data = pos.values.to_numpy(), own.values.to_pylist()
-                    more = np.array([len(x) // 4 for x in data])
-                    sizes[at], starts[at] = more, len(t.ids) + np.cumsum(more) - more
-                    low = gather(t.ids, np.where(p >= 0, starts, 0), np.where(p >= 0, sizes, 0))
-                    whole = np.zeros(sizes.sum(), "<u4")
-                    mine = np.repeat(p < 0, sizes)
-                    whole[~mine] = low
-                    whole[mine] = gather(np.frombuffer(b"".join(data), "<u4"), starts[p < 0] - len(t.ids), sizes[p < 0])
-                else:
-                    whole = gather(flat, starts, sizes)
-                ids.append(whole.tobytes())
-                out.append(n)
-                if len(out) >= 512:
-                    k = batch.num_rows and len(out)
-                    yield done(batch, ids, k)
-                    batch, out, ids = batch.slice(k), [], []
-            if ids:
-                yield done(batch, ids, len(ids))
-
-    def done(batch: pa.RecordBatch, ids: list[bytes], n: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0).slice(0, n), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                ids = [whole(common.value, tag, n, packed, at, own) for tag, n, packed, at, own in zip(*(part.column(k).to_pylist() for k in (1, 2, 3)), part.column(4), part.column(5), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return rows.mapInArrow(assemble, "doc_id long, ids binary")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -128,6 +129,31 @@ def shingle_hashes(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     return mix(h)
 
 
+class HashIndex:
+    """Finds 64-bit hashes among sorted distinct ones by their upper bits; what it needs for that is built where it is used."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.first: np.ndarray | None = None
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash among the keys, -1 if it isn't there."""
+        bits = max(1, min(22, len(self.keys).bit_length() + 1))
+        shift = np.uint64(64 - bits)
+        if self.first is None:
+            self.first = np.concatenate([[0], np.cumsum(np.bincount((self.keys >> shift).astype(np.int64), minlength=1 << bits))]).astype(np.int32)
+        slot = (h >> shift).astype(np.int64)
+        at, end = self.first[slot], self.first[slot + 1]
+        out = np.full(len(h), -1, np.int64)
+        pos = np.flatnonzero(end > at)
+        while len(pos):
+            same = self.keys[at[pos]] == h[pos]
+            out[pos[same]] = at[pos[same]]
+            at[pos] += 1
+            pos = pos[~same & (at[pos] < end[pos])]
+        return out
+
+
 def shared(spark: SparkSession) -> None:
     """Checkpoints go to the folder that spark.checkpoint.dir names; a local session without it gets a temporary one."""
     sc = spark.sparkContext
@@ -144,6 +170,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stash(df: DataFrame) -> DataFrame:
+    """The same rows read from Parquet in the checkpoint folder, which takes less room than a checkpoint of wide rows."""
+    shared(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def few(df: DataFrame, most: int = BROADCAST_KEYS) -> bool:
     """Whether df, a checkpointed table of narrow rows, may be broadcast."""
     return df.count() <= most

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import pack, unpack
-from .common import cut, hashed_words, text_blocks
+from .common import HashIndex, cut, hashed_words, text_blocks
 
 #: Hidden states, passes of Baum-Welch, and words with emission probabilities of their own in each state. All others share one symbol.
 STATES, PASSES, SYMBOLS = 8, 6, 1 << 16
@@ -83,15 +83,12 @@ def coded_texts(docs: DataFrame, train: Column, keys: np.ndarray, counts: np.nda
         keys, counts = table.value
         base, other = np.log10((counts + 1) / total), np.log10((counts + 1) / rest)
         order = np.argsort(keys)
-        ordered = keys[order]
+        index = HashIndex(keys[order])
         for batch in batches:
             for i, j, buf, off in text_blocks(batch.column(2)):
                 words, at, _, _ = hashed_words(buf, off)
-                if len(ordered):
-                    k = np.minimum(np.searchsorted(ordered, words), len(ordered) - 1)
-                    k = np.where(ordered[k] == words, order[k], -1)
-                else:
-                    k = np.full(len(words), -1)
+                k = index.find(words)
+                k[k >= 0] = order[k[k >= 0]]
                 sums = lambda x: np.diff(np.concatenate([[0.0], np.cumsum(np.where(k >= 0, x[k], 0.0) if len(x) else np.zeros(len(k)))])[at])  # noqa: B023, E731
                 shared = (k < 0) | (k >= symbols)
                 sym = np.where(shared, symbols, k).astype(np.uint32)

@@ -44,17 +44,17 @@ def dedup_lines(docs: DataFrame, lines: int = LINES) -> DataFrame:
     """
     runs = cut(repeated_runs(docs, lines))
     split = F.split("text", "\n", -1)
-    joined = docs.join(runs.withColumnRenamed("doc_id", "_of").withColumnRenamed("runs", "_runs"), F.col("doc_id") == F.col("_of"), "left").withColumn("_lines", split)
+    joined = docs.join(runs.withColumnRenamed("doc_id", "__of__").withColumnRenamed("runs", "__runs__"), F.col("doc_id") == F.col("__of__"), "left").withColumn("__lines__", split)
     # kept runs lie between the removed ones
     kept = F.expr("""
-        flatten(transform(sequence(0, size(_runs)), i -> slice(_lines,
-            if(i = 0, 0, _runs[i - 1].stop) + 1,
-            if(i = size(_runs), size(_lines), _runs[i].start) - if(i = 0, 0, _runs[i - 1].stop))))
+        flatten(transform(sequence(0, size(__runs__)), i -> slice(__lines__,
+            if(i = 0, 0, __runs__[i - 1].stop) + 1,
+            if(i = size(__runs__), size(__lines__), __runs__[i].start) - if(i = 0, 0, __runs__[i - 1].stop))))
     """)
-    n_removed = F.expr("aggregate(_runs, 0, (n, r) -> n + r.stop - r.start)")
+    n_removed = F.expr("aggregate(__runs__, 0, (n, r) -> n + r.stop - r.start)")
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     return joined.select(
-        *(F.when(F.col("_runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(f"`{c}`") for c in names),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).alias("n_lines"),
+        *(F.when(F.col("__runs__").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(f"`{c}`") for c in names),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size("__lines__")).alias("n_lines"),
         F.coalesce(n_removed, F.lit(0)).alias("n_removed"),
     )
