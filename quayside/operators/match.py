@@ -18,7 +18,9 @@ BROADCAST_ROWS = 200_000
 
 
 def with_ami(sit: DataFrame) -> DataFrame:
-    """Adds ami, null where the county is unknown or has no figure. "county" may be missing from the name."""
+    """Adds ami, null where the county is unknown or has no figure, unless sit has it. "county" may be missing from the name."""
+    if "ami" in sit.columns:
+        return sit
     c = F.lower(F.trim(F.col("location.county")))
     key = F.when(c.endswith(" county"), c).otherwise(F.concat(c, F.lit(" county")))
     return sit.withColumn("county_key", key).join(F.broadcast(median_income(sit.sparkSession)), "county_key", "left").drop("county_key")
@@ -26,7 +28,7 @@ def with_ami(sit: DataFrame) -> DataFrame:
 
 def pairs(sit: DataFrame, cat: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """All pairs of a situation and a programme with the verdicts that both decide: area_verdict, miles, income. only(sit_id, id, ...) restricts the pairs and adds its columns."""
-    s = location_columns(with_ami(sit)) if "ami" not in sit.columns else location_columns(sit)
+    s = location_columns(with_ami(sit))
     at = area_table(s, prepare_catalogue(cat))
     own = s.drop("location", "has_location", "u_county", "u_city", "u_lat", "u_lng")
     at = F.broadcast(at) if at.count() <= BROADCAST_ROWS else at
