@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 from ..operators import pages as P
 from ..operators import promote as R
+from ..operators.dedup import first_seen, page_keys
 from ..sources.derived import CATALOGUE_SQL, catalogue, table
 
 
@@ -103,6 +104,13 @@ def link_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.fetch_list(links.withColumn("source", U.host(F.col("url"))), per_source=50, total=10_000)
 
 
+def page_dupes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages in the order of their ids; a page goes if its url, text, or title with description was kept before."""
+    p = table(spark, sf_dir, "pages")
+    keys = page_keys(P.extract_pages(p).withColumn("url_key", U.url_key(U.normalize_url(F.col("url")))))
+    return first_seen(keys).select(F.col("id").alias("page_id"), "kept", "of")
+
+
 _REVIEW = f"""
 c AS ({CATALOGUE_SQL}),
 prev AS (SELECT *, 'https://src.example.org/p/' || ord AS src FROM c),
@@ -163,4 +171,4 @@ ORACLES = {
     "page_extract": f"SELECT page_id, {_plain('title')} AS title, {_plain('h1')} AS heading, len(regexp_extract_all(html, '<a href=')) AS n_links FROM pages",
 }
 
-QUERIES = {f.__name__: f for f in (promote_overrides, promote_rekey, promote_carry, promote_errors, promote_outcomes, promote_stats, merge_candidate_sets, url_normalize, url_scope, snapshot_refresh, page_extract, page_contacts, link_frontier)}
+QUERIES = {f.__name__: f for f in (promote_overrides, promote_rekey, promote_carry, promote_errors, promote_outcomes, promote_stats, merge_candidate_sets, url_normalize, url_scope, snapshot_refresh, page_extract, page_contacts, page_dupes, link_frontier)}
