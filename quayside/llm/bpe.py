@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK, SPACE, HashIndex, span_hashes, stash, text_blocks
+from .common import BLOCK, SPACE, HashIndex, bounded, span_hashes, stash, text_blocks
 
 #: The most words, and bytes of them, that are broadcast with their ids. All others reach their documents through a shuffled join.
 COMMON_WORDS, COMMON_BYTES = 1 << 20, 1 << 25
 #: Distinct words that a task counts before it forgets those seen once. This chooses which words are broadcast, never a result.
-COUNTED = 1 << 20
+COUNTED = 1 << 19
 
 
 @lru_cache(maxsize=4)
@@ -104,7 +104,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for _, _, buf, starts, ends, h, _ in blocks_of_words(batch.column(0)):
                 held.append((buf.tobytes(), starts, ends, h))
-                if sum(len(x[0]) for x in held) > 16 * BLOCK:
+                if sum(len(x[0]) for x in held) > 8 * BLOCK:
                     flush()
         if held:
             flush()
@@ -207,11 +207,13 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     Null and empty texts have no ids. Repeated rows are kept, each with its ids. Other columns are ignored. An empty table
     gives an empty table.
     """
+    bounded(docs.sparkSession)
     table = common_words(docs, path).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
     common = docs.sparkSession.sparkContext.broadcast(Table(table["word"].to_pylist(), table["ids"].to_pylist()))
     del table
-    # a repeated doc_id may come with another text: `tag` tells them apart
-    keyed = docs.select(F.col("doc_id").cast("long"), F.hash("text").alias("tag"), "text").withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    # where a doc_id repeats, maybe with another text, `tag` tells the texts apart
+    again = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    keyed = docs.select(F.col("doc_id").cast("long"), (F.hash("text") if again else F.lit(0)).alias("tag"), "text").withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
 
     def other_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

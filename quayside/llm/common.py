@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -86,6 +87,7 @@ def text_blocks(texts: pa.Array, least: int = BLOCK) -> Iterator[tuple[int, int,
         j = min(j, n)
         yield i, j, data[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
+    pa.default_memory_pool().release_unused()
 
 
 def word_spans(buf: np.ndarray, off: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,6 +156,14 @@ class HashIndex:
         return out
 
 
+def bounded(spark: SparkSession) -> None:
+    """Arrow batches of 16 MB at most, unless the session already asks for less: whole texts are long, and JVM and Python each hold a few batches a task."""
+    key, most = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
+    if now and int(now[1]) > most:
+        spark.conf.set(key, str(most))
+
+
 def shared(spark: SparkSession) -> None:
     """Checkpoints go to the folder that spark.checkpoint.dir names; a local session without it gets a temporary one."""
     sc = spark.sparkContext

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PUNCT, cut, hashed_words, mix, shingle_hashes, text_blocks
+from .common import PUNCT, bounded, cut, hashed_words, mix, shingle_hashes, text_blocks
 
 #: Words in a window, and in the shingles that a window is made of.
 WINDOW, SHINGLE = 10, 3
@@ -156,6 +156,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Null and empty texts have no words and no hits; items without words or id have no windows; repeated items count once
     each id. Repeated documents get the same result each. Other columns are ignored. Empty tables give no hits or no rows.
     """
+    bounded(docs.sparkSession)
     windows = cut(item_windows(benchmark))
     blocks = max(1, -(-windows.count() // BLOCK_WINDOWS))
     windows = windows.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import pack, unpack
-from .common import HashIndex, cut, hashed_words, text_blocks
+from .common import HashIndex, bounded, cut, hashed_words, text_blocks
 
 #: Hidden states, passes of Baum-Welch, and words with emission probabilities of their own in each state. All others share one symbol.
 STATES, PASSES, SYMBOLS = 8, 6, 1 << 16
@@ -222,6 +222,7 @@ def score(docs: DataFrame, train: Column, states: int = STATES, passes: int = PA
     Null and empty texts are one end token. A null `train` counts as false. Without training rows every probability is even.
     Repeated rows are scored, and counted, each time. Other columns are ignored. An empty table gives an empty table.
     """
+    bounded(docs.sparkSession)
     own = docs.filter(F.coalesce(train, F.lit(False)))
     counts = cut(word_counts(own))
     n_words, v_words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()

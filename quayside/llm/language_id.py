@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_blocks
+from .common import bounded, text_blocks
 
 UNDETERMINED = "und"
 #: Subwords are runs of so many bytes; they share BUCKETS embeddings of SIZE numbers.
@@ -166,6 +166,7 @@ def identify(docs: DataFrame, train: Column) -> DataFrame:
     whole ones; predictions read every whole text. Repeated rows are predicted each. Other columns are ignored. An empty
     table gives an empty table.
     """
+    bounded(docs.sparkSession)
     rows = bags(sample(docs.filter(F.coalesce(train, F.lit(False)) & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "lang", "text"))).toArrow()
     lists = zip(rows["lang"].to_pylist(), rows["buckets"], rows["counts"], strict=True)
     model = fit([(lang, b.values.to_numpy().astype(np.int64), n.values.to_numpy().astype(np.float64)) for lang, b, n in lists])

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hashed_words, measured, mix, shingle_hashes, text_blocks
+from .common import bounded, cut, hashed_words, measured, mix, shingle_hashes, text_blocks
 from .components import components
 
 #: SetSketch's parameters: base of the spacing, rate of the exponentials, largest register.
@@ -195,6 +195,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     are a cluster; where it still holds several components, these are compared in blocks (settle), so that no candidate of
     the bands is left out, however large a group of near copies is.
     """
+    bounded(docs.sparkSession)
     threshold = percent / 100
     sk = cut(sketches(docs, shingle, threshold))
     reps = cut(sk.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")))
