@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import relevance as R
 from ..functions import text as T
 from ..sources.derived import CATALOGUE_SQL, SITUATIONS_SQL, catalogue, table
 
@@ -69,7 +70,44 @@ def candidate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.join(n, "category", "left").select("category", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+#: A page for each supplier's programme: a topic in the title or only in the text, help or none, some of them news or bids.
+_PAGES = """
+SELECT s_suppkey AS page_id, concat('https://x.example.org/', CASE s_suppkey % 7 WHEN 1 THEN 'news/' WHEN 2 THEN 'rfp/' ELSE 'p/' END, CAST(s_suppkey AS VARCHAR(20))) AS url,
+  CASE s_suppkey % 5 WHEN 0 THEN 'Food pantry' WHEN 1 THEN 'Emergency shelter' WHEN 2 THEN 'About us' WHEN 3 THEN 'Legal aid' ELSE 'Diabetes' END AS title,
+  CASE s_suppkey % 3 WHEN 0 THEN 'How to apply for it.' WHEN 1 THEN 'Open on Mondays.' ELSE 'A clinic near you, with housing support.' END AS text FROM supplier
+"""
+
+
+def _relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.sql(_PAGES.replace("FROM supplier", "FROM {supplier}"), supplier=table(spark, sf_dir, "supplier"))
+    none = F.array().cast("array<struct<url:string,text:string,navigation:boolean>>")
+    r = R.relevance(F.col("url"), F.col("title"), F.lit(None).cast("string"), F.array().cast("array<string>"), F.col("text"), none)
+    return p.select("page_id", r.alias("r"), R.category(F.col("url"), F.col("title"), F.col("text")).alias("category"))
+
+
+def page_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _relevance(spark, sf_dir).select("page_id", "r.score", "r.relevant", F.array_join("r.topics", ",").alias("topics"))
+
+
+def topic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _relevance(spark, sf_dir).select(F.explode("r.topics").alias("topic")).groupBy("topic").agg(F.count("*").alias("n"))
+
+
+def category_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _relevance(spark, sf_dir).select("page_id", "category")
+
+
+_RELEVANT = f"""
+p AS ({_PAGES}), q AS (SELECT page_id, page_id % 5 AS a, page_id % 3 AS b, page_id % 7 AS c FROM p),
+r AS (
+  SELECT page_id, a, b, c, concat_ws(',', CASE WHEN b = 2 THEN 'rental_assistance' END, CASE WHEN a = 1 THEN 'shelter' END, CASE WHEN a = 0 THEN 'food' END, CASE WHEN a = 3 THEN 'legal' END, CASE WHEN b = 2 THEN 'health_care' END, CASE WHEN a = 4 THEN 'diabetes' END) AS topics,
+    CASE a WHEN 2 THEN 0 ELSE 4 END + CASE WHEN b = 2 THEN 2 ELSE 0 END + CASE b WHEN 1 THEN 0 ELSE 2 END + CASE WHEN a IN (0, 1, 3) THEN 4 ELSE 0 END - CASE WHEN c IN (1, 2) THEN 4 ELSE 0 END AS score,
+    c NOT IN (1, 2) AND (a <> 2 OR b = 2) AND (b <> 1 OR a IN (0, 1, 3)) AS relevant FROM q)"""
+
 ORACLES = {
+    "page_relevance": f"WITH {_RELEVANT} SELECT page_id, score, relevant, topics FROM r",
+    "topic_counts": f"WITH {_RELEVANT} SELECT topic, count(*) AS n FROM (SELECT unnest(string_split(topics, ',')) AS topic FROM r WHERE topics <> '') GROUP BY 1",
+    "category_assign": f"WITH {_RELEVANT} SELECT page_id, CASE a WHEN 0 THEN 'food' WHEN 1 THEN 'shelter' WHEN 3 THEN 'legal' WHEN 4 THEN 'condition_support' ELSE CASE WHEN b = 2 THEN 'health' END END AS category FROM r",
     "parse_situations": f"""WITH s AS ({SITUATIONS_SQL}) SELECT sit_id AS key, coalesce(household_size, CASE WHEN has_children THEN 3 END)::INT AS household_size, monthly_income::DOUBLE AS monthly_income, monthly_housing_cost::DOUBLE AS monthly_housing_cost, age::INT AS age, housing_status, has_children, is_veteran,
       sit_id % 5 = 1 AS crisis, city, CASE WHEN city IS NOT NULL OR county <> 'Kern County' THEN county END AS county FROM s""",
     "crisis_screen": "SELECT c_custkey AS key FROM customer WHERE c_custkey % 5 = 1",
@@ -81,4 +119,4 @@ ORACLES = {
     "candidate_counts": f"WITH c AS ({CATALOGUE_SQL}), k AS (SELECT unnest(range(15)) AS no), x AS (SELECT no, count(id) AS n FROM k LEFT JOIN c ON category_no = no GROUP BY 1) SELECT (['rental_assistance', 'food', 'utility', 'shelter', 'employment', 'legal', 'health', 'benefits', 'family_support', 'veteran_support', 'older_adult_support', 'disability', 'mental_health', 'substance_use', 'condition_support'])[no + 1] AS category, n FROM x",
 }
 
-QUERIES = {f.__name__: f for f in (parse_situations, crisis_screen, zip_to_place, eligibility_extract, candidate_counts)}
+QUERIES = {f.__name__: f for f in (parse_situations, crisis_screen, zip_to_place, eligibility_extract, candidate_counts, page_relevance, topic_counts, category_assign)}
