@@ -15,7 +15,7 @@ from .common import BLOCK, SPACE, HashIndex, bounded, span_hashes, stash, text_b
 #: The most words, and bytes of them, that are broadcast with their ids. All others reach their documents through a shuffled join.
 COMMON_WORDS, COMMON_BYTES = 1 << 20, 1 << 25
 #: Distinct words that a task counts before it forgets those seen once. This chooses which words are broadcast, never a result.
-COUNTED = 1 << 19
+COUNTED = 1 << 18
 
 
 @lru_cache(maxsize=4)
@@ -164,9 +164,11 @@ class Table:
         h = np.concatenate(parts)
         self.order = np.argsort(h).astype(np.int32)
         self.index = HashIndex(h[self.order])
-        self.sizes = np.array([len(x) // 4 for x in ids], np.int32)
-        self.starts = np.concatenate([[0], np.cumsum(self.sizes, dtype=np.int64)])[:-1]
-        self.ids = np.frombuffer(b"".join(ids), "<u4")
+        sizes = np.array([len(x) // 4 for x in ids], np.int64)
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        self.sizes = sizes.astype(np.uint16 if sizes.max(initial=0) < 1 << 16 else np.int64)
+        self.starts = (np.cumsum(sizes) - sizes).astype(np.int32 if len(flat) < 1 << 31 else np.int64)
+        self.ids = flat.astype(np.uint16) if flat.max(initial=0) < 1 << 16 else flat
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """1 + the place of each hash's word, 0 if it isn't there."""
@@ -191,6 +193,7 @@ def unpack(data: bytes, n: int) -> np.ndarray:
 
 def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """flat[start : start + size] one after another."""
+    starts, sizes = starts.astype(np.int64), sizes.astype(np.int64)
     ends = np.cumsum(sizes)
     if not len(ends) or not ends[-1]:
         return flat[:0]
@@ -242,7 +245,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         p = unpack(packed, n).astype(np.int64) - 1
         lost = p < 0
         if not lost.any():
-            return gather(t.ids, t.starts[p], t.sizes[p]).tobytes()
+            return gather(t.ids, t.starts[p], t.sizes[p]).astype("<u4").tobytes()
         where, data = at.values.to_numpy(), own.values.to_pylist()
         mine = np.flatnonzero(where >> 32 == tag)
         pos = where[mine] & 0xFFFFFFFF

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step holds.
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 #: Rows of 8-byte keys that may be broadcast (16 MB); larger sides are shuffled.
 BROADCAST_KEYS = 1 << 21
 
@@ -140,7 +140,7 @@ class HashIndex:
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The place of each hash among the keys, -1 if it isn't there."""
-        bits = max(1, min(22, len(self.keys).bit_length() + 1))
+        bits = max(1, min(22, len(self.keys).bit_length()))
         shift = np.uint64(64 - bits)
         if self.first is None:
             self.first = np.concatenate([[0], np.cumsum(np.bincount((self.keys >> shift).astype(np.int64), minlength=1 << bits))]).astype(np.int32)
@@ -157,8 +157,8 @@ class HashIndex:
 
 
 def bounded(spark: SparkSession) -> None:
-    """Arrow batches of 16 MB at most, unless the session already asks for less: whole texts are long, and JVM and Python each hold a few batches a task."""
-    key, most = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
+    """Arrow batches of 4 MB at most, unless the session already asks for less: whole texts are long, and JVM and Python each hold a few batches a task."""
+    key, most = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
     now = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
     if now and int(now[1]) > most:
         spark.conf.set(key, str(most))
