@@ -180,6 +180,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def placed(df: DataFrame, key: str | None = None) -> DataFrame:
+    """cut, dealt by `key` if one is given; the plan is fixed beforehand, so that Spark still knows how the rows lie and joins on the key don't deal them again."""
+    conf = df.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(df.repartition(int(conf.get("spark.sql.shuffle.partitions")), key) if key else df)
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def stash(df: DataFrame) -> DataFrame:
     """The same rows read from Parquet in the checkpoint folder, which takes less room than a checkpoint of wide rows."""
     shared(df.sparkSession)

@@ -12,11 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import pack, unpack
-from .common import HashIndex, bounded, cut, hashed_words, text_blocks
+from .common import HashIndex, bounded, cut, hashed_words, mix, placed, text_blocks
 
-#: Hidden states, passes of Baum-Welch, and words with emission probabilities of their own in each state. All others share one symbol.
-STATES, PASSES, SYMBOLS = 8, 6, 1 << 16
-#: The most words whose counts are broadcast; the counts of all others are joined.
+#: Hidden states, passes of Baum-Welch, and the most words whose emission probabilities are broadcast; those of all others are joined.
+STATES, PASSES, SYMBOLS = 8, 6, 1 << 19
+#: The most words whose counts are broadcast, and so the most words broadcast at all.
 COMMON = 1 << 20
 #: Training sequences are cut after so many tokens; scores never are. Sequences in one matrix.
 SEGMENT, WIDTH = 256, 2048
@@ -75,13 +75,17 @@ def frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.filter(level >= least)
 
 
-def coded_texts(docs: DataFrame, train: Column, keys: np.ndarray, counts: np.ndarray, symbols: int, total: float, rest: float) -> DataFrame:
-    """A row for each document: symbols of its tokens, sums over the words whose counts are broadcast, and the other words."""
+def coded_texts(docs: DataFrame, train: Column, keys: np.ndarray, counts: np.ndarray, total: float) -> DataFrame:
+    """A row for each document: symbols of its tokens, sums over the broadcast words, and all other words in order.
+
+    Symbols are places among the keys, then one for a word never seen, one for the end, and one for each of the other words.
+    """
     table = docs.sparkSession.sparkContext.broadcast((keys, counts))
+    symbols = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = table.value
-        base, other = np.log10((counts + 1) / total), np.log10((counts + 1) / rest)
+        base = np.log10((counts + 1) / total)
         order = np.argsort(keys)
         index = HashIndex(keys[order])
         for batch in batches:
@@ -89,22 +93,20 @@ def coded_texts(docs: DataFrame, train: Column, keys: np.ndarray, counts: np.nda
                 words, at, _, _ = hashed_words(buf, off)
                 k = index.find(words)
                 k[k >= 0] = order[k[k >= 0]]
-                sums = lambda x: np.diff(np.concatenate([[0.0], np.cumsum(np.where(k >= 0, x[k], 0.0) if len(x) else np.zeros(len(k)))])[at])  # noqa: B023, E731
-                shared = (k < 0) | (k >= symbols)
-                sym = np.where(shared, symbols, k).astype(np.uint32)
+                sums = np.diff(np.concatenate([[0.0], np.cumsum(np.where(k >= 0, base[k], 0.0) if len(base) else np.zeros(len(k)))])[at])
+                sym = np.where(k < 0, symbols + 2, k).astype(np.uint32)
                 n = np.diff(at)
                 own = [np.append(sym[at[d] : at[d + 1]], np.uint32(symbols + 1)) for d in range(j - i)]
                 lost = [words[at[d] : at[d + 1]][k[at[d] : at[d + 1]] < 0].view(np.int64) for d in range(j - i)]
                 known = np.diff(np.concatenate([[0], np.cumsum(k >= 0)])[at])
-                local_other = np.diff(np.concatenate([[0.0], np.cumsum(np.where(shared & (k >= 0), other[k], 0.0) if len(other) else np.zeros(len(k)))])[at])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(n + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(sums(base)), pa.array(local_other), pa.array([pack(x) for x in own], pa.binary()), pa.array(lost, pa.list_(pa.int64()))],
-                    ["doc_id", "train", "n_tokens", "n_known", "base", "other", "symbols", "words"],
+                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(n + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(sums), pa.array([pack(x) for x in own], pa.binary()), pa.array(lost, pa.list_(pa.int64()))],
+                    ["doc_id", "train", "n_tokens", "n_known", "base", "symbols", "words"],
                 )
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(train, F.lit(False)).alias("train"), "text")
-    coded = rows.mapInArrow(run, "doc_id long, train boolean, n_tokens long, n_known long, base double, other double, symbols binary, words array<long>")
-    return cut(coded.withColumn("row", F.monotonically_increasing_id()))
+    coded = rows.mapInArrow(run, "doc_id long, train boolean, n_tokens long, n_known long, base double, symbols binary, words array<long>")
+    return coded.withColumn("row", F.monotonically_increasing_id())
 
 
 def expected_counts(texts: Iterator[np.ndarray], m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -169,55 +171,134 @@ def log_likelihoods(texts: list[np.ndarray], m: Model) -> np.ndarray:
     return out
 
 
-def first_model(freq: np.ndarray, states: int) -> Model:
-    """Word frequencies with a fixed disturbance for each state, and states that tend to stay."""
-    rng = np.random.default_rng(7)
-    emit = freq[:, None] * np.exp(0.5 * rng.standard_normal((len(freq), states)))
+def disturbance(words: np.ndarray, states: int) -> np.ndarray:
+    """A fixed positive factor for each word and state, which depends on the word's hash alone."""
+    u = [np.stack([mix(words + np.uint64(((2 * i + half) * 0x9E3779B97F4A7C15 + 7) % 2**64)) for i in range(states)], axis=1) / 2.0**64 for half in (1, 2)]
+    return np.exp(0.5 * np.sqrt(-2 * np.log(np.maximum(u[0], 2.0**-64))) * np.cos(2 * np.pi * u[1]))
+
+
+def first_model(freq: np.ndarray, states: int, words: np.ndarray | None = None, more: np.ndarray | float = 0.0) -> Model:
+    """Word frequencies with a fixed disturbance for each state, and states that tend to stay. `more` is what words outside freq add to each state's sum."""
+    emit = freq[:, None] * disturbance(np.arange(len(freq), dtype=np.uint64) if words is None else words, states)
     move = np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
     even = np.full(states, 1 / states)
-    return Model(even, even, move, emit / emit.sum(axis=0))
+    return Model(even, even, move, emit / (emit.sum(axis=0) + more))
+
+
+def own_symbols(batch: pa.RecordBatch, m: Model, scale: np.ndarray) -> tuple[list[np.ndarray], Model, np.ndarray]:
+    """Texts of a batch (n_tokens, symbols, own) over the words that occur in it, the model over these, and which of m's symbols they are: joined words follow them in order."""
+    symbols, states = m.emit.shape
+    texts = [unpack(x, n) for n, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+    flat = np.concatenate(texts)
+    at = np.cumsum([len(x) for x in texts])
+    other = flat == symbols
+    before = np.concatenate([[0], np.cumsum(other)])
+    uniq, place = np.unique(flat[~other], return_inverse=True)
+    flat = flat.astype(np.int64)
+    flat[~other], flat[other] = place, len(uniq) + np.arange(before[-1])
+    emit = np.empty((len(uniq) + before[-1], states))
+    emit[: len(uniq)], emit[len(uniq) :] = m.emit[uniq], m.emit[symbols - 2]
+    own = batch.column(2)
+    found = own.flatten()
+    if len(found):
+        row = own.value_parent_indices().to_numpy()
+        start = np.concatenate([[0], at[:-1]])
+        weights = found.field("e").flatten().to_numpy().astype(np.float64).reshape(-1, states)
+        emit[len(uniq) + before[start[row]] + found.field("k").to_numpy()] = weights / scale
+    return np.split(flat, at[:-1]), Model(m.start, m.carry, m.move, emit), uniq
+
+
+def with_own(coded: DataFrame, need: DataFrame | None, table: DataFrame | None, extra: tuple[Column, ...] = ()) -> DataFrame:
+    """coded with `own`, the places and emission weights of the words that aren't broadcast, as far as the table has them, and the sums `extra` over these."""
+    if need is None:
+        none = F.lit(None)
+        return coded.select("*", none.cast("array<struct<k:int,e:array<float>>>").alias("own"), none.cast("double").alias("log_c"), none.cast("long").alias("more_known"))
+    hits = need.join(table.hint("merge"), "word").select("row", "k", "e", "n")
+    parts = coded.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    own = hits.repartition(int(parts), "row").groupBy("row").agg(F.collect_list(F.struct("k", "e")).alias("own"), *extra)
+    return coded.join(own.hint("merge"), "row", "left")
 
 
-def fit(coded: DataFrame, freq: np.ndarray, states: int, passes: int) -> Model:
-    """Baum-Welch over all training rows of coded. Each pass sums expected counts within tasks, then by row of the tables; the driver gets tables of the model's size."""
+@dataclass
+class Fitted:
+    model: Model
+    scale: np.ndarray  # each state's sum of weights
+    table: DataFrame | None  # (word, n, e): weights of the words that aren't broadcast
+
+
+def fit(coded: DataFrame, need: DataFrame | None, rest: DataFrame, freq: np.ndarray, keys: np.ndarray, total: float, states: int, passes: int) -> Fitted:
+    """Baum-Welch over all training rows of coded. Each pass sums expected counts within tasks, then by word. The driver gets those of the broadcast words; those of all others stay a table."""
     spark = coded.sparkSession
-    train = coded.filter("train").select("n_tokens", "symbols")
-    m = first_model(freq, states)
+    cols = [f"s{i}" for i in range(states)]
+    sums_of = lambda df: np.array([x or 0.0 for x in df.agg(*(F.sum(c) for c in cols)).first()])
+    weights = lambda df: df.select("word", "n", F.array(*(F.col(c).cast("float") for c in cols)).alias("e"))
+    train = coded.filter("train")
+    wanted = need.filter("train") if need is not None else None
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, n = (c.to_numpy() for c in batch.columns)
+            e = ((n + 1) / total)[:, None] * disturbance(word.view(np.uint64), states)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(e[:, i]) for i in range(states))], ["word", "n", *cols])
+
+    words = np.concatenate([keys, np.array([1, 2], np.uint64)])
+    more, table, rest_freq = np.zeros(states), None, 0.0
+    if need is not None:
+        rows, n = rest.agg(F.count("*"), F.sum("n")).first()
+        rest_freq = (rows + n) / total
+        first = rest.mapInArrow(begin, "word long, n long, " + ", ".join(f"{c} double" for c in cols))
+        table, more = placed(weights(first), "word"), sums_of(first)
+    m = first_model(freq, states, words, more)
+    scale = (freq[:, None] * disturbance(words, states)).sum(axis=0) + more
     for _ in range(passes):
-        model = spark.sparkContext.broadcast(m)
+        model = spark.sparkContext.broadcast((m, scale))
 
         def run(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
-            m = model.value
-            s = m.emit.shape[1]
-            start, move, emit = np.zeros(s), np.zeros((s, s)), np.zeros(m.emit.shape)
+            m, scale = model.value
+            start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros(m.emit.shape)
             for batch in batches:
-                texts = (unpack(x, n) for n, x in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-                for total, more in zip((start, move, emit), expected_counts(texts, m), strict=True):
-                    total += more
+                if not batch.num_rows:
+                    continue
+                texts, small, uniq = own_symbols(batch, m, scale)
+                s, v, e = expected_counts(iter(texts), small)
+                start, move = start + s, move + v
+                emit[uniq] += e[: len(uniq)]
+                own = batch.column(3).flatten()
+                if len(own):
+                    yield pa.RecordBatch.from_arrays([own, pa.array(np.zeros(len(own), bool)), *(pa.array(e[len(uniq) :, i]) for i in range(states))], ["word", "head", *cols])
             every = np.vstack([start[None], move, emit])
             some = np.flatnonzero(every.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(every[some, i]) for i in range(s))], ["at", *(f"s{i}" for i in range(s))])
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.ones(len(some), bool)), *(pa.array(every[some, i]) for i in range(states))], ["word", "head", *cols])
 
-        cols = [f"s{i}" for i in range(states)]
-        sums = train.mapInArrow(run, "at long, " + ", ".join(f"{c} double" for c in cols)).groupBy("at").agg(*(F.sum(c).alias(c) for c in cols)).toArrow()
+        rows = with_own(train, wanted, table).select("n_tokens", "symbols", "own", "words")
+        summed = rows.mapInArrow(run, "word long, head boolean, " + ", ".join(f"{c} double" for c in cols))
+        summed = placed(summed.repartition(parts, "word").groupBy("word", "head").agg(*(F.sum(c).alias(c) for c in cols)))
+        got = summed.filter("head").drop("head").toArrow()
         every = np.zeros((1 + states + len(freq), states))
-        if sums.num_rows:
-            every[sums["at"].to_numpy()] = np.stack([sums[c].to_numpy() for c in cols], axis=1)
+        if got.num_rows:
+            every[got["word"].to_numpy()] = np.stack([got[c].to_numpy() for c in cols], axis=1)
+        more = np.zeros(states)
+        if need is not None:
+            others = summed.filter("not head").drop("head")
+            more = sums_of(others)
+            table = weights(rest.join(others.hint("merge"), "word").select("word", "n", *((F.col(c) + SMOOTH_WORDS * (F.col("n") + 1) / total).alias(c) for c in cols)))
         start, move, emit = every[0] + SMOOTH_STATES, every[1 : 1 + states] + SMOOTH_STATES / states, every[1 + states :]
-        carry = emit.sum(axis=0) + SMOOTH_STATES
+        carry = emit.sum(axis=0) + more + SMOOTH_STATES
         emit = emit + SMOOTH_WORDS * freq[:, None]
-        m = Model(start / start.sum(), carry / carry.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+        scale = emit.sum(axis=0) + more + SMOOTH_WORDS * rest_freq
+        m = Model(start / start.sum(), carry / carry.sum(), move / move.sum(axis=1, keepdims=True), emit / scale)
         model.destroy()
-    return m
+    return Fitted(m, scale, table)
 
 
 def score(docs: DataFrame, train: Column, states: int = STATES, passes: int = PASSES) -> DataFrame:
     """(doc_id, train, n_tokens, n_known, train_tokens, base_score, score) for every row of docs(doc_id, text, ...).
 
     Tokens are words (A-Z in lower case, split at ASCII white space) and one end. base_score sums log10((c+1)/(N+V+1))
-    with c, N, V over the rows where `train` holds. score is log10 of the text's probability: states move and emit one of
-    the SYMBOLS most frequent words, the end, or "another word", which is then chosen with (c+1) over the sum of that over
-    all such words and one unknown word, so that both scores share their sample space.
+    with c, N, V over the rows where `train` holds. score is log10 of the text's probability: states move and emit a word of
+    those rows, the end, or one unknown word, each with probabilities of its own in every state, so that both scores share
+    their sample space.
 
     Null and empty texts are one end token. A null `train` counts as false. Without training rows every probability is even.
     Repeated rows are scored, and counted, each time. Other columns are ignored. An empty table gives an empty table.
@@ -228,34 +309,42 @@ def score(docs: DataFrame, train: Column, states: int = STATES, passes: int = PA
     n_words, v_words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = own.count()
     n_all, v_all = n_words + ends, v_words + (ends > 0)
-    common = frequent(counts, COMMON).toArrow()
+    common = frequent(counts, min(SYMBOLS, COMMON)).toArrow()
     keys, seen = common["word"].to_numpy().view(np.uint64), common["n"].to_numpy().astype(np.float64)
     order = np.lexsort((keys, -seen))
     keys, seen = keys[order], seen[order]
-    symbols = min(SYMBOLS, len(keys))
     total = float(n_all + v_all + 1)
-    shared_n = n_words - seen[:symbols].sum()
-    rest = float(shared_n + (v_words - symbols) + 1)
-    freq = np.concatenate([seen[:symbols] + 1, [shared_n + 1, ends + 1]])
-    coded = coded_texts(docs, train, keys, seen, symbols, total, rest)
-    model = docs.sparkSession.sparkContext.broadcast(fit(coded, freq / freq.sum(), states, passes))
+    freq = np.concatenate([seen + 1, [1, ends + 1]])
+    mass = float(n_words + v_words + 1 + ends + 1)
+    coded = coded_texts(docs, train, keys, seen, total)
+    need, rest = None, counts
+    if v_words <= len(keys):
+        coded = cut(coded)
+    else:
+        coded = placed(coded, "row")
+        least = int(seen[-1]) if len(seen) else None
+        rest = placed(counts if least is None else counts.filter(F.col("n") < least), "word")
+        need = placed(coded.select("row", "train", F.posexplode("words").alias("k", "word")), "word")
+    fitted = fit(coded, need, rest, freq / mass, keys, mass, states, passes)
+    model = docs.sparkSession.sparkContext.broadcast((fitted.model, fitted.scale))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, scale = model.value
         for batch in batches:
-            texts = [unpack(x, n) for n, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(log_likelihoods(texts, model.value) / math.log(10))], ["row", "hmm"])
-
-    hmm = coded.select("row", "n_tokens", "symbols").mapInArrow(run, "row long, hmm double")
-    # words whose counts weren't broadcast
-    lost = coded.select("row", F.explode("words").alias("word")).join(counts, "word", "left").groupBy("row").agg(
-        F.sum(F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("log_c"), F.count("*").alias("n_lost"), F.count("n").alias("more_known"))
+            if batch.num_rows:
+                texts, small, _ = own_symbols(batch.select(["n_tokens", "symbols", "own"]), m, scale)
+                rest = [batch.column(c) for c in names]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(log_likelihoods(texts, small) / math.log(10))], [*names, "hmm"])
+
+    # words that weren't broadcast count by their table
+    extra = F.sum(F.log10(F.col("n") + 1)).alias("log_c"), F.count("n").alias("more_known")
+    names = ["doc_id", "train", "n_tokens", "n_known", "base", "n_lost", "log_c", "more_known"]
+    every = with_own(coded.withColumn("n_lost", F.size("words").cast("long")), need, fitted.table, extra)
+    out = every.select(*names, "symbols", "own").mapInArrow(run, "doc_id long, train boolean, n_tokens long, n_known long, base double, n_lost long, log_c double, more_known long, hmm double")
     end = math.log10((ends + 1) / total)
     zero = F.lit(0)
-    return (
-        coded.drop("symbols", "words").join(hmm, "row").join(lost, "row", "left")
-        .select(
-            "doc_id", "train", "n_tokens", (F.col("n_known") + F.coalesce("more_known", zero) + int(ends > 0)).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
-            (F.col("base") + end + F.coalesce("log_c", zero) - F.coalesce("n_lost", zero) * math.log10(total)).alias("base_score"),
-            (F.col("hmm") + F.col("other") + F.coalesce("log_c", zero) - F.coalesce("n_lost", zero) * math.log10(rest)).alias("score"),
-        )
+    return out.select(
+        "doc_id", "train", "n_tokens", (F.col("n_known") + F.coalesce("more_known", zero) + int(ends > 0)).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
+        (F.col("base") + end + F.coalesce("log_c", zero) - F.col("n_lost") * math.log10(total)).alias("base_score"),
+        F.col("hmm").alias("score"),
     )

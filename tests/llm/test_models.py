@@ -56,6 +56,18 @@ def test_words_that_are_not_broadcast_score_alike(spark, rows, monkeypatch):
         assert (r.n_known, r.base_score) == (want[r.doc_id][0], pytest.approx(want[r.doc_id][1]))
 
 
+def test_every_word_has_emissions_of_its_own_however_few_are_broadcast(spark, rows, monkeypatch):
+    train = crc_part(F.col("doc_id"), 7) != 2
+    few = frame(spark, rows[:60])
+    want = {r.doc_id: r for r in hmm_lm.score(few, train, 3, 3).collect()}
+    for most in (5, 0):
+        monkeypatch.setattr(hmm_lm, "SYMBOLS", most)
+        got = {r.doc_id: r for r in hmm_lm.score(few, train, 3, 3).collect()}
+        assert {i: (r.train, r.n_tokens, r.n_known) for i, r in got.items()} == {i: (r.train, r.n_tokens, r.n_known) for i, r in want.items()}
+        for i, r in got.items():
+            assert (r.base_score, r.score) == (pytest.approx(want[i].base_score), pytest.approx(want[i].score, rel=1e-4))
+
+
 def test_forward_recursion_sums_over_all_paths():
     rng = np.random.default_rng(0)
     m = hmm_lm.Model(rng.dirichlet(np.ones(3)), np.ones(3) / 3, rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(5), 3).T)
