@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -191,6 +192,12 @@ def placed(df: DataFrame, key: str | None = None) -> DataFrame:
         conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
+def forget(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of tables that nothing refers to any more, rather than when the driver's heap next fills."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stash(df: DataFrame) -> DataFrame:
     """The same rows read from Parquet in the checkpoint folder, which takes less room than a checkpoint of wide rows."""
     shared(df.sparkSession)

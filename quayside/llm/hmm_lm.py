@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import pack, unpack
-from .common import HashIndex, bounded, cut, hashed_words, mix, placed, text_blocks
+from .common import HashIndex, bounded, cut, forget, hashed_words, mix, placed, text_blocks
 
 #: Hidden states, passes of Baum-Welch, and the most words whose emission probabilities are broadcast; those of all others are joined.
 STATES, PASSES, SYMBOLS = 8, 6, 1 << 19
@@ -266,14 +266,18 @@ def fit(coded: DataFrame, need: DataFrame | None, rest: DataFrame, freq: np.ndar
                 emit[uniq] += e[: len(uniq)]
                 own = batch.column(3).flatten()
                 if len(own):
-                    yield pa.RecordBatch.from_arrays([own, pa.array(np.zeros(len(own), bool)), *(pa.array(e[len(uniq) :, i]) for i in range(states))], ["word", "head", *cols])
+                    yield rows_of(own, False, e[len(uniq) :])
             every = np.vstack([start[None], move, emit])
             some = np.flatnonzero(every.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.ones(len(some), bool)), *(pa.array(every[some, i]) for i in range(states))], ["word", "head", *cols])
+            yield rows_of(pa.array(some), True, every[some])
+
+        def rows_of(word: pa.Array, head: bool, e: np.ndarray) -> pa.RecordBatch:
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(e) + 1, dtype=np.int32) * states, pa.int32()), pa.array(e.ravel(), pa.float32()))
+            return pa.RecordBatch.from_arrays([word, pa.array(np.full(len(e), head)), lists], ["word", "head", "e"])
 
         rows = with_own(train, wanted, table).select("n_tokens", "symbols", "own", "words")
-        summed = rows.mapInArrow(run, "word long, head boolean, " + ", ".join(f"{c} double" for c in cols))
-        summed = placed(summed.repartition(parts, "word").groupBy("word", "head").agg(*(F.sum(c).alias(c) for c in cols)))
+        summed = rows.mapInArrow(run, "word long, head boolean, e array<float>")
+        summed = placed(summed.repartition(parts, "word").groupBy("word", "head").agg(*(F.sum(F.col("e")[i].cast("double")).alias(c) for i, c in enumerate(cols))))
         got = summed.filter("head").drop("head").toArrow()
         every = np.zeros((1 + states + len(freq), states))
         if got.num_rows:
@@ -289,6 +293,8 @@ def fit(coded: DataFrame, need: DataFrame | None, rest: DataFrame, freq: np.ndar
         scale = emit.sum(axis=0) + more + SMOOTH_WORDS * rest_freq
         m = Model(start / start.sum(), carry / carry.sum(), move / move.sum(axis=1, keepdims=True), emit / scale)
         model.destroy()
+        del rows, got, every
+        forget(spark)
     return Fitted(m, scale, table)
 
 
@@ -325,6 +331,7 @@ def score(docs: DataFrame, train: Column, states: int = STATES, passes: int = PA
         least = int(seen[-1]) if len(seen) else None
         rest = placed(counts if least is None else counts.filter(F.col("n") < least), "word")
         need = placed(coded.select("row", "train", F.posexplode("words").alias("k", "word")), "word")
+    forget(docs.sparkSession)
     fitted = fit(coded, need, rest, freq / mass, keys, mass, states, passes)
     model = docs.sparkSession.sparkContext.broadcast((fitted.model, fitted.scale))
 
