@@ -181,13 +181,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def placed(df: DataFrame, key: str | None = None) -> DataFrame:
-    """cut, dealt by `key` if one is given; the plan is fixed beforehand, so that Spark still knows how the rows lie and joins on the key don't deal them again."""
+def placed(df: DataFrame, key: str) -> DataFrame:
+    """cut, dealt by `key`; the plan is fixed beforehand, so that Spark still knows how the rows lie and joins on the key don't deal them again."""
     conf = df.sparkSession.conf
     adaptive = conf.get("spark.sql.adaptive.enabled")
     conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        return cut(df.repartition(int(conf.get("spark.sql.shuffle.partitions")), key) if key else df)
+        return cut(df.repartition(int(conf.get("spark.sql.shuffle.partitions")), key))
     finally:
         conf.set("spark.sql.adaptive.enabled", adaptive)
 
@@ -206,6 +206,14 @@ def stash(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a stashed table."""
+    jvm, jsc = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc
+    for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def few(df: DataFrame, most: int = BROADCAST_KEYS) -> bool:
     """Whether df, a checkpointed table of narrow rows, may be broadcast."""
     return df.count() <= most

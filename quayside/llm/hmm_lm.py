@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import pack, unpack
-from .common import HashIndex, bounded, cut, forget, hashed_words, mix, placed, text_blocks
+from .common import HashIndex, bounded, cut, discard, forget, hashed_words, mix, placed, stash, text_blocks
 
 #: Hidden states, passes of Baum-Welch, and the most words whose emission probabilities are broadcast; those of all others are joined.
 STATES, PASSES, SYMBOLS = 8, 6, 1 << 19
@@ -248,9 +248,10 @@ def fit(coded: DataFrame, need: DataFrame | None, rest: DataFrame, freq: np.ndar
         rows, n = rest.agg(F.count("*"), F.sum("n")).first()
         rest_freq = (rows + n) / total
         first = rest.mapInArrow(begin, "word long, n long, " + ", ".join(f"{c} double" for c in cols))
-        table, more = placed(weights(first), "word"), sums_of(first)
+        table, more = weights(first), sums_of(first)
     m = first_model(freq, states, words, more)
     scale = (freq[:, None] * disturbance(words, states)).sum(axis=0) + more
+    last = None
     for _ in range(passes):
         model = spark.sparkContext.broadcast((m, scale))
 
@@ -277,7 +278,7 @@ def fit(coded: DataFrame, need: DataFrame | None, rest: DataFrame, freq: np.ndar
 
         rows = with_own(train, wanted, table).select("n_tokens", "symbols", "own", "words")
         summed = rows.mapInArrow(run, "word long, head boolean, e array<float>")
-        summed = placed(summed.repartition(parts, "word").groupBy("word", "head").agg(*(F.sum(F.col("e")[i].cast("double")).alias(c) for i, c in enumerate(cols))))
+        summed = stash(summed.repartition(parts, "word").groupBy("word", "head").agg(*(F.sum(F.col("e")[i].cast("double")).cast("float").alias(c) for i, c in enumerate(cols))))
         got = summed.filter("head").drop("head").toArrow()
         every = np.zeros((1 + states + len(freq), states))
         if got.num_rows:
@@ -293,6 +294,9 @@ def fit(coded: DataFrame, need: DataFrame | None, rest: DataFrame, freq: np.ndar
         scale = emit.sum(axis=0) + more + SMOOTH_WORDS * rest_freq
         m = Model(start / start.sum(), carry / carry.sum(), move / move.sum(axis=1, keepdims=True), emit / scale)
         model.destroy()
+        if last is not None:
+            discard(last)
+        last = summed
         del rows, got, every
         forget(spark)
     return Fitted(m, scale, table)
@@ -311,7 +315,7 @@ def score(docs: DataFrame, train: Column, states: int = STATES, passes: int = PA
     """
     bounded(docs.sparkSession)
     own = docs.filter(F.coalesce(train, F.lit(False)))
-    counts = cut(word_counts(own))
+    counts = stash(word_counts(own))
     n_words, v_words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = own.count()
     n_all, v_all = n_words + ends, v_words + (ends > 0)
@@ -329,8 +333,8 @@ def score(docs: DataFrame, train: Column, states: int = STATES, passes: int = PA
     else:
         coded = placed(coded, "row")
         least = int(seen[-1]) if len(seen) else None
-        rest = placed(counts if least is None else counts.filter(F.col("n") < least), "word")
-        need = placed(coded.select("row", "train", F.posexplode("words").alias("k", "word")), "word")
+        rest = counts if least is None else counts.filter(F.col("n") < least)
+        need = coded.select("row", "train", F.posexplode("words").alias("k", "word"))
     forget(docs.sparkSession)
     fitted = fit(coded, need, rest, freq / mass, keys, mass, states, passes)
     model = docs.sparkSession.sparkContext.broadcast((fitted.model, fitted.scale))
