@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, text_blocks
+from .common import bounded, cut, measured, text_blocks
 
 UNDETERMINED = "und"
 #: Subwords are runs of so many bytes; they share BUCKETS embeddings of SIZE numbers.
 RUNS, BUCKETS, SIZE = (3, 4), 1 << 14, 16
-#: The most labelled texts of a language that are used for fitting, and the most languages (those with most texts).
-PER_LANGUAGE, LANGUAGES = 600, 200
+#: The most labelled texts of a language that are used for fitting. Every language is learnt.
+PER_LANGUAGE = 600
 EPOCHS, RATE = 6, 2.0
 #: Share of right answers among accepted ones that the rejection threshold must reach on the texts kept for calibration.
 PRECISION = 0.99
@@ -77,9 +77,9 @@ def bags(docs: DataFrame) -> DataFrame:
 
 def sample(labelled: DataFrame) -> DataFrame:
     """At most about PER_LANGUAGE rows of each language, chosen by a hash of doc_id."""
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    sizes = cut(labelled.groupBy("lang").count())
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    return labelled.join(F.broadcast(sizes), "lang").filter(share * F.col("count") < PER_LANGUAGE).drop("count")
+    return labelled.join(measured(sizes), "lang").filter(share * F.col("count") < PER_LANGUAGE).drop("count")
 
 
 def softmax(x: np.ndarray) -> np.ndarray:

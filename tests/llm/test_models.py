@@ -105,6 +105,11 @@ def test_languages_of_held_out_texts(spark, rows):
     assert got[1004].lang_pred != "und" and all(0 <= r.score <= 1 for r in got.values()) and len(got) == len(rows)
 
 
+def test_every_language_is_learnt(spark):
+    few = frame(spark, [(i, f"word{i} tha ing", f"l{i}") for i in range(230)])
+    assert language_id.sample(few.select("doc_id", "lang", "text")).select("lang").distinct().count() == 230
+
+
 def test_quality_of_held_out_texts(spark):
     rng = random.Random(5)
     docs, labels = [], []
