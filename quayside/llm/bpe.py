@@ -6,16 +6,18 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK, SPACE, HashIndex, bounded, span_hashes, stash, text_blocks
+from .common import blanks, bounded, pack, span_hashes, stash, text_blocks, unpack
 
-#: The most words, and bytes of them, that are broadcast with their ids. All others reach their documents through a shuffled join.
-COMMON_WORDS, COMMON_BYTES = 1 << 20, 1 << 25
-#: Distinct words that a task counts before it forgets those seen once. This chooses which words are broadcast, never a result.
-COUNTED = 1 << 18
+#: Bytes of text whose words are numbered together, and of text for each group of words; a longer text is a chunk of its own.
+CHUNK, GROUP = 24 << 20, 16 << 20
+#: Tokens that are turned into bytes at once, and bytes of words that are encoded at once.
+TOKENS, ENCODED = 1 << 17, 1 << 16
 
 
 @lru_cache(maxsize=4)
@@ -28,13 +30,6 @@ def tokenizer(path: str):
     return t
 
 
-def encode_words(words: list[str], path: str) -> list[np.ndarray]:
-    out = []
-    for i in range(0, len(words), 4096):
-        out += [np.array(e.ids, "<u4") for e in tokenizer(path).encode_batch(words[i : i + 4096], add_special_tokens=False)]
-    return out
-
-
 def word_starts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Where words start: at each text, and before each run of white space. The tokens of a text are those of its words one after another.
 
@@ -43,230 +38,232 @@ def word_starts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     """
     if not len(buf):
         return np.zeros(0, np.int64)
-    gap = SPACE[buf]
+    gap = blanks(buf)
     first = gap.copy()
     first[1:] &= ~gap[:-1]
-    at = np.flatnonzero(first)
+    after = first.copy()
+    after[:1] = False
+    after[1:] &= buf[:-1] >= 0x80
+    at = np.flatnonzero(after)
     b = [buf[np.maximum(at - k, 0)] for k in (1, 2, 3)]
     wide = (b[1] == 0xC2) & ((b[0] == 0x85) | (b[0] == 0xA0)) | (b[2] == 0xE1) & (b[1] == 0x9A) & (b[0] == 0x80)
     wide |= (b[2] == 0xE2) & ((b[1] == 0x80) & ((b[0] >= 0x80) & (b[0] <= 0x8A) | np.isin(b[0], (0xA8, 0xA9, 0xAF))) | (b[1] == 0x81) & (b[0] == 0x9F))
     wide |= (b[2] == 0xE3) & (b[1] == 0x80) & (b[0] == 0x80)
-    return np.unique(np.concatenate([off[:-1][np.diff(off) > 0], at[~wide | (at < 2)]]))
+    first[at[wide & (at >= 2)]] = False
+    first[off[:-1][np.diff(off) > 0]] = True
+    return np.flatnonzero(first)
 
 
-def blocks_of_words(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, word starts, ends, hashes, words before each row)."""
-    for i, j, buf, off in text_blocks(texts):
-        starts = word_starts(buf, off)
-        ends = np.append(starts[1:], len(buf)) if len(starts) else starts
-        if len(buf) <= 2 * BLOCK:
-            h = span_hashes(buf, starts, ends, cased=True)
-        else:
-            parts, k = [], 0
-            while k < len(starts):
-                m = max(k + 1, int(np.searchsorted(ends, starts[k] + BLOCK, side="right")))
-                s = starts[k]
-                parts.append(span_hashes(buf[s : ends[m - 1]], starts[k:m] - s, ends[k:m] - s, cased=True))
-                k = m
-            h = np.concatenate(parts)
-        yield i, j, buf, starts, ends, h, np.searchsorted(starts, off)
+def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """flat[start : start + size] one after another."""
+    ends = np.cumsum(sizes)
+    if not len(ends) or not ends[-1]:
+        return flat[:0]
+    return flat[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1])]
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """(word, n) of words seen twice or more within a task, for the choice of common words."""
+def strings(data: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """An Arrow array of strings or binaries of the given sizes that lie one after another in data."""
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(kind, len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def words_of(texts: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the texts of a chunk: words in each text, the place of each word among the distinct ones, the most frequent first, and the hashes, sizes and bytes of these."""
+    hashes, counts, starts, sizes, bufs, base = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [], [], [], 0
+    for t in texts:
+        for _, _, buf, off in text_blocks(t):
+            at = word_starts(buf, off)
+            ends = np.append(at[1:], len(buf)) if len(at) else at
+            hashes.append(span_hashes(buf, at, ends, cased=True))
+            counts.append(np.diff(np.searchsorted(at, off)))
+            starts.append(at + base)
+            sizes.append((ends - at).astype(np.int32))
+            bufs.append(buf)
+            base += len(buf)
+    n = np.concatenate(counts)
+    code, uniq = pd.factorize(np.concatenate(hashes))
+    if not len(uniq):
+        return n, np.zeros(0, np.uint32), uniq, np.zeros(0, np.int64), np.zeros(0, np.uint8)
+    first = np.empty(len(uniq), np.int64)
+    first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+    order = np.argsort(-np.bincount(code), kind="stable")
+    rank = np.empty(len(uniq), np.uint32)
+    rank[order] = np.arange(len(uniq))
+    own = np.concatenate(sizes)[first[order]].astype(np.int64)
+    return n, rank[code], uniq[order], own, gather(np.concatenate(bufs), np.concatenate(starts)[first[order]], own)
+
+
+def chunked(docs: DataFrame, groups: int) -> DataFrame:
+    """(chunk, doc_ids, n_words, places, words): texts of about CHUNK bytes together, each word of them as its place among the chunk's distinct words, and these, dealt to `groups` groups by their hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, at = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        words: list[bytes] = []  # keys, in order, have their words at `at`
-        held: list[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def flush() -> None:
-            nonlocal keys, counts, at, words
-            base = np.cumsum([0, *(len(x[0]) for x in held)])
-            raw, h = b"".join(x[0] for x in held), np.concatenate([x[3] for x in held])
-            starts, ends = (np.concatenate([x[k] + b for x, b in zip(held, base, strict=False)]) for k in (1, 2))
-            uniq, first, n = np.unique(h, return_index=True, return_counts=True)
-            pos = np.minimum(np.searchsorted(keys, uniq), max(0, len(keys) - 1))
-            old = keys[pos] == uniq if len(keys) else np.zeros(len(uniq), bool)
-            counts[pos[old]] += n[old]
-            new = ~old
-            fresh = [raw[s:e] for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
-            keys, counts, at = np.concatenate([keys, uniq[new]]), np.concatenate([counts, n[new]]), np.concatenate([at, np.arange(len(words), len(words) + len(fresh))])
-            words += fresh
-            order = np.argsort(keys, kind="stable")
-            if len(words) > COUNTED:
-                order = order[counts[order] > 1]
-            keys, counts, at = keys[order], counts[order], at[order]
-            if len(words) > COUNTED:
-                words, at = [words[k] for k in at.tolist()], np.arange(len(at))
-            held.clear()
+        ids, texts, size = [], [], 0
+
+        def row() -> pa.RecordBatch:
+            n, places, h, sizes, data = words_of(texts)
+            group = (h % np.uint64(groups)).astype(np.int64)
+            order = np.argsort(group, kind="stable")
+            starts = np.cumsum(sizes) - sizes
+            of, first = np.unique(group[order], return_index=True)
+            packed = []
+            for g, w in zip(of.tolist(), np.split(order, first[1:]) if len(of) else [], strict=True):
+                text = gather(data, starts[w], sizes[w]).tobytes()
+                packed.append({"group": g, "places": pack(np.diff(w, prepend=0)), "sizes": pack(sizes[w]), "words": pa.compress(text, codec="zstd", asbytes=True), "bytes": len(text)})
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in (pa.chunked_array(ids).combine_chunks(), pa.array(n.astype(np.int64)))]
+            return pa.RecordBatch.from_arrays([*lists, pa.array([pack(places)], pa.binary()), pa.array([packed], kind)], ["doc_ids", "n_words", "places", "words"])
 
         for batch in batches:
-            for _, _, buf, starts, ends, h, _ in blocks_of_words(batch.column(0)):
-                held.append((buf.tobytes(), starts, ends, h))
-                if sum(len(x[0]) for x in held) > 8 * BLOCK:
-                    flush()
-        if held:
-            flush()
-        some = np.flatnonzero(counts > 1)
-        for i in range(0, len(some), 1 << 16):
-            part = some[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array([words[k].decode() for k in at[part].tolist()], pa.string()), pa.array(counts[part])], ["word", "n"])
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                ids.append(part.column(0))
+                texts.append(part.column(1))
+                size += part.column(1).nbytes
+                if size >= CHUNK:
+                    yield row()
+                    ids, texts, size = [], [], 0
+        if ids:
+            yield row()
 
-    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    kind = pa.list_(pa.struct([("group", pa.int64()), ("places", pa.binary()), ("sizes", pa.binary()), ("words", pa.binary()), ("bytes", pa.int64())]))
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_ids array<long>, n_words array<long>, places binary, words array<struct<group:long,places:binary,sizes:binary,words:binary,bytes:long>>")
+    return rows.withColumn("chunk", F.monotonically_increasing_id())
 
 
-def common_words(docs: DataFrame, path: str) -> DataFrame:
-    """(word, n, ids) of the most frequent words: as many as COMMON_WORDS and COMMON_BYTES allow, whole classes of like frequency."""
-    counted = stash(count_words(docs))
-    level = F.floor(F.log2("n") * 8).cast("int")
-    rows, size, least = 0, 0, 1 << 30
-    for lv, n, b in sorted(map(tuple, counted.groupBy(level).agg(F.count("*"), F.sum(F.octet_length("word"))).collect()), reverse=True):
-        rows, size = rows + n, size + b
-        if rows > COMMON_WORDS or size > COMMON_BYTES:
-            break
-        least = lv
-    return encoded(counted.filter(level >= least), path)
+def encode_words(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the words, one word after another, and how many each has.
+
+    Words that start with white space and end otherwise are encoded in one go, since no token spans their limits; the bytes of
+    the tokens then tell where each word ends.
+    """
+    piece_sizes = piece_table(path)[1]
+    joined = [w[0] in " \t\n\v\f\r" and not w[-1].isspace() for w in words]
+    out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(words)
+    some = [k for k, j in enumerate(joined) if not j]
+    i = 0
+    together = [k for k, j in enumerate(joined) if j]
+    while i < len(together):
+        j, size = i, 0
+        while j < len(together) and size < ENCODED:
+            size += len(words[together[j]])
+            j += 1
+        own = [words[k] for k in together[i:j]]
+        ids = np.array(tokenizer(path).encode("".join(own), add_special_tokens=False).ids, np.uint32)
+        ends = np.cumsum([len(w.encode()) for w in own])
+        reached = np.cumsum(piece_sizes[ids])
+        at = np.minimum(np.searchsorted(reached, ends), len(ids) - 1)
+        if (reached[at] == ends).all():
+            for k, x in zip(together[i:j], np.split(ids, at[:-1] + 1), strict=True):
+                out[k] = x
+        else:
+            some += together[i:j]
+        i = j
+    for i in range(0, len(some), 4096):
+        part = some[i : i + 4096]
+        for k, e in zip(part, tokenizer(path).encode_batch([words[k] for k in part], add_special_tokens=False), strict=True):
+            out[k] = np.array(e.ids, np.uint32)
+    sizes = np.array([len(x) for x in out], np.int64)
+    return (np.concatenate(out) if out else np.zeros(0, np.uint32)), sizes
 
 
 def encoded(words: DataFrame, path: str) -> DataFrame:
-    """words with ids, little-endian unsigned 32-bit integers; rows of equal words that stand together are encoded once."""
+    """(chunk, places, sizes, ids) for words(chunk, group, places, sizes, words, bytes) in order of group: each distinct word of a group is encoded once."""
+
+    def coded(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        sizes = [unpack(x) for x in rows["sizes"].to_pylist()]
+        data = b"".join(pa.decompress(w, decompressed_size=n, codec="zstd", asbytes=True) for w, n in zip(rows["words"].to_pylist(), rows["bytes"].to_pylist(), strict=True))
+        every = np.concatenate(sizes).astype(np.int64)
+        ends = np.cumsum(every)
+        code, uniq = pd.factorize(span_hashes(np.frombuffer(data, np.uint8), ends - every, ends, cased=True))
+        first = np.empty(len(uniq), np.int64)
+        first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+        ids, n = encode_words([data[e - s : e].decode() for s, e in zip(every[first].tolist(), ends[first].tolist(), strict=True)], path)
+        at, starts = 0, np.cumsum(n) - n
+        for k, s in enumerate(sizes):
+            c = code[at : at + len(s)]
+            at += len(s)
+            yield pa.RecordBatch.from_arrays([rows["chunk"].combine_chunks().slice(k, 1), rows["places"].combine_chunks().slice(k, 1), pa.array([pack(n[c])]), pa.array([pack(gather(ids, starts[c], n[c]))])], ["chunk", "places", "sizes", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, ids = None, b""
+        held: list[pa.Table] = []
+        now = None
         for batch in batches:
-            coded = batch.column(batch.schema.get_field_index("word")).dictionary_encode()
-            names = coded.dictionary.to_pylist()
-            new = [w for w in names if w != last]
-            table = dict(zip(new, (x.tobytes() for x in encode_words(new, path)), strict=True))
-            if last in set(names):
-                table[last] = ids
-            own = pa.array([table[w] for w in names], pa.binary()).take(coded.indices)
-            if batch.num_rows:
-                last = names[coded.indices[-1].as_py()]
-                ids = table[last]
-            yield pa.RecordBatch.from_arrays([*batch.columns, own], [*batch.schema.names, "ids"])
-
-    return words.mapInArrow(run, ", ".join([*(f"`{c}` {kind}" for c, kind in words.dtypes), "ids binary"]))
-
-
-class Table:
-    """Ids of the common words, flat, in the order given: the most frequent first, so that places are small numbers."""
-
-    def __init__(self, words: list[str], ids: list[bytes]):
-        data = [w.encode() for w in words]
-        ends = np.cumsum([len(w) for w in data])
-        parts = [np.zeros(0, np.uint64)]
-        for i in range(0, len(data), 1 << 14):
-            own = ends[i : i + (1 << 14)] - (ends[i - 1] if i else 0)
-            buf = np.frombuffer(b"".join(data[i : i + (1 << 14)]), np.uint8)
-            parts.append(span_hashes(buf, np.concatenate([[0], own[:-1]]), own, cased=True))
-        h = np.concatenate(parts)
-        self.order = np.argsort(h).astype(np.int32)
-        self.index = HashIndex(h[self.order])
-        sizes = np.array([len(x) // 4 for x in ids], np.int64)
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        self.sizes = sizes.astype(np.uint16 if sizes.max(initial=0) < 1 << 16 else np.int64)
-        self.starts = (np.cumsum(sizes) - sizes).astype(np.int32 if len(flat) < 1 << 31 else np.int64)
-        self.ids = flat.astype(np.uint16) if flat.max(initial=0) < 1 << 16 else flat
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """1 + the place of each hash's word, 0 if it isn't there."""
-        at = self.index.find(h)
-        out = np.zeros(len(h), np.uint32)
-        out[at >= 0] = self.order[at[at >= 0]] + 1
-        return out
-
-
-def pack(places: np.ndarray) -> bytes:
-    """Places as their lowest bytes, which hardly shrink, and the two planes above, compressed."""
-    high = np.stack([places >> 8 & 0xFF, places >> 16]).astype(np.uint8)
-    return (places & 0xFF).astype(np.uint8).tobytes() + pa.compress(high.tobytes(), codec="zstd", asbytes=True) if len(places) else b""
-
-
-def unpack(data: bytes, n: int) -> np.ndarray:
-    if not n:
-        return np.zeros(0, np.uint32)
-    p = np.frombuffer(pa.decompress(data[n:], decompressed_size=2 * n, codec="zstd"), np.uint8).reshape(2, n).astype(np.uint32)
-    return np.frombuffer(data, np.uint8, n) | p[0] << 8 | p[1] << 16
+            if not batch.num_rows:
+                continue
+            group = batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and group[a] != now:
+                    yield from coded(pa.concat_tables(held))
+                    held = []
+                now = group[a]
+                held.append(pa.Table.from_batches([batch.slice(a, b - a)]))
+        if held:
+            yield from coded(pa.concat_tables(held))
 
+    return words.select("chunk", "group", "places", "sizes", "words", "bytes").mapInArrow(run, "chunk long, places binary, sizes binary, ids binary")
 
-def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """flat[start : start + size] one after another."""
-    starts, sizes = starts.astype(np.int64), sizes.astype(np.int64)
-    ends = np.cumsum(sizes)
-    if not len(ends) or not ends[-1]:
-        return flat[:0]
-    return flat[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1])]
+
+def texts_of(ids: np.ndarray, sizes: np.ndarray, path: str) -> pa.Array:
+    """The texts of ids that lie one after another, `sizes` of them each: the pieces joined, with U+FFFD for bytes that are no UTF-8."""
+    starts, lengths, flat = piece_table(path)
+    data = [gather(flat, starts[x], lengths[x]) for x in (ids[i : i + TOKENS] for i in range(0, len(ids), TOKENS))]
+    ends = np.concatenate([[0], np.cumsum(lengths[ids])])
+    n = np.diff(ends[np.concatenate([[0], np.cumsum(sizes)])])
+    raw = strings(np.concatenate(data) if data else flat[:0], n, pa.binary())
+    try:
+        return raw.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([x.as_py().decode("utf-8", "replace") for x in raw], pa.string())
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
+def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
     """(doc_id, ids) for every row of docs(doc_id, text, ...): little-endian unsigned 32-bit ids, those of the tokenizers library on the whole text.
 
-    Texts are split into words, runs of white space with what follows. Each distinct common word is encoded once, in a
-    table whose size is bounded, which is broadcast; every other word goes, with its document and position, to the task
-    that encodes that word, and its ids come back by position. Special tokens in a text are recognised as the library does.
+    path names a byte-level vocabulary. Texts are split into words, runs of white space with what follows. A chunk of some
+    texts numbers its distinct words, by 64-bit hashes, and keeps each text as places among these, so that even the
+    commonest word travels once a chunk. Words are dealt to groups, whose number follows the size of the texts; there each
+    distinct word is encoded once, and ids come back to their chunks, where they are joined by position. `decoded` adds the
+    column text, what decode() makes of the ids. Special tokens in a text are recognised as the library does.
 
     Null and empty texts have no ids. Repeated rows are kept, each with its ids. Other columns are ignored. An empty table
     gives an empty table.
     """
-    bounded(docs.sparkSession)
-    table = common_words(docs, path).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
-    common = docs.sparkSession.sparkContext.broadcast(Table(table["word"].to_pylist(), table["ids"].to_pylist()))
-    del table
-    # where a doc_id repeats, maybe with another text, `tag` tells the texts apart
-    again = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    keyed = docs.select(F.col("doc_id").cast("long"), (F.hash("text") if again else F.lit(0)).alias("tag"), "text").withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
-
-    def other_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tags = batch.column(1).to_numpy().astype(np.int64) << 32
-            for i, _, buf, starts, ends, h, at in blocks_of_words(batch.column(2)):
-                miss = np.flatnonzero(common.value.find(h) == 0)
-                row = np.searchsorted(at, miss, side="right") - 1
-                raw = buf.tobytes()
-                words = pa.array([raw[s:e].decode() for s, e in zip(starts[miss].tolist(), ends[miss].tolist(), strict=True)], pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(3).take(pa.array(row + i)), pa.array(tags[row + i] | (miss - at[row])), words], ["key", "at", "word"])
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, _, _, _, h, at in blocks_of_words(batch.column(2)):
-                p = common.value.find(h)
-                coded = [pack(p[at[k] : at[k + 1]]) for k in range(j - i)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in (0, 1, 3)), pa.array(np.diff(at), pa.int32()), pa.array(coded, pa.binary())], ["doc_id", "tag", "key", "n_words", "places"])
-
-    others = keyed.mapInArrow(other_words, "key long, at long, word string").repartition("word").sortWithinPartitions("word")
-    fills = encoded(others, path).select("key", "at", "ids").repartition("key").groupBy("key").agg(F.collect_list("at").alias("at"), F.collect_list("ids").alias("ids"))
-    coded = keyed.mapInArrow(places, "doc_id long, tag int, key long, n_words int, places binary")
-    rows = coded.join(fills, "key", "left").select("doc_id", "tag", "n_words", "places", "at", "ids")
-
-    def whole(t: Table, tag: int, n: int, packed: bytes, at: pa.ListScalar, own: pa.ListScalar) -> bytes:
-        """The ids of one text: those of common words by place, the others by position."""
-        p = unpack(packed, n).astype(np.int64) - 1
-        lost = p < 0
-        if not lost.any():
-            return gather(t.ids, t.starts[p], t.sizes[p]).astype("<u4").tobytes()
-        where, data = at.values.to_numpy(), own.values.to_pylist()
-        mine = np.flatnonzero(where >> 32 == tag)
-        pos = where[mine] & 0xFFFFFFFF
-        sizes, start = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        some = [data[k] for k in mine.tolist()]
-        more = np.array([len(x) // 4 for x in some])
-        sizes[pos], start[pos] = more, np.cumsum(more) - more
-        low, fill = gather(t.ids, t.starts[p[~lost]], t.sizes[p[~lost]]), gather(np.frombuffer(b"".join(some), "<u4"), start[lost], sizes[lost])
-        sizes[~lost] = t.sizes[p[~lost]]
-        out, filled = np.zeros(sizes.sum(), "<u4"), np.repeat(lost, sizes)
-        out[~filled], out[filled] = low, fill
-        return out.tobytes()
+    spark = docs.sparkSession
+    bounded(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = max(parts, size // GROUP)
+    chunks = stash(chunked(docs, groups))
+    words = chunks.select("chunk", F.explode("words").alias("w")).select("chunk", "w.*").repartition(groups, "group").sortWithinPartitions("group")
+    fills = encoded(words, path).groupBy("chunk").agg(F.collect_list(F.struct("places", "sizes", "ids")).alias("fills"))
+    rows = chunks.select("chunk", "doc_ids", "n_words", "places").hint("merge").join(fills, "chunk", "left").select("doc_ids", "n_words", "places", "fills")
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                ids = [whole(common.value, tag, n, packed, at, own) for tag, n, packed, at, own in zip(*(part.column(k).to_pylist() for k in (1, 2, 3)), part.column(4), part.column(5), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-
-    return rows.mapInArrow(assemble, "doc_id long, ids binary")
+            for r in range(batch.num_rows):
+                docs, n_words = (batch.column(c)[r].values for c in (0, 1))
+                ends = np.concatenate([[0], np.cumsum(n_words.to_numpy())])
+                places = unpack(batch.column(2)[r].as_py())
+                fills = batch.column(3)[r].as_py() or []
+                at = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(unpack(f["places"]).astype(np.int64)) for f in fills)])
+                more = np.concatenate([np.zeros(0, np.int64), *(unpack(f["sizes"]).astype(np.int64) for f in fills)])
+                flat = np.concatenate([np.zeros(0, "<u4"), *(unpack(f["ids"]) for f in fills)])
+                del fills
+                starts, sizes = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+                starts[at], sizes[at] = np.cumsum(more) - more, more
+                a = 0
+                while a < len(docs):  # some texts at a time
+                    b = max(a + 1, int(np.searchsorted(ends, ends[a] + TOKENS, side="right")) - 1)
+                    p = places[ends[a] : ends[b]]
+                    ids = gather(flat, starts[p], sizes[p])
+                    n = np.diff(np.concatenate([[0], np.cumsum(sizes[p])])[ends[a : b + 1] - ends[a]])
+                    cols = [docs.slice(a, b - a), strings(ids.view(np.uint8), 4 * n, pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*cols, texts_of(ids, n, path)] if decoded else cols, names)
+                    a = b
+
+    names = ["doc_id", "ids", "text"] if decoded else ["doc_id", "ids"]
+    return rows.mapInArrow(assemble, "doc_id long, ids binary" + ", text string" * decoded)
 
 
 @lru_cache(maxsize=4)
@@ -287,19 +284,15 @@ def piece_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def decode(coded: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, text) for coded(doc_id, ids): every id's piece, special tokens too, one after another; bytes that are no UTF-8 become U+FFFD.
 
-    The pieces are a table of the vocabulary's size, which is fixed, so that it is sent to every task.
+    The pieces are a table of the vocabulary's size, which is fixed and read where it is used. Null ids give an empty text.
     """
-    table = coded.sparkSession.sparkContext.broadcast(piece_table(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts, sizes, flat = table.value
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                texts = []
-                for x in part.column(1):
-                    ids = np.frombuffer(x.as_buffer(), "<u4")
-                    texts.append(gather(flat, starts[ids], sizes[ids]).tobytes().decode("utf-8", "replace"))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                own = part.column(1).fill_null(b"")
+                ids = np.frombuffer(b"".join(own.to_pylist()), "<u4")
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), texts_of(ids, pa.compute.binary_length(own).to_numpy() // 4, path)], ["doc_id", "ids", "text"])
 
-    return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")
+    return coded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, ids binary, text string")

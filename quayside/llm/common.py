@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,13 +19,9 @@ BLOCK = 1 << 18
 #: Rows of 8-byte keys that may be broadcast (16 MB); larger sides are shuffled.
 BROADCAST_KEYS = 1 << 21
 
-_rng = np.random.default_rng(20240607)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
-_BYTE[65:91] = _BYTE[97:123]  # A-Z hash like a-z
-_CASED = _rng.integers(1, 2**63, 256, dtype=np.uint64)
-_R = np.uint64(0x9E3779B97F4A7C15)
-_R_INV = np.uint64(pow(int(_R), -1, 2**64))
-_powers: dict[str, np.ndarray] = {}
+#: Longer words are hashed one by one.
+LONG_WORD = 64
+_MASK = np.array([2 ** (8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -43,28 +40,48 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers["r"]) < n:
-        m = max(n, BLOCK + 1)
-        for k, base in (("r", _R), ("inv", _R_INV)):
-            p = np.full(m, base, np.uint64)
-            p[0] = 1
-            _powers[k] = np.cumprod(p, dtype=np.uint64)
-        if m > 4 * BLOCK:  # a huge unbroken word: don't keep its tables
-            out = _powers["r"], _powers["inv"]
-            _powers.clear()
-            return out
-    return _powers["r"], _powers["inv"]
+def lower_case(buf: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z in lower case."""
+    return buf + ((buf - np.uint8(65)) < 26) * np.uint8(32)
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, cased: bool = False) -> np.ndarray:
-    """64-bit hashes of buf[start:end]: differences of one running polynomial, then mixed with the length."""
+    """64-bit hashes of buf[start:end], of eight bytes at a time."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    r, inv = _power(len(buf) + 1)
-    c = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((_CASED if cased else _BYTE)[buf] * r[: len(buf)], dtype=np.uint64, out=c[1:])
-    return mix((c[ends] - c[starts]) * inv[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    data = np.concatenate([buf if cased else lower_case(buf), np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(buf) + 1, "<u8", data, strides=(1,))
+    sizes = ends - starts
+    h = sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x632BE59BD9B4E019)
+    rows = None if sizes.max() <= LONG_WORD else np.flatnonzero(sizes <= LONG_WORD)
+    for k in range(0, LONG_WORD, 8):
+        at, left = (starts + k, sizes - k) if rows is None else (starts[rows] + k, sizes[rows] - k)
+        x = (eight[at] & _MASK[np.minimum(left, 8)] ^ (h if rows is None else h[rows])) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+        more = np.flatnonzero(left > 8)
+        if rows is None:
+            h, rows = x, more
+        else:
+            h[rows], rows = x, rows[more]
+        if not len(rows):
+            break
+    for k in np.flatnonzero(sizes > LONG_WORD).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes())
+    return mix(h)
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Unsigned integers below 2^32 as compressed planes of their bytes; small ones take little room."""
+    planes = np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return len(x).to_bytes(4, "little") + (pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(x) else b"")
+
+
+def unpack(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    if not n:
+        return np.zeros(0, np.uint32)
+    planes = np.frombuffer(pa.decompress(data[4:], decompressed_size=4 * n, codec="zstd"), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
 def text_blocks(texts: pa.Array, least: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -93,7 +110,7 @@ def text_blocks(texts: pa.Array, least: int = BLOCK) -> Iterator[tuple[int, int,
 
 def word_spans(buf: np.ndarray, off: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words, and for each row the number of words before it (one entry more than rows)."""
-    word = ~gap[buf]
+    word = ~blanks(buf) if gap is SPACE else ~gap[buf]
     first, last = word.copy(), word.copy()
     if len(buf):
         first[1:] &= ~word[:-1]
@@ -106,18 +123,15 @@ def word_spans(buf: np.ndarray, off: np.ndarray, gap: np.ndarray = SPACE) -> tup
     return starts, ends, np.searchsorted(starts, off)
 
 
+def blanks(buf: np.ndarray) -> np.ndarray:
+    """SPACE[buf]."""
+    return (buf == 32) | ((buf - np.uint8(9)) < 5)
+
+
 def hashed_words(buf: np.ndarray, off: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the words with A-Z in lower case, word counts before each row, starts, ends. Long rows are hashed in parts that end between words."""
+    """Hashes of the words with A-Z in lower case, word counts before each row, starts, ends."""
     starts, ends, at = word_spans(buf, off, gap)
-    if len(buf) <= 2 * BLOCK:
-        return span_hashes(buf, starts, ends), at, starts, ends
-    parts, i = [], 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK, side="right")))
-        s = starts[i]
-        parts.append(span_hashes(buf[s : ends[j - 1]], starts[i:j] - s, ends[i:j] - s))
-        i = j
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint64), at, starts, ends
+    return span_hashes(buf, starts, ends), at, starts, ends
 
 
 def shingle_hashes(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
@@ -202,7 +216,7 @@ def stash(df: DataFrame) -> DataFrame:
     """The same rows read from Parquet in the checkpoint folder, which takes less room than a checkpoint of wide rows."""
     shared(df.sparkSession)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -11,8 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import pack, unpack
-from .common import HashIndex, bounded, cut, discard, forget, hashed_words, mix, placed, stash, text_blocks
+from .common import HashIndex, bounded, cut, discard, forget, hashed_words, mix, pack, placed, stash, text_blocks, unpack
 
 #: Hidden states, passes of Baum-Welch, and the most words whose emission probabilities are broadcast; those of all others are joined.
 STATES, PASSES, SYMBOLS = 8, 6, 1 << 19
@@ -188,7 +187,7 @@ def first_model(freq: np.ndarray, states: int, words: np.ndarray | None = None,
 def own_symbols(batch: pa.RecordBatch, m: Model, scale: np.ndarray) -> tuple[list[np.ndarray], Model, np.ndarray]:
     """Texts of a batch (n_tokens, symbols, own) over the words that occur in it, the model over these, and which of m's symbols they are: joined words follow them in order."""
     symbols, states = m.emit.shape
-    texts = [unpack(x, n) for n, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+    texts = [unpack(x) for x in batch.column(1).to_pylist()]
     flat = np.concatenate(texts)
     at = np.cumsum([len(x) for x in texts])
     other = flat == symbols

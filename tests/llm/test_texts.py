@@ -140,7 +140,7 @@ def test_shards_number_their_rows_without_gaps(spark):
     assert all(len(s) == 1 for s in of.values())
 
 
-def test_ids_and_texts_equal_the_library(spark):
+def test_ids_and_texts_equal_the_library(spark, monkeypatch):
     t = Tokenizer.from_file(PATH)
     rng = np.random.default_rng(1)
     odd = ["", None, "a  b", " \n\n x\t y ", "   x", "a<|endoftext|> b  <|endoftext|>", "é\u0085 z", "can't won't  'll 's", "x" * 5000, "日本 語　 中", "\n", "a\u00a0 b", "tab\tcr\r\nnl", "🙂 🙂🙂  é x", "same text here"] * 2
@@ -151,10 +151,14 @@ def test_ids_and_texts_equal_the_library(spark):
     want = sorted((i // 2, np.array(t.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes(), x or "") for i, x in enumerate(odd))
     assert [(g[0], bytes(g[1]), g[2]) for g in got] == want
     assert bpe.encode(df.limit(0), PATH).collect() == []
+    for chunk in (1, 500, 1 << 20):
+        monkeypatch.setattr(bpe, "CHUNK", chunk)
+        got = sorted((r.doc_id, r.ids, r.text) for r in bpe.encode(df, PATH, decoded=True).collect())
+        assert [(g[0], bytes(g[1]), g[2]) for g in got] == want
 
 
-def test_words_beyond_the_common_table_come_back_by_position(spark, monkeypatch):
-    monkeypatch.setattr(bpe, "COMMON_WORDS", 3)
+def test_distinct_words_come_back_by_position(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "GROUP", 100)
     texts = [" ".join(f"word{(i * j) % 37}" for j in range(50)) for i in range(40)]
     t = Tokenizer.from_file(PATH)
     got = {r.doc_id: bytes(r.ids) for r in bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH).collect()}
