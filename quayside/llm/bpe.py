@@ -12,7 +12,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blanks, bounded, pack, span_hashes, stash, text_blocks, unpack
+from .common import blanks, bounded, bucketed, pack, span_hashes, text_blocks, unpack
 
 #: Bytes of text whose words are numbered together, and of text for each group of words; a longer text is a chunk of its own.
 CHUNK, GROUP = 24 << 20, 16 << 20
@@ -234,9 +234,10 @@ def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(parts, size // GROUP)
-    chunks = stash(chunked(docs, groups))
+    buckets = min(groups, 1 << 16)
+    chunks = bucketed(chunked(docs, groups), "chunk", buckets)
     words = chunks.select("chunk", F.explode("words").alias("w")).select("chunk", "w.*").repartition(groups, "group").sortWithinPartitions("group")
-    fills = encoded(words, path).groupBy("chunk").agg(F.collect_list(F.struct("places", "sizes", "ids")).alias("fills"))
+    fills = encoded(words, path).repartition(buckets, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("places", "sizes", "ids")).alias("fills"))
     rows = chunks.select("chunk", "doc_ids", "n_words", "places").hint("merge").join(fills, "chunk", "left").select("doc_ids", "n_words", "places", "fills")
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
