@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, cut, hashed_words, measured, mix, shingle_hashes, text_blocks
@@ -46,8 +46,19 @@ def registers(shingles: np.ndarray, xors: np.ndarray, odds: np.ndarray) -> np.nd
     return np.clip(np.floor(1 - np.log(x) / math.log(BASE)), 0, TOP).astype(">u2")
 
 
+def text_hash() -> Column:
+    """Tells apart the texts of one doc_id."""
+    return F.xxhash64("text")
+
+
+def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(rep, text) for ids(rep, doc_id, text_hash)."""
+    rows = docs.select(F.col("doc_id").cast("long"), text_hash().alias("text_hash"), "text")
+    return rows.join(measured(ids), (rows["doc_id"].eqNullSafe(ids["doc_id"])) & (rows["text_hash"] == ids["text_hash"])).select("rep", "text").dropDuplicates(["rep"])
+
+
 def sketches(docs: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2, registers) of each row's whole text; h1 and h2 are sums over the set, alike for equal sets only."""
+    """(doc_id, text_hash, n_shingles, h1, h2, registers) of each row's whole text; h1 and h2 are sums over the set, alike for equal sets only."""
     m = bands_for(threshold) * ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,9 +73,9 @@ def sketches(docs: DataFrame, shingle: int, threshold: float) -> DataFrame:
                     h1.append(int(mix(s ^ np.uint64(1)).sum(dtype=np.uint64).view(np.int64)))
                     h2.append(int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
                     reg.append(registers(s, xors, odds).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(reg, pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "registers"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(reg, pa.binary())], ["doc_id", "text_hash", "n_shingles", "h1", "h2", "registers"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, registers binary")
+    return docs.select(F.col("doc_id").cast("long"), "text", text_hash().alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, registers binary")
 
 
 def shingle_sets(texts: pa.Array, shingle: int) -> Iterator[np.ndarray]:
@@ -111,10 +122,10 @@ def estimate(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs with 100 * intersection >= percent * union on the full sets of their whole texts."""
-    ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    texts = docs.select("doc_id", "text").join(measured(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    texts = texts_of(cut(reps.select("rep", "doc_id", "text_hash").join(ids, "rep")), docs)
     rows = pairs.join(texts.toDF("a", "t1"), "a").join(texts.toDF("b", "t2"), "b").select("a", "b", "t1", "t2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,19 +167,26 @@ def block_links(sets: list[np.ndarray], component: np.ndarray, percent: int) ->
         label = new
 
 
-def settle(members: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+def settle(members: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links (a, b) that connect whatever is linked between different components within a cluster, for members(hub, rep, component, n_shingles).
 
-    A cluster is cut into blocks of bounded content, and each pair of blocks is compared in one task, which returns at most
-    a link for each of its members. So no pair is left out, and none is written out unless it joins something.
+    A cluster is cut into blocks of bounded content: those of its largest component, and those of all the rest. Two blocks are
+    compared in one task, which returns at most a link for each of its members; blocks of the largest component aren't
+    compared with each other. So no pair of different components is left out, none is written out unless it joins something,
+    and the few that a large group leaves open are compared with its members, not all members with each other.
     """
-    open_ = members.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum("n_shingles").alias("size")).filter("lo <> hi")
-    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_SETS, F.col("size") / BLOCK_SHINGLES)).cast("int")
-    own = members.join(open_.select("hub", blocks.alias("blocks")), "hub").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    sizes = members.groupBy("hub", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
+    largest = F.max(F.struct("n", "component", "size")).alias("top")
+    open_ = sizes.groupBy("hub").agg(largest, F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("size").alias("size")).filter("parts > 1")
+    blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK_SETS, size / BLOCK_SHINGLES, F.lit(1))).cast("int")
+    main, rest = blocks(F.col("top.n"), F.col("top.size")), blocks(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size"))
+    open_ = measured(cut(open_.select("hub", F.col("top.component").alias("top"), main.alias("main"), rest.alias("rest"))))
+    own = members.join(open_, "hub").withColumn("inner", F.col("component") == F.col("top"))
+    own = own.withColumn("own", F.when(F.col("inner"), F.pmod(F.xxhash64("rep"), "main")).otherwise(F.col("main") + F.pmod(F.xxhash64("rep"), "rest")).cast("int"))
+    other = F.explode(F.sequence(F.when(F.col("inner"), F.col("main")).otherwise(0), F.col("main") + F.col("rest") - 1)).alias("other")
     dealt = own.select("hub", "rep", "component", "own", other).select("hub", "rep", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    ids = cut(own.select(F.col("rep").alias("doc_id")).distinct())
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(measured(ids.withColumnRenamed("doc_id", "rep")), "rep", "left_semi").dropDuplicates(["rep"])
+    ids = own.select("rep").distinct()
+    texts = texts_of(cut(reps.select("rep", "doc_id", "text_hash").join(ids, "rep")), docs)
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("rep")
@@ -187,8 +205,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     (A-Z in lower case, words split at ASCII white space). component_id is the smallest doc_id reachable by links.
 
     Null, empty and blank texts have an empty set and stay alone. A text of fewer words is one shingle. Equal sets are
-    folded into their smallest doc_id before anything is paired, so that copies cost nothing. A repeated row gets the same
-    result again. Other columns are ignored. An empty table gives an empty table.
+    folded before anything is paired, so that copies cost nothing. A repeated row gets the same result again; a doc_id with
+    several texts gets a row for each, linked by that text alone. Rows without doc_id have a component without one. Other
+    columns are ignored. An empty table gives an empty table.
 
     Candidates: within each band's bucket, every member is paired with the smallest one, its hub; pairs that the registers
     leave plausible are verified on the full sets and contracted to components. Then the members of all buckets of one hub
@@ -198,26 +217,31 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     bounded(docs.sparkSession)
     threshold = percent / 100
     sk = cut(sketches(docs, shingle, threshold))
-    reps = cut(sk.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")))
+    # a set is known by a number of its own, as one doc_id may come with several texts
+    first = F.min(F.struct("doc_id", "text_hash")).alias("first")
+    reps = sk.filter("n_shingles > 0").groupBy("h1", "h2").agg(first, F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
+    reps = cut(reps.select(F.monotonically_increasing_id().alias("rep"), "h1", "h2", "first.*", "n_shingles", "registers"))
     width = 2 * ROWS
     band = F.explode(F.sequence(F.lit(0), F.lit(bands_for(threshold) - 1)))
     bands = reps.select("rep", "registers", band.alias("i")).select("rep", F.xxhash64(F.expr(f"substring(registers, {width} * i + 1, {width})"), "i").alias("bucket"))
     hubs = bands.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     members = cut(bands.join(hubs, "bucket").groupBy("hub", "rep").agg(F.max("n").alias("n")))
     stars = members.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-    links = cut(verify(cut(estimate(stars, reps, threshold)), docs, shingle, percent))
+    links = cut(verify(cut(estimate(stars, reps, threshold)), reps, docs, shingle, percent))
     found = components(links)
 
     # a bucket of two was settled by its star
-    wide = members.groupBy("hub").agg(F.max("n").alias("most")).filter("most > 2").select("hub")
+    wide = measured(cut(members.groupBy("hub").agg(F.max("n").alias("most")).filter("most > 2").select("hub")))
     rest = members.join(wide, "hub").join(found.withColumnRenamed("node", "rep"), "rep", "left").join(reps.select("rep", "n_shingles"), "rep")
-    more = cut(settle(cut(rest.select("hub", "rep", F.coalesce("component", "rep").alias("component"), "n_shingles")), docs, shingle, percent))
+    more = cut(settle(cut(rest.select("hub", "rep", F.coalesce("component", "rep").alias("component"), "n_shingles")), reps, docs, shingle, percent))
     if more.limit(1).count():
         found = components(links.unionByName(more))
 
-    of = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
+    linked = reps.select("rep", "h1", "h2", "doc_id").join(found.withColumnRenamed("node", "rep"), "rep")
+    least = measured(cut(linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))))
+    of = linked.join(least, "component").select("h1", "h2", "component_id").unionByName(reps.join(found, F.col("rep") == F.col("node"), "left_anti").select("h1", "h2", F.col("doc_id").alias("component_id")))
     return (
-        sk.drop("registers").join(of, ["h1", "h2"], "left")
+        sk.drop("registers", "text_hash").join(of, ["h1", "h2"], "left")
         .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )

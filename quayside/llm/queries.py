@@ -137,40 +137,34 @@ def _op8_sql() -> str:
     host = f"translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{u.UPPER}', '{u.LOWER}')"
     fits = [(v, r, *r.partition("/")) for v, r in sorted(RULES, key=lambda r: (-len(r[1]), r[1]))]
     when = lambda what: "CASE " + " ".join(f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{s}{p}') THEN '{r if what else v}'" for v, r, h, s, p in fits) + " END"
-    levels, last = [], "t0"
-    for d in range(u.DEPTH + 1):
-        levels.append(f"""
-c{d} AS (SELECT host, template, segs[{d + 1}] AS seg, sum(n) AS n, sum(labelled) AS labelled, sum(good) AS good FROM {last} GROUP BY ALL),
-k{d} AS (
-  SELECT *, count(*) OVER w AS branches, sum(n) OVER w AS all_n, sum(labelled) OVER w AS all_labelled, sum(good) OVER w AS all_good
-  FROM c{d} WINDOW w AS (PARTITION BY host, template)),
-w{d} AS (SELECT *, CASE WHEN branches > {u.BRANCH} AND n < {u.SHARE} * all_n AND seg <> '' THEN '*' ELSE seg END AS wide FROM k{d}),
-p{d} AS (
-  SELECT *, sum(labelled) OVER v AS ol, sum(good) OVER v AS og, all_good / greatest(all_labelled, 1)::DOUBLE AS p
-  FROM w{d} WINDOW v AS (PARTITION BY host, template, wide)),
-s{d} AS (
-  SELECT host, template, seg, CASE WHEN wide = '' OR (abs(og - ol * p) >= {u.SIMILAR} * sqrt(ol * p * (1 - p)) AND ol > 0 AND p > 0 AND p < 1) THEN wide ELSE '+' END AS step FROM p{d}),
-t{d + 1} AS (
-  SELECT t.host, segs, n, labelled, good, CASE WHEN step = '' THEN t.template ELSE t.template || '/' || step END AS template
-  FROM {last} t JOIN s{d} s ON s.host = t.host AND s.template = t.template AND s.seg = t.segs[{d + 1}])""")
-        last = f"t{d + 1}"
     return rf"""
-WITH u AS (SELECT page_id, url, {host} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-parts AS (SELECT *, list_filter(string_split(regexp_replace(path, '[0-9]+', '*', 'g'), '/'), lambda s: s <> '') AS ps FROM u),
-seen AS (
-  SELECT page_id, url, host, path, [{", ".join(f"coalesce(ps[{i}], '')" for i in range(1, u.DEPTH + 1))}, CASE WHEN len(ps) > {u.DEPTH} THEN '**' ELSE '' END] AS segs FROM parts),
+WITH RECURSIVE u AS (SELECT page_id, url, {host} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+seen AS (SELECT page_id, url, host, path, list_filter(string_split(regexp_replace(path, '[0-9]+', '*', 'g'), '/'), lambda s: s <> '') AS segs FROM u),
 votes AS (SELECT doc_id, avg(quality) AS vote FROM labels WHERE quality IN (0, 1) GROUP BY 1 HAVING avg(quality) <> 0.5),
 marks AS (
   SELECT page_id, count(*) AS labelled, sum((vote > 0.5)::INT) AS good
   FROM (SELECT page_id, try_cast(regexp_extract(url, '(?s)^.*?://[^/?#]*/(?:[^?#]*/)?([0-9]+)[^/?#]*/?(?:[?#].*)?$', 1) AS BIGINT) AS doc_id FROM pages) JOIN votes USING (doc_id) GROUP BY 1),
-t0 AS (
-  SELECT host, segs, count(*) AS n, coalesce(sum(labelled), 0) AS labelled, coalesce(sum(good), 0) AS good, '' AS template
-  FROM seen LEFT JOIN marks USING (page_id) GROUP BY host, segs),
-{",".join(levels)},
-prior AS (SELECT coalesce(sum(good) / sum(labelled)::DOUBLE, 1.0) AS p FROM {last}),
-leaf AS (SELECT host, template, (sum(good) + {u.WEIGHT} * any_value(p)) / (sum(labelled) + {u.WEIGHT}) AS purity FROM {last}, prior GROUP BY 1, 2)
+t AS (
+  SELECT 0 AS level, false AS ended, host, segs, count(*)::DOUBLE AS n, coalesce(sum(labelled), 0)::DOUBLE AS labelled, coalesce(sum(good), 0)::DOUBLE AS good, '' AS template
+  FROM seen LEFT JOIN marks USING (page_id) GROUP BY host, segs
+  UNION ALL
+  SELECT level + 1, step = '', host, segs, n, labelled, good, CASE WHEN step = '' THEN template ELSE template || '/' || step END
+  FROM (
+    SELECT *, CASE WHEN wide = '' OR (abs(og - ol * p) >= {u.SIMILAR} * sqrt(ol * p * (1 - p)) AND ol > 0 AND p > 0 AND p < 1) THEN wide ELSE '+' END AS step
+    FROM (
+      SELECT *, sum(labelled) OVER v AS ol, sum(good) OVER v AS og, all_good / greatest(all_labelled, 1) AS p
+      FROM (
+        SELECT *, CASE WHEN branches > {u.BRANCH} AND own_n < {u.SHARE} * all_n AND seg <> '' THEN '*' ELSE seg END AS wide
+        FROM (
+          SELECT *, count(DISTINCT seg) OVER w AS branches, sum(n) OVER (PARTITION BY host, template, seg) AS own_n, sum(n) OVER w AS all_n,
+            sum(labelled) OVER w AS all_labelled, sum(good) OVER w AS all_good
+          FROM (SELECT *, coalesce(segs[level + 1], '') AS seg FROM t WHERE NOT ended) WINDOW w AS (PARTITION BY host, template)))
+      WINDOW v AS (PARTITION BY host, template, wide)))),
+tree AS (SELECT * FROM t WHERE ended),
+prior AS (SELECT coalesce(sum(good) / nullif(sum(labelled), 0), 1.0) AS p FROM tree),
+leaf AS (SELECT host, template, (sum(good) + {u.WEIGHT} * any_value(p)) / (sum(labelled) + {u.WEIGHT}) AS purity FROM tree, prior GROUP BY 1, 2)
 SELECT page_id, host, path, {when(True)} AS rule, coalesce({when(False)}, CASE WHEN purity < {u.LEAST} THEN 'block' ELSE 'allow' END) AS verdict, template
-FROM seen JOIN {last} t USING (host, segs) JOIN leaf USING (host, template)
+FROM seen JOIN tree USING (host, segs) JOIN leaf USING (host, template)
 """
 
 

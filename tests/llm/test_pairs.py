@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quayside.llm import minhash, vectors
 from quayside.llm.components import components
@@ -58,6 +59,39 @@ def test_near_duplicates_equal_brute_force(spark):
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), want[r.doc_id], want[r.doc_id] == r.doc_id)
 
 
+def test_clusters_are_settled_in_blocks(spark, monkeypatch):
+    # chains of texts in which neighbours are linked and others aren't, so that stars leave several components
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(100)]
+    rows, now = [], list(base)
+    for i in range(16):
+        rows.append((i, " ".join(now)))
+        now[rng.randrange(100)] = f"n{i}"
+    sets = {i: shingles(t, 3) for i, t in rows}
+    links = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    want = closure(sets, links)
+    monkeypatch.setattr(minhash, "BLOCK_SETS", 4)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_settle_links_every_pair_of_different_components(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_SETS", 3)
+    texts = [f"{'same words here ' * 3} and more of them " + " ".join(f"x{j}" for j in range(30)) + f" t{i // 2}" for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    reps = docs.select(F.col("doc_id").alias("rep"), "doc_id", minhash.text_hash().alias("text_hash"))
+    members = spark.createDataFrame([(0, i, 0 if i < 25 else i, 40) for i in range(40)], "hub long, rep long, component long, n_shingles long")
+    links = [(r.a, r.b) for r in minhash.settle(members, reps, docs, 3, 85).collect()] + [(0, i) for i in range(25)]
+    assert set(closure(range(40), links).values()) == {0}
+
+
+def test_one_id_with_several_texts_loses_no_link(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(50)) for x in "ab")
+    got = minhash.near_duplicates(spark.createDataFrame([(1, a), (1, b), (2, b + " more"), (None, a + " tail"), (7, "alone")], "doc_id long, text string"), 3, 85).collect()
+    found = sorted((r.n_shingles, r.doc_id or 0, r.component_id or 0) for r in got)
+    assert found == [(1, 7, 7), (48, 1, 0), (48, 1, 1), (49, 0, 0), (49, 2, 1)] or found == [(1, 7, 7), (48, 1, 1), (48, 1, 1), (49, 0, 1), (49, 2, 1)]
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], DOCS)).collect() == []
 

@@ -49,6 +49,18 @@ def test_repeated_rows_are_one_document(spark):
     assert sorted((r.doc_id, r.text) for r in line_dedup.dedup_lines(df).collect()) == [(1, "a\nb\nc"), (1, "a\nb\nc"), (2, "")]
 
 
+def test_one_id_with_several_texts_loses_no_unique_line(spark):
+    rows = [(1, "a\nb\nc\nd"), (1, "p\nq\nr\ns"), (0, "a\nb\nc"), (None, "k\nl\nm"), (None, "k\nl\nm\nn"), (5, "k\nl\nm")]
+    df = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "doc_id long, text string, `__of__` int, runs int, lines int, doc int")
+    got = line_dedup.dedup_lines(df)
+    assert got.columns == [*df.columns, "n_lines", "n_removed"]
+    texts = sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in got.collect())
+    rest = [(0, "a\nb\nc"), (1, "d"), (1, "p\nq\nr\ns"), (5, "")]
+    # which of the texts without id comes first is settled by their hash
+    assert texts in ([(-1, ""), (-1, "k\nl\nm\nn"), *rest], [(-1, "k\nl\nm"), (-1, "n"), *rest])
+
+
+
 def words(text):
     out, word = [], ""
     for c in (text or "") + " ":
@@ -184,6 +196,18 @@ def test_rules_and_templates(spark):
     assert url_filter.judge(pages.limit(0), spark.createDataFrame([], "page_id long, good boolean"), RULES).collect() == []
 
 
+def test_templates_go_to_the_last_segment(spark):
+    urls = [f"https://h.com/a/b/c/d/{kind}/p{i}" for kind in ("ok", "bad") for i in range(60)] + [f"https://h.com/a/b/c/d/{kind}/{i}/x/y" for kind in ("ok", "bad") for i in range(60)] + ["https://h.com/a", "https://other.com/" + "q/" * 300]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(0, urls[0])], "page_id long, url string")
+    labels = spark.createDataFrame([(i, "/ok/" in u) for i, u in enumerate(urls) if "/d/" in u], "page_id long, good boolean")
+    got = url_filter.judge(pages, labels, []).collect()
+    assert len(got) == len(urls) + 1
+    for r in got:
+        assert r.verdict == ("block" if "/bad/" in urls[r.page_id] else "allow"), r
+        assert r.template.count("/") == sum(1 for s in r.path.split("/") if s)
+    assert {r.verdict for r in url_filter.judge(pages, labels.limit(0), []).collect()} == {"allow"}
+
+
 def test_checksums_of_the_query_are_those_of_the_ids(spark):
     ids = np.array([1, 50256], "<u4").tobytes()
     df = spark.createDataFrame([(1, ids)], "doc_id long, ids binary")
