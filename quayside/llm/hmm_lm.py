@@ -17,8 +17,8 @@ from .common import HashIndex, bounded, cut, discard, forget, hashed_words, mix,
 STATES, PASSES, SYMBOLS = 8, 6, 1 << 19
 #: The most words whose counts are broadcast, and so the most words broadcast at all.
 COMMON = 1 << 20
-#: Training sequences are cut after so many tokens; scores never are. Sequences in one matrix.
-SEGMENT, WIDTH = 256, 2048
+#: Tokens of a long text that are gone through side by side with its other parts, sequences in one matrix, and tokens in one.
+SEGMENT, WIDTH, CELLS = 2048, 2048, 1 << 20
 #: Weight, in tokens, of the corpus's word frequencies in each state's emissions, and of an even choice in its transitions.
 SMOOTH_WORDS, SMOOTH_STATES = 20.0, 1.0
 
@@ -26,7 +26,6 @@ SMOOTH_WORDS, SMOOTH_STATES = 20.0, 1.0
 @dataclass
 class Model:
     start: np.ndarray
-    carry: np.ndarray
     move: np.ndarray
     emit: np.ndarray
 
@@ -108,40 +107,94 @@ def coded_texts(docs: DataFrame, train: Column, keys: np.ndarray, counts: np.nda
     return coded.withColumn("row", F.monotonically_increasing_id())
 
 
+def transfers(segs: list[np.ndarray], first: np.ndarray, m: Model) -> np.ndarray:
+    """For each segment the product of its steps as a matrix, up to a factor: what takes the state weights before it to those at its end. A text's first segment begins with its own first token."""
+    states = m.emit.shape[1]
+    out = np.tile(np.eye(states), (len(segs), 1, 1))
+    order = np.argsort([-len(x) for x in segs], kind="stable")
+    sizes = np.array([len(segs[i]) for i in order], np.int64)
+    flat = np.concatenate([segs[i] for i in order]) if len(order) else sizes
+    at = np.cumsum(sizes) - sizes
+    now = out[order]
+    for t in range(int(sizes[0]) if len(order) else 0):
+        n = int(np.searchsorted(-sizes, -t, side="left"))
+        step = now[:n] @ m.move
+        if t == 0:
+            step[first[order]] = np.eye(states)
+        step *= m.emit[flat[at[:n] + t]][:, None, :]
+        now[:n] = step / step.sum(axis=(1, 2), keepdims=True)
+    out[order] = now
+    return out
+
+
+def boundaries(texts: list[np.ndarray], m: Model) -> list[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+    """(segment, weights behind it, weights before it) of all segments of the texts. The weights before one are the exact forward probabilities at the end of the segment before, those behind one the backward ones, up to a factor."""
+    s = m.emit.shape[1]
+    cuts = [[x[i : i + SEGMENT] for i in range(0, len(x), SEGMENT)] for x in texts]
+    long = [k for k, c in enumerate(cuts) if len(c) > 1]
+    segs = [g for k in long for g in cuts[k]]
+    starts = np.cumsum([0, *(len(cuts[k]) for k in long)])
+    first = np.zeros(len(segs), bool)
+    first[starts[:-1]] = True
+    r = transfers(segs, first, m)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray | None]] = [(c[0], np.ones(s), None) for c in cuts if len(c) == 1]
+    for a, b in zip(starts[:-1], starts[1:], strict=True):
+        before: list[np.ndarray | None] = [None]
+        now = m.start
+        for k in range(a, b - 1):
+            now = now @ r[k]
+            now = now / now.sum()
+            before.append(now)
+        behind = [np.ones(s)]
+        for k in range(b - 1, a, -1):
+            ahead = r[k] @ behind[-1]
+            behind.append(ahead / ahead.sum())
+        out += zip(segs[a:b], behind[::-1], before, strict=True)
+    return out
+
+
 def expected_counts(texts: Iterator[np.ndarray], m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sums over the texts of expected starts, moves and emissions: one pass of the forward-backward algorithm."""
+    """Sums over the whole texts of expected starts, moves and emissions: one pass of the forward-backward algorithm.
+
+    Long texts are gone through in segments side by side, with the exact probabilities at their limits, so that every move
+    counts, that from one segment to the next too.
+    """
     s, k = m.emit.shape[1], m.emit.shape[0]
     start, move, emit = np.zeros(s), np.zeros((s, s)), np.zeros((k, s))
-    segs = [(x[i : i + SEGMENT], i == 0) for x in texts for i in range(0, len(x), SEGMENT)]
-    segs.sort(key=lambda y: -len(y[0]))
+    segs = sorted(boundaries(list(texts), m), key=lambda y: -len(y[0]))
     a, e = m.move.astype(np.float32), m.emit.astype(np.float32)
-    for g in range(0, len(segs), WIDTH):
-        part = segs[g : g + WIDTH]
-        sizes = np.array([len(x) for x, _ in part])
+    g = 0
+    while g < len(segs):
+        part = segs[g : g + max(1, min(WIDTH, CELLS // len(segs[g][0])))]
+        g += len(part)
+        sizes = np.array([len(x) for x, _, _ in part])
         steps, width = int(sizes[0]), len(part)
         n = (sizes[None, :] > np.arange(steps)[:, None]).sum(axis=1)
         obs = np.zeros((steps, width), np.int64)
-        for c, (x, _) in enumerate(part):
+        for c, (x, _, _) in enumerate(part):
             obs[: len(x), c] = x
-        first = np.array([f for _, f in part])
+        inner = np.array([before is not None for _, _, before in part])
+        entry = np.stack([m.start if before is None else before for _, _, before in part]).astype(np.float32)
         alpha, scale = np.zeros((steps, width, s), np.float32), np.ones((steps, width, 1), np.float32)
-        now = np.where(first[:, None], m.start, m.carry).astype(np.float32)
+        now = np.where(inner[:, None], entry @ a, entry)
         for t in range(steps):
             now = (now if t == 0 else now[: n[t]] @ a) * e[obs[t, : n[t]]]
             c = now.sum(axis=1, keepdims=True)
             now /= c
             alpha[t, : n[t]], scale[t, : n[t]] = now, c
-        beta = np.ones((width, s), np.float32)
+        beta = np.stack([b for _, b, _ in part]).astype(np.float32)
+        beta /= (alpha[sizes - 1, np.arange(width)] * beta).sum(axis=1, keepdims=True)
         for t in range(steps - 1, -1, -1):
             if t < steps - 1:
                 w = n[t + 1]
                 ahead = e[obs[t + 1, :w]] * beta[:w] / scale[t + 1, :w]
                 move += alpha[t, :w].T @ ahead
+                alpha[t + 1, :w] *= beta[:w]
                 beta[:w] = ahead @ a.T
-            alpha_t = alpha[t, : n[t]]
-            alpha_t *= beta[: n[t]]
-            if t == 0:
-                start += alpha_t[first].sum(axis=0)
+        ahead = e[obs[0]] * beta / scale[0]
+        move += entry[inner].T @ ahead[inner]
+        alpha[0] *= beta
+        start += alpha[0][~inner].sum(axis=0)
         live = np.arange(width)[None, :] < n[:, None]
         seen, weight = obs[live], alpha[live]
         for i in range(s):
@@ -181,7 +234,7 @@ def first_model(freq: np.ndarray, states: int, words: np.ndarray | None = None,
     emit = freq[:, None] * disturbance(np.arange(len(freq), dtype=np.uint64) if words is None else words, states)
     move = np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
     even = np.full(states, 1 / states)
-    return Model(even, even, move, emit / (emit.sum(axis=0) + more))
+    return Model(even, move, emit / (emit.sum(axis=0) + more))
 
 
 def own_symbols(batch: pa.RecordBatch, m: Model, scale: np.ndarray) -> tuple[list[np.ndarray], Model, np.ndarray]:
@@ -204,7 +257,7 @@ def own_symbols(batch: pa.RecordBatch, m: Model, scale: np.ndarray) -> tuple[lis
         start = np.concatenate([[0], at[:-1]])
         weights = found.field("e").flatten().to_numpy().astype(np.float64).reshape(-1, states)
         emit[len(uniq) + before[start[row]] + found.field("k").to_numpy()] = weights / scale
-    return np.split(flat, at[:-1]), Model(m.start, m.carry, m.move, emit), uniq
+    return np.split(flat, at[:-1]), Model(m.start, m.move, emit), uniq
 
 
 def with_own(coded: DataFrame, need: DataFrame | None, table: DataFrame | None, extra: tuple[Column, ...] = ()) -> DataFrame:
@@ -288,10 +341,9 @@ def fit(coded: DataFrame, need: DataFrame | None, rest: DataFrame, freq: np.ndar
             more = sums_of(others)
             table = weights(rest.join(others.hint("merge"), "word").select("word", "n", *((F.col(c) + SMOOTH_WORDS * (F.col("n") + 1) / total).alias(c) for c in cols)))
         start, move, emit = every[0] + SMOOTH_STATES, every[1 : 1 + states] + SMOOTH_STATES / states, every[1 + states :]
-        carry = emit.sum(axis=0) + more + SMOOTH_STATES
         emit = emit + SMOOTH_WORDS * freq[:, None]
         scale = emit.sum(axis=0) + more + SMOOTH_WORDS * rest_freq
-        m = Model(start / start.sum(), carry / carry.sum(), move / move.sum(axis=1, keepdims=True), emit / scale)
+        m = Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / scale)
         model.destroy()
         if last is not None:
             discard(last)

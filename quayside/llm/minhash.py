@@ -21,6 +21,8 @@ ROWS, MISS = 4, 1e-6
 EVIDENCE = 20.0
 #: Sets, and shingles in them, of a block; two blocks are compared in one task.
 BLOCK_SETS, BLOCK_SHINGLES = 512, 250_000
+#: Pairs with one hub that a task gets at once.
+COPY = 128
 
 
 def bands_for(threshold: float) -> int:
@@ -103,11 +105,19 @@ def plausible(n1, n2, r1: np.ndarray, r2: np.ndarray, threshold: float) -> np.nd
     return (top >= threshold - 1e-12) & (best(np.full(len(u), threshold)) >= best(np.zeros(len(u))) - EVIDENCE)
 
 
+def meet(pairs: DataFrame, table: DataFrame, key: str, other: str) -> DataFrame:
+    """pairs joined with table on `key`; a row of the table that very many pairs want is copied, and its pairs are dealt over the copies."""
+    hot = measured(cut(pairs.groupBy(key).count().filter(F.col("count") > COPY).select(key, F.ceil(F.col("count") / COPY).cast("int").alias("copies"))))
+    copies = F.coalesce("copies", F.lit(1))
+    own = pairs.join(hot, key, "left").withColumn("copy", F.pmod(F.xxhash64(other), copies).cast("int")).drop("copies")
+    return own.join(table.join(hot, key, "left").withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("copies"), [key, "copy"]).drop("copy")
+
+
 def estimate(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose registers leave the threshold plausible."""
     r = reps.select("rep", "n_shingles", "registers")
     rows = (
-        pairs.join(r.toDF("a", "n1", "r1"), "a").join(r.toDF("b", "n2", "r2"), "b")
+        meet(pairs, r.toDF("a", "n1", "r1"), "a", "b").join(r.toDF("b", "n2", "r2"), "b")
         .filter(F.least("n1", "n2") >= F.greatest("n1", "n2") * F.lit(threshold - 1e-9))
         .select("a", "b", "n1", "n2", "r1", "r2")
     )
@@ -126,7 +136,7 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, per
     """The pairs with 100 * intersection >= percent * union on the full sets of their whole texts."""
     ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
     texts = texts_of(cut(reps.select("rep", "doc_id", "text_hash").join(ids, "rep")), docs)
-    rows = pairs.join(texts.toDF("a", "t1"), "a").join(texts.toDF("b", "t2"), "b").select("a", "b", "t1", "t2")
+    rows = meet(pairs, texts.toDF("a", "t1"), "a", "b").join(texts.toDF("b", "t2"), "b").select("a", "b", "t1", "t2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

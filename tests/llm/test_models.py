@@ -1,5 +1,6 @@
 """Fitted models: sums against brute force, and held-out accuracy on text whose kind is known."""
 
+import itertools
 import math
 import random
 import zlib
@@ -68,24 +69,53 @@ def test_every_word_has_emissions_of_its_own_however_few_are_broadcast(spark, ro
             assert (r.base_score, r.score) == (pytest.approx(want[i].base_score), pytest.approx(want[i].score, rel=1e-4))
 
 
+def paths(m, x):
+    """(states, probability) of every way through a text."""
+    for z in itertools.product(range(len(m.start)), repeat=len(x)):
+        p = m.start[z[0]] * m.emit[x[0], z[0]]
+        for t in range(1, len(x)):
+            p *= m.move[z[t - 1], z[t]] * m.emit[x[t], z[t]]
+        yield z, p
+
+
+def small_model(rng, states=3, symbols=5):
+    return hmm_lm.Model(rng.dirichlet(np.ones(states)), rng.dirichlet(np.ones(states), states), rng.dirichlet(np.ones(symbols), states).T)
+
+
 def test_forward_recursion_sums_over_all_paths():
-    rng = np.random.default_rng(0)
-    m = hmm_lm.Model(rng.dirichlet(np.ones(3)), np.ones(3) / 3, rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(5), 3).T)
-    texts = [np.array([0, 3, 1, 4]), np.array([2]), np.array([4, 4, 0])]
+    m = small_model(np.random.default_rng(0))
+    texts = [np.array([0, 3, 1, 4, 2, 2]), np.array([2]), np.array([4, 4, 0])]
     for x, got in zip(texts, hmm_lm.log_likelihoods(texts, m), strict=True):
-        p = m.start * m.emit[x[0]]
-        for w in x[1:]:
-            p = (p @ m.move) * m.emit[w]
-        assert got == pytest.approx(math.log(p.sum()))
+        assert got == pytest.approx(math.log(sum(p for _, p in paths(m, x))))
 
 
-def test_expected_counts_add_up():
+@pytest.mark.parametrize("segment", [2, 3, 2048])
+def test_expected_counts_are_those_of_all_paths(monkeypatch, segment):
+    monkeypatch.setattr(hmm_lm, "SEGMENT", segment)
+    rng = np.random.default_rng(1)
+    m = small_model(rng)
+    texts = [rng.integers(0, 5, n) for n in (1, 5, 7, 2, 6)]
+    start, move, emit = np.zeros(3), np.zeros((3, 3)), np.zeros((5, 3))
+    for x in texts:
+        every = list(paths(m, x))
+        total = sum(p for _, p in every)
+        for z, p in every:
+            start[z[0]] += p / total
+            for t, k in enumerate(z):
+                emit[x[t], k] += p / total
+                if t:
+                    move[z[t - 1], k] += p / total
+    for got, want in zip(hmm_lm.expected_counts(iter(texts), m), (start, move, emit), strict=True):
+        assert got == pytest.approx(want, rel=1e-4, abs=1e-5)
+
+
+def test_long_texts_lose_no_move():
     rng = np.random.default_rng(1)
     m = hmm_lm.first_model(rng.dirichlet(np.ones(9)), 3)
-    texts = [rng.integers(0, 9, n) for n in (1, 5, 300, 700)]
+    texts = [rng.integers(0, 9, n) for n in (1, 5, 3000, 7000)]
     start, move, emit = hmm_lm.expected_counts(iter(texts), m)
-    assert start.sum() == pytest.approx(4, rel=1e-4) and emit.sum() == pytest.approx(1006, rel=1e-4)
-    assert move.sum() == pytest.approx(sum(len(x) - -(-len(x) // hmm_lm.SEGMENT) for x in texts), rel=1e-4)
+    assert start.sum() == pytest.approx(4, rel=1e-4) and emit.sum() == pytest.approx(10006, rel=1e-4)
+    assert move.sum() == pytest.approx(10002, rel=1e-4)
     assert emit.sum(axis=1) == pytest.approx(np.bincount(np.concatenate(texts), minlength=9), rel=1e-4)
 
 
