@@ -18,7 +18,7 @@ STATES, PASSES, SYMBOLS = 8, 6, 1 << 19
 #: The most words whose counts are broadcast, and so the most words broadcast at all.
 COMMON = 1 << 20
 #: Tokens of a long text that are gone through side by side with its other parts, sequences in one matrix, and tokens in one.
-SEGMENT, WIDTH, CELLS = 2048, 2048, 1 << 20
+SEGMENT, WIDTH, CELLS = 8192, 2048, 1 << 20
 #: Weight, in tokens, of the corpus's word frequencies in each state's emissions, and of an even choice in its transitions.
 SMOOTH_WORDS, SMOOTH_STATES = 20.0, 1.0
 
@@ -237,53 +237,103 @@ def first_model(freq: np.ndarray, states: int, words: np.ndarray | None = None,
     return Model(even, move, emit / (emit.sum(axis=0) + more))
 
 
-def own_symbols(batch: pa.RecordBatch, m: Model, scale: np.ndarray) -> tuple[list[np.ndarray], Model, np.ndarray]:
-    """Texts of a batch (n_tokens, symbols, own) over the words that occur in it, the model over these, and which of m's symbols they are: joined words follow them in order."""
+def groups_of(words: pa.Array, local: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words that one text alone has, over a batch: rows, places among the row's other words, and which distinct word each is, with the counts of these in order of row and word."""
+    found = local.flatten()
+    if not len(found):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    row = local.value_parent_indices().to_numpy().astype(np.int64)
+    k, n = found.field("k").to_numpy().astype(np.int64), found.field("n").to_numpy()
+    starts = np.cumsum([0, *words.value_lengths().fill_null(0).to_numpy()])
+    key = words.flatten().to_numpy()[starts[row] + k]
+    order = np.lexsort((key, row))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(row[order]) != 0) | (np.diff(key[order]) != 0)
+    return row[order], k[order], np.cumsum(new) - 1, n[order][new]
+
+
+@dataclass
+class Batch:
+    """Texts over the words that occur in a batch, the model over these, and which rows of its emissions are whose."""
+
+    texts: list[np.ndarray]
+    model: Model
+    uniq: np.ndarray  # the model's symbols
+    shared: np.ndarray  # rows of the joined words, in order
+    local: np.ndarray  # rows of the words of one text alone, in order
+    group: np.ndarray  # which of these is the same word
+    counts: np.ndarray  # occurrences of each such word
+
+
+def own_symbols(batch: pa.RecordBatch, m: Model, scale: np.ndarray, total: float) -> Batch:
+    """A batch (row, n_tokens, symbols, own, words, local, state) made ready: words of one text alone have the weights of `state`, or before the first pass their first ones."""
     symbols, states = m.emit.shape
-    texts = [unpack(x) for x in batch.column(1).to_pylist()]
+    col = {x: batch.column(k) for k, x in enumerate(batch.schema.names)}
+    texts = [unpack(x) for x in col["symbols"].to_pylist()]
     flat = np.concatenate(texts)
     at = np.cumsum([len(x) for x in texts])
     other = flat == symbols
     before = np.concatenate([[0], np.cumsum(other)])
+    start = before[np.concatenate([[0], at[:-1]])]
     uniq, place = np.unique(flat[~other], return_inverse=True)
     flat = flat.astype(np.int64)
     flat[~other], flat[other] = place, len(uniq) + np.arange(before[-1])
     emit = np.empty((len(uniq) + before[-1], states))
     emit[: len(uniq)], emit[len(uniq) :] = m.emit[uniq], m.emit[symbols - 2]
-    own = batch.column(2)
+    own = col["own"]
     found = own.flatten()
+    shared = np.zeros(0, np.int64)
     if len(found):
-        row = own.value_parent_indices().to_numpy()
-        start = np.concatenate([[0], at[:-1]])
-        weights = found.field("e").flatten().to_numpy().astype(np.float64).reshape(-1, states)
-        emit[len(uniq) + before[start[row]] + found.field("k").to_numpy()] = weights / scale
-    return np.split(flat, at[:-1]), Model(m.start, m.move, emit), uniq
-
-
-def with_own(coded: DataFrame, need: DataFrame | None, table: DataFrame | None, extra: tuple[Column, ...] = ()) -> DataFrame:
-    """coded with `own`, the places and emission weights of the words that aren't broadcast, as far as the table has them, and the sums `extra` over these."""
+        shared = len(uniq) + start[own.value_parent_indices().to_numpy()] + found.field("k").to_numpy()
+        emit[shared] = found.field("e").flatten().to_numpy().astype(np.float64).reshape(-1, states) / scale
+    row, k, group, counts = groups_of(col["words"], col["local"])
+    local = len(uniq) + start[row] + k
+    if len(local):
+        if col["state"].null_count == len(batch):
+            first = np.searchsorted(group, np.arange(len(counts)))
+            key = col["words"].flatten().to_numpy()[np.cumsum([0, *col["words"].value_lengths().fill_null(0).to_numpy()])[row[first]] + k[first]]
+            weights = ((counts + 1) / total)[:, None] * disturbance(key.view(np.uint64), states)
+        else:
+            weights = col["state"].flatten().to_numpy().astype(np.float64).reshape(-1, states)
+        emit[local] = weights[group] / scale
+    return Batch(np.split(flat, at[:-1]), Model(m.start, m.move, emit), uniq, shared, local, group, counts)
+
+
+BATCH = ("row", "n_tokens", "symbols", "own", "words", "local", "state")
+
+
+def with_own(coded: DataFrame, need: DataFrame | None, table: DataFrame | None, state: DataFrame | None) -> DataFrame:
+    """coded with `own`, the places and emission weights of the words that aren't broadcast and that several texts have, and `state`, the weights of those that one text alone has."""
+    parts = int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if need is None:
-        none = F.lit(None)
-        return coded.select("*", none.cast("array<struct<k:int,e:array<float>>>").alias("own"), none.cast("double").alias("log_c"), none.cast("long").alias("more_known"))
-    hits = need.join(table.hint("merge"), "word").select("row", "k", "e", "n")
-    parts = coded.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    own = hits.repartition(int(parts), "row").groupBy("row").agg(F.collect_list(F.struct("k", "e")).alias("own"), *extra)
-    return coded.join(own.hint("merge"), "row", "left")
+        out = coded.withColumn("own", F.lit(None).cast("array<struct<k:int,word:long,e:array<float>>>"))
+    else:
+        hits = need.join(table.hint("merge"), "word").select("row", "k", "word", "e")
+        own = hits.repartition(parts, "row").groupBy("row").agg(F.collect_list(F.struct("k", "word", "e")).alias("own"))
+        out = coded.join(own.hint("merge"), "row", "left")
+    if state is None:
+        return out.withColumn("state", F.lit(None).cast("array<float>"))
+    return out.join(state.repartition(parts, "row").hint("merge"), "row", "left")
 
 
 @dataclass
 class Fitted:
     model: Model
     scale: np.ndarray  # each state's sum of weights
-    table: DataFrame | None  # (word, n, e): weights of the words that aren't broadcast
+    table: DataFrame | None  # (word, e): weights of the words that aren't broadcast and that several texts have
+    state: DataFrame | None  # (row, state): weights of those that one text alone has
+
 
+def fit(coded: DataFrame, need: DataFrame | None, rest: DataFrame, shared: DataFrame | None, freq: np.ndarray, keys: np.ndarray, total: float, states: int, passes: int) -> Fitted:
+    """Baum-Welch over all training rows of coded. Each pass sums expected counts within tasks, then by word. The driver gets those of the broadcast words.
 
-def fit(coded: DataFrame, need: DataFrame | None, rest: DataFrame, freq: np.ndarray, keys: np.ndarray, total: float, states: int, passes: int) -> Fitted:
-    """Baum-Welch over all training rows of coded. Each pass sums expected counts within tasks, then by word. The driver gets those of the broadcast words; those of all others stay a table."""
+    rest(word, n) are all other words, shared those of them that several texts have: their counts stay a table. A word of one
+    text alone stays with its text, which is the only one that its counts come from and go to.
+    """
     spark = coded.sparkSession
     cols = [f"s{i}" for i in range(states)]
     sums_of = lambda df: np.array([x or 0.0 for x in df.agg(*(F.sum(c) for c in cols)).first()])
-    weights = lambda df: df.select("word", "n", F.array(*(F.col(c).cast("float") for c in cols)).alias("e"))
+    weights = lambda df: df.select("word", F.array(*(F.col(c).cast("float") for c in cols)).alias("e"))
     train = coded.filter("train")
     wanted = need.filter("train") if need is not None else None
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -294,13 +344,13 @@ def fit(coded: DataFrame, need: DataFrame | None, rest: DataFrame, freq: np.ndar
             e = ((n + 1) / total)[:, None] * disturbance(word.view(np.uint64), states)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(e[:, i]) for i in range(states))], ["word", "n", *cols])
 
+    first = lambda df: df.mapInArrow(begin, "word long, n long, " + ", ".join(f"{c} double" for c in cols))
     words = np.concatenate([keys, np.array([1, 2], np.uint64)])
-    more, table, rest_freq = np.zeros(states), None, 0.0
+    more, table, state, rest_freq = np.zeros(states), None, None, 0.0
     if need is not None:
-        rows, n = rest.agg(F.count("*"), F.sum("n")).first()
+        rows, n = rest.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
         rest_freq = (rows + n) / total
-        first = rest.mapInArrow(begin, "word long, n long, " + ", ".join(f"{c} double" for c in cols))
-        table, more = weights(first), sums_of(first)
+        table, more = weights(first(shared)), sums_of(first(rest))
     m = first_model(freq, states, words, more)
     scale = (freq[:, None] * disturbance(words, states)).sum(axis=0) + more
     last = None
@@ -309,48 +359,70 @@ def fit(coded: DataFrame, need: DataFrame | None, rest: DataFrame, freq: np.ndar
 
         def run(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
             m, scale = model.value
-            start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros(m.emit.shape)
+            start, move, emit, alone = np.zeros(states), np.zeros((states, states)), np.zeros(m.emit.shape), np.zeros(states)
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                texts, small, uniq = own_symbols(batch, m, scale)
-                s, v, e = expected_counts(iter(texts), small)
+                b = own_symbols(batch, m, scale, total)
+                s, v, e = expected_counts(iter(b.texts), b.model)
                 start, move = start + s, move + v
-                emit[uniq] += e[: len(uniq)]
-                own = batch.column(3).flatten()
-                if len(own):
-                    yield rows_of(own, False, e[len(uniq) :])
-            every = np.vstack([start[None], move, emit])
+                emit[b.uniq] += e[: len(b.uniq)]
+                if len(b.shared):
+                    yield rows_of(batch.column(3).flatten().field("word"), "shared", e[b.shared])
+                if len(b.local):
+                    own = np.add.reduceat(e[b.local], np.searchsorted(b.group, np.arange(len(b.counts))), axis=0)
+                    alone += own.sum(axis=0)
+                    size = np.zeros(batch.num_rows + 1, np.int64)
+                    row = batch.column(5).value_parent_indices().to_numpy()
+                    np.add.at(size, 1 + np.sort(row)[np.searchsorted(b.group, np.arange(len(b.counts)))], states)
+                    lists = pa.ListArray.from_arrays(pa.array(np.cumsum(size).astype(np.int32)), pa.array((own + SMOOTH_WORDS * (b.counts + 1)[:, None] / total).ravel(), pa.float32()))
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(["row"] * batch.num_rows), lists], ["word", "kind", "e"])
+            every = np.vstack([start[None], move, emit, alone[None]])
             some = np.flatnonzero(every.any(axis=1))
-            yield rows_of(pa.array(some), True, every[some])
+            yield rows_of(pa.array(some), "head", every[some])
 
-        def rows_of(word: pa.Array, head: bool, e: np.ndarray) -> pa.RecordBatch:
+        def rows_of(word: pa.Array, kind: str, e: np.ndarray) -> pa.RecordBatch:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(e) + 1, dtype=np.int32) * states, pa.int32()), pa.array(e.ravel(), pa.float32()))
-            return pa.RecordBatch.from_arrays([word, pa.array(np.full(len(e), head)), lists], ["word", "head", "e"])
+            return pa.RecordBatch.from_arrays([word, pa.array([kind] * len(e)), lists], ["word", "kind", "e"])
 
-        rows = with_own(train, wanted, table).select("n_tokens", "symbols", "own", "words")
-        summed = rows.mapInArrow(run, "word long, head boolean, e array<float>")
-        summed = stash(summed.repartition(parts, "word").groupBy("word", "head").agg(*(F.sum(F.col("e")[i].cast("double")).cast("float").alias(c) for i, c in enumerate(cols))))
-        got = summed.filter("head").drop("head").toArrow()
-        every = np.zeros((1 + states + len(freq), states))
+        rows = with_own(train, wanted, table, state).select(*BATCH)
+        result = stash(rows.mapInArrow(run, "word long, kind string, e array<float>"))
+        summed = result.filter("kind <> 'row'").groupBy("word", "kind").agg(*(F.sum(F.col("e")[i].cast("double")).alias(c) for i, c in enumerate(cols)))
+        got = summed.filter("kind = 'head'").drop("kind").toArrow()
+        every = np.zeros((2 + states + len(freq), states))
         if got.num_rows:
             every[got["word"].to_numpy()] = np.stack([got[c].to_numpy() for c in cols], axis=1)
-        more = np.zeros(states)
+        tables = [result]
+        more = every[-1]
         if need is not None:
-            others = summed.filter("not head").drop("head")
-            more = sums_of(others)
-            table = weights(rest.join(others.hint("merge"), "word").select("word", "n", *((F.col(c) + SMOOTH_WORDS * (F.col("n") + 1) / total).alias(c) for c in cols)))
-        start, move, emit = every[0] + SMOOTH_STATES, every[1 : 1 + states] + SMOOTH_STATES / states, every[1 + states :]
+            others = summed.filter("kind = 'shared'").drop("kind")
+            grown = stash(shared.join(others.hint("merge"), "word").select("word", *((F.col(c) + SMOOTH_WORDS * (F.col("n") + 1) / total).cast("float").alias(c) for c in cols)))
+            tables.append(grown)
+            of = shared.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+            more = more + sums_of(grown) - SMOOTH_WORDS * sum(of) / total
+            table, state = weights(grown), result.filter("kind = 'row'").select(F.col("word").alias("row"), F.col("e").alias("state"))
+        start, move, emit = every[0] + SMOOTH_STATES, every[1 : 1 + states] + SMOOTH_STATES / states, every[1 + states : -1]
         emit = emit + SMOOTH_WORDS * freq[:, None]
         scale = emit.sum(axis=0) + more + SMOOTH_WORDS * rest_freq
         m = Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / scale)
         model.destroy()
-        if last is not None:
-            discard(last)
-        last = summed
+        for df in last or []:
+            discard(df)
+        last = tables
         del rows, got, every
         forget(spark)
-    return Fitted(m, scale, table)
+    return Fitted(m, scale, table, state)
+
+
+def by_text(coded: DataFrame, rest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """coded with `local` (place, count) of the words that one training text alone has and `shared` (place, word, count) of those that several texts have, and rest(word, n) of the latter."""
+    need = coded.select("row", "train", F.posexplode("words").alias("k", "word"))
+    parts = int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    of = need.groupBy("word").agg(F.min("row").alias("lo"), F.max("row").alias("hi"))
+    known = cut(rest.join(of, "word").select("word", "n", (F.col("lo") == F.col("hi")).alias("alone")))
+    hits = need.join(known.hint("merge"), "word").repartition(parts, "row").groupBy("row")
+    lists = hits.agg(F.collect_list(F.when(F.col("alone"), F.struct("k", "n"))).alias("local"), F.collect_list(F.when(~F.col("alone"), F.struct("k", "word", "n"))).alias("shared"))
+    return placed(coded.join(lists, "row", "left"), "row"), known.filter("not alone").select("word", "n")
 
 
 def score(docs: DataFrame, train: Column, states: int = STATES, passes: int = PASSES) -> DataFrame:
@@ -359,7 +431,7 @@ def score(docs: DataFrame, train: Column, states: int = STATES, passes: int = PA
     Tokens are words (A-Z in lower case, split at ASCII white space) and one end. base_score sums log10((c+1)/(N+V+1))
     with c, N, V over the rows where `train` holds. score is log10 of the text's probability: states move and emit a word of
     those rows, the end, or one unknown word, each with probabilities of its own in every state, so that both scores share
-    their sample space.
+    their sample space. Training and scores take whole texts.
 
     Null and empty texts are one end token. A null `train` counts as false. Without training rows every probability is even.
     Repeated rows are scored, and counted, each time. Other columns are ignored. An empty table gives an empty table.
@@ -377,36 +449,37 @@ def score(docs: DataFrame, train: Column, states: int = STATES, passes: int = PA
     total = float(n_all + v_all + 1)
     freq = np.concatenate([seen + 1, [1, ends + 1]])
     mass = float(n_words + v_words + 1 + ends + 1)
-    coded = coded_texts(docs, train, keys, seen, total)
-    need, rest = None, counts
+    coded = cut(coded_texts(docs, train, keys, seen, total))
+    need, rest, shared = None, counts, None
     if v_words <= len(keys):
-        coded = cut(coded)
+        none = F.lit(None)
+        coded = coded.withColumns({"local": none.cast("array<struct<k:int,n:long>>"), "shared": none.cast("array<struct<k:int,word:long,n:long>>")})
     else:
-        coded = placed(coded, "row")
         least = int(seen[-1]) if len(seen) else None
         rest = counts if least is None else counts.filter(F.col("n") < least)
-        need = coded.select("row", "train", F.posexplode("words").alias("k", "word"))
+        coded, shared = by_text(coded, rest)
+        need = coded.select("row", "train", F.inline("shared"))
     forget(docs.sparkSession)
-    fitted = fit(coded, need, rest, freq / mass, keys, mass, states, passes)
+    fitted = fit(coded, need, rest, shared, freq / mass, keys, mass, states, passes)
     model = docs.sparkSession.sparkContext.broadcast((fitted.model, fitted.scale))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, scale = model.value
         for batch in batches:
             if batch.num_rows:
-                texts, small, _ = own_symbols(batch.select(["n_tokens", "symbols", "own"]), m, scale)
-                rest = [batch.column(c) for c in names]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(log_likelihoods(texts, small) / math.log(10))], [*names, "hmm"])
+                b = own_symbols(batch.select(list(BATCH)), m, scale, mass)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(log_likelihoods(b.texts, b.model) / math.log(10))], [*names, "hmm"])
 
-    # words that weren't broadcast count by their table
-    extra = F.sum(F.log10(F.col("n") + 1)).alias("log_c"), F.count("n").alias("more_known")
+    # words that weren't broadcast count by their lists
+    logs = lambda c: F.coalesce(F.aggregate(c, F.lit(0.0), lambda x, w: x + F.log10(w["n"] + 1)), F.lit(0.0))
+    more = F.coalesce(F.size("local"), F.lit(0)) + F.coalesce(F.size("shared"), F.lit(0))
+    base = coded.withColumns({"n_lost": F.size("words").cast("long"), "log_c": logs("local") + logs("shared"), "more_known": F.greatest(more, F.lit(0)).cast("long")})
     names = ["doc_id", "train", "n_tokens", "n_known", "base", "n_lost", "log_c", "more_known"]
-    every = with_own(coded.withColumn("n_lost", F.size("words").cast("long")), need, fitted.table, extra)
-    out = every.select(*names, "symbols", "own").mapInArrow(run, "doc_id long, train boolean, n_tokens long, n_known long, base double, n_lost long, log_c double, more_known long, hmm double")
+    every = with_own(base, need, fitted.table, fitted.state)
+    out = every.select(*names, *(x for x in BATCH if x not in names)).mapInArrow(run, "doc_id long, train boolean, n_tokens long, n_known long, base double, n_lost long, log_c double, more_known long, hmm double")
     end = math.log10((ends + 1) / total)
-    zero = F.lit(0)
     return out.select(
-        "doc_id", "train", "n_tokens", (F.col("n_known") + F.coalesce("more_known", zero) + int(ends > 0)).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("base") + end + F.coalesce("log_c", zero) - F.col("n_lost") * math.log10(total)).alias("base_score"),
+        "doc_id", "train", "n_tokens", (F.col("n_known") + F.col("more_known") + int(ends > 0)).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
+        (F.col("base") + end + F.col("log_c") - F.col("n_lost") * math.log10(total)).alias("base_score"),
         F.col("hmm").alias("score"),
     )
