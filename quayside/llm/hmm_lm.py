@@ -353,7 +353,7 @@ def fit(coded: DataFrame, need: DataFrame | None, rest: DataFrame, shared: DataF
         table, more = weights(first(shared)), sums_of(first(rest))
     m = first_model(freq, states, words, more)
     scale = (freq[:, None] * disturbance(words, states)).sum(axis=0) + more
-    last = None
+    last: list[DataFrame] = []
     for _ in range(passes):
         model = spark.sparkContext.broadcast((m, scale))
 
@@ -392,7 +392,7 @@ def fit(coded: DataFrame, need: DataFrame | None, rest: DataFrame, shared: DataF
         every = np.zeros((2 + states + len(freq), states))
         if got.num_rows:
             every[got["word"].to_numpy()] = np.stack([got[c].to_numpy() for c in cols], axis=1)
-        tables = [result]
+        tables = []
         more = every[-1]
         if need is not None:
             others = summed.filter("kind = 'shared'").drop("kind")
@@ -400,13 +400,15 @@ def fit(coded: DataFrame, need: DataFrame | None, rest: DataFrame, shared: DataF
             tables.append(grown)
             of = shared.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
             more = more + sums_of(grown) - SMOOTH_WORDS * sum(of) / total
-            table, state = weights(grown), result.filter("kind = 'row'").select(F.col("word").alias("row"), F.col("e").alias("state"))
+            state = stash(result.filter("kind = 'row'").select(F.col("word").alias("row"), F.col("e").alias("state")))
+            table = weights(grown)
+            tables.append(state)
         start, move, emit = every[0] + SMOOTH_STATES, every[1 : 1 + states] + SMOOTH_STATES / states, every[1 + states : -1]
         emit = emit + SMOOTH_WORDS * freq[:, None]
         scale = emit.sum(axis=0) + more + SMOOTH_WORDS * rest_freq
         m = Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / scale)
         model.destroy()
-        for df in last or []:
+        for df in (result, *last):
             discard(df)
         last = tables
         del rows, got, every
@@ -449,7 +451,7 @@ def score(docs: DataFrame, train: Column, states: int = STATES, passes: int = PA
     total = float(n_all + v_all + 1)
     freq = np.concatenate([seen + 1, [1, ends + 1]])
     mass = float(n_words + v_words + 1 + ends + 1)
-    coded = cut(coded_texts(docs, train, keys, seen, total))
+    coded = stash(coded_texts(docs, train, keys, seen, total))
     need, rest, shared = None, counts, None
     if v_words <= len(keys):
         none = F.lit(None)
@@ -457,7 +459,9 @@ def score(docs: DataFrame, train: Column, states: int = STATES, passes: int = PA
     else:
         least = int(seen[-1]) if len(seen) else None
         rest = counts if least is None else counts.filter(F.col("n") < least)
-        coded, shared = by_text(coded, rest)
+        first = coded
+        coded, shared = by_text(first, rest)
+        discard(first)
         need = coded.select("row", "train", F.inline("shared"))
     forget(docs.sparkSession)
     fitted = fit(coded, need, rest, shared, freq / mass, keys, mass, states, passes)
