@@ -19,6 +19,8 @@ STATES, PASSES, SYMBOLS = 8, 6, 1 << 19
 COMMON = 1 << 20
 #: Tokens of a long text that are gone through side by side with its other parts, sequences in one matrix, and tokens in one.
 SEGMENT, WIDTH, CELLS = 8192, 2048, 1 << 20
+#: Broadcast words whose sums travel in one row.
+ROWS = 4096
 #: Weight, in tokens, of the corpus's word frequencies in each state's emissions, and of an even choice in its transitions.
 SMOOTH_WORDS, SMOOTH_STATES = 20.0, 1.0
 
@@ -175,30 +177,37 @@ def expected_counts(texts: Iterator[np.ndarray], m: Model) -> tuple[np.ndarray,
             obs[: len(x), c] = x
         inner = np.array([before is not None for _, _, before in part])
         entry = np.stack([m.start if before is None else before for _, _, before in part]).astype(np.float32)
+        live = np.arange(width)[None, :] < n[:, None]
+        ahead = e[obs]  # emissions, then what each token and the rest of its text weigh in each state
+        ahead[~live] = 0
         alpha, scale = np.zeros((steps, width, s), np.float32), np.ones((steps, width, 1), np.float32)
         now = np.where(inner[:, None], entry @ a, entry)
         for t in range(steps):
-            now = (now if t == 0 else now[: n[t]] @ a) * e[obs[t, : n[t]]]
+            k = n[t]
+            now = np.multiply(now if t == 0 else now[:k] @ a, ahead[t, :k], out=alpha[t, :k])
             c = now.sum(axis=1, keepdims=True)
             now /= c
-            alpha[t, : n[t]], scale[t, : n[t]] = now, c
-        beta = np.stack([b for _, b, _ in part]).astype(np.float32)
-        beta /= (alpha[sizes - 1, np.arange(width)] * beta).sum(axis=1, keepdims=True)
-        for t in range(steps - 1, -1, -1):
-            if t < steps - 1:
-                w = n[t + 1]
-                ahead = e[obs[t + 1, :w]] * beta[:w] / scale[t + 1, :w]
-                move += alpha[t, :w].T @ ahead
-                alpha[t + 1, :w] *= beta[:w]
-                beta[:w] = ahead @ a.T
-        ahead = e[obs[0]] * beta / scale[0]
-        move += entry[inner].T @ ahead[inner]
-        alpha[0] *= beta
-        start += alpha[0][~inner].sum(axis=0)
-        live = np.arange(width)[None, :] < n[:, None]
-        seen, weight = obs[live], alpha[live]
+            scale[t, :k] = c
+        np.divide(1, scale, out=scale)
+        beta = np.empty_like(alpha)
+        last = np.stack([x for _, x, _ in part]).astype(np.float32)
+        last /= (alpha[sizes - 1, np.arange(width)] * last).sum(axis=1, keepdims=True)
+        beta[sizes - 1, np.arange(width)] = last
+        ahead *= scale
+        back = np.ascontiguousarray(a.T)
+        for t in range(steps - 1, 0, -1):
+            w = n[t]
+            x = ahead[t, :w]
+            x *= beta[t, :w]
+            np.matmul(x, back, out=beta[t - 1, :w])
+        ahead[0] *= beta[0]
+        if steps > 1:
+            move += alpha[:-1].reshape(-1, s).T @ ahead[1:].reshape(-1, s)
+        move += entry[inner].T @ ahead[0][inner]
+        seen, weight = obs[live], alpha[live] * beta[live]
+        start += (alpha[0] * beta[0])[~inner].sum(axis=0)
         for i in range(s):
-            emit[:, i] += np.bincount(seen, weights=weight[:, i], minlength=k)
+            emit[:, i] += np.bincount(seen, weights=weight[:, i], minlength=len(emit))
     return start, move * m.move, emit
 
 
@@ -353,6 +362,14 @@ def fit(coded: DataFrame, need: DataFrame | None, rest: DataFrame, shared: DataF
         table, more = weights(first(shared)), sums_of(first(rest))
     m = first_model(freq, states, words, more)
     scale = (freq[:, None] * disturbance(words, states)).sum(axis=0) + more
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = x.values.to_numpy().astype(np.float64)
+                sums[k] = sums[k] + x if k in sums else x
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["word", "e"])
+
     last: list[DataFrame] = []
     for _ in range(passes):
         model = spark.sparkContext.broadcast((m, scale))
@@ -378,24 +395,26 @@ def fit(coded: DataFrame, need: DataFrame | None, rest: DataFrame, shared: DataF
                     lists = pa.ListArray.from_arrays(pa.array(np.cumsum(size).astype(np.int32)), pa.array((own + SMOOTH_WORDS * (b.counts + 1)[:, None] / total).ravel(), pa.float32()))
                     yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(["row"] * batch.num_rows), lists], ["word", "kind", "e"])
             every = np.vstack([start[None], move, emit, alone[None]])
+            every = np.vstack([every, np.zeros((-len(every) % ROWS, states))]).reshape(-1, ROWS * states)
             some = np.flatnonzero(every.any(axis=1))
-            yield rows_of(pa.array(some), "head", every[some])
+            for k in some.tolist():
+                yield rows_of(pa.array([k]), "head", every[k : k + 1])
 
         def rows_of(word: pa.Array, kind: str, e: np.ndarray) -> pa.RecordBatch:
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(e) + 1, dtype=np.int32) * states, pa.int32()), pa.array(e.ravel(), pa.float32()))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(e) + 1, dtype=np.int32) * e.shape[1], pa.int32()), pa.array(e.ravel(), pa.float32()))
             return pa.RecordBatch.from_arrays([word, pa.array([kind] * len(e)), lists], ["word", "kind", "e"])
 
         rows = with_own(train, wanted, table, state).select(*BATCH)
         result = stash(rows.mapInArrow(run, "word long, kind string, e array<float>"))
-        summed = result.filter("kind <> 'row'").groupBy("word", "kind").agg(*(F.sum(F.col("e")[i].cast("double")).alias(c) for i, c in enumerate(cols)))
-        got = summed.filter("kind = 'head'").drop("kind").toArrow()
+        got = result.filter("kind = 'head'").select("word", "e").repartition(parts, "word").mapInArrow(add_up, "word long, e binary").toArrow()
         every = np.zeros((2 + states + len(freq), states))
-        if got.num_rows:
-            every[got["word"].to_numpy()] = np.stack([got[c].to_numpy() for c in cols], axis=1)
+        for k, x in zip(got["word"].to_pylist(), got["e"].to_pylist(), strict=True):
+            block = every[k * ROWS : (k + 1) * ROWS]
+            block += np.frombuffer(x).reshape(-1, states)[: len(block)]
         tables = []
         more = every[-1]
         if need is not None:
-            others = summed.filter("kind = 'shared'").drop("kind")
+            others = result.filter("kind = 'shared'").groupBy("word").agg(*(F.sum(F.col("e")[i].cast("double")).alias(c) for i, c in enumerate(cols)))
             grown = stash(shared.join(others.hint("merge"), "word").select("word", *((F.col(c) + SMOOTH_WORDS * (F.col("n") + 1) / total).cast("float").alias(c) for c in cols)))
             tables.append(grown)
             of = shared.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
