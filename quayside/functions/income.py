@@ -39,6 +39,30 @@ def bracket(label: Column, income: Column, size: Column, limit: Callable[[Column
     )
 
 
+#: Codes of a verdict: an unmet limit outweighs an unverified one, and this a met one.
+NONE, MET, UNVERIFIED, UNMET = range(4)
+
+
+def income_code(income: Column, size: Column, ami: Column) -> Column:
+    """The code of income_verdict's status, from comparisons alone: what a gate needs for every pair, while details are written for the few that are shown."""
+    c = F.col
+    annual = income * 12
+
+    def code(limit: Callable[[Column], Column]) -> Column:
+        within = F.when(size.isNotNull(), F.when(annual <= limit(size), MET).otherwise(UNMET))
+        return F.when(income.isNull(), UNVERIFIED).otherwise(F.coalesce(within, F.when(annual <= limit(F.lit(1)), MET).when(annual > limit(F.lit(8)), UNMET).otherwise(UNVERIFIED)))
+
+    cap = F.when(c("max_annual_income").isNotNull(), code(lambda _: c("max_annual_income")))
+    area = F.when(c("max_ami_percent").isNotNull(), F.when(ami.isNull(), UNVERIFIED).otherwise(code(lambda s: ami_limit(ami, s, c("max_ami_percent")))))
+    poverty = F.when(c("max_fpl_percent").isNotNull(), code(lambda s: fpl_limit(s, c("max_fpl_percent"))))
+    free = F.when(c("income_notes") | ~F.coalesce(c("eligibility_verified"), F.lit(True)), UNVERIFIED).otherwise(NONE)
+    return F.coalesce(F.greatest(cap, area, poverty), free)
+
+
+def status_of(code: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, ("none", "met", "unverified", "unmet"))), code + 1)
+
+
 def income_verdict(income: Column, size: Column, ami: Column) -> Column:
     """struct(status, detail) for the programme columns max_annual_income, max_ami_percent, max_fpl_percent, income_notes, eligibility_verified: the first unmet limit, else the first unverified, else the first."""
     c = F.col

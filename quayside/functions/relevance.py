@@ -40,7 +40,7 @@ def relevance(url: Column, title: Column, description: Column, headings: Column,
     named, direct = says(body, NAMED_PROGRAMS), says(body, DIRECT_SERVICES)
     kinds = F.filter(F.array(*(F.when(says(identity, words) | F.coalesce(path(url).rlike(rf"(?i)/(?:{paths})(?:/|$)"), F.lit(False)), k) for k, (words, paths) in PAGE_TYPES.items())), lambda x: x.isNotNull())
     actionable = F.coalesce(F.exists(links, lambda x: ~F.coalesce(x["navigation"], F.lit(False)) & says(x["text"], ACTIONS)), F.lit(False))
-    seekers = says(F.concat_ws("\n", identity, F.coalesce(description, empty)), SEEKERS)
+    seekers = says(F.concat_ws("\n", identity, F.coalesce(description, empty), F.coalesce(text, empty)), SEEKERS)
     barred = F.exists(kinds, lambda k: F.when(k == "employer_recruitment", ~seekers).when(k.isin("news_or_archive", "research_or_statistics"), ~actionable).otherwise(True))
     score = F.aggregate(topics, F.lit(0), lambda a, x: a + x["w"]) + n_help * 2 + named.cast("int") * 5 + direct.cast("int") * 4 - F.size(kinds) * 4
     return F.struct(score.alias("score"), (~barred & on_topic & ((n_help > 0) | named | direct)).alias("relevant"), F.transform(topics, lambda x: x["topic"]).alias("topics"), kinds.alias("page_types"))

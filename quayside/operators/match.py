@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geo import area_table, location_columns, prepare_catalogue
-from ..functions.income import income_verdict
+from ..functions.income import MET, NONE, UNMET, income_code, income_verdict
 from ..sources.dimensions import MID_MILES, NEAR_MILES, RELATED, RELATED_LIMIT, URGENT_DAYS, URGENT_STATUSES, WEIGHTS, median_income
 
 GATES = ["active", "service_area", "income_limit", "eviction_notice", "children", "veteran", "housing_status"]
@@ -27,37 +29,52 @@ def with_ami(sit: DataFrame) -> DataFrame:
 
 
 def pairs(sit: DataFrame, cat: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """All pairs of a situation and a programme with the verdicts that both decide: area_verdict, miles, income. only(sit_id, id, ...) restricts the pairs and adds its columns."""
+    """All pairs of a situation and a programme with the verdicts that both decide: area_verdict, miles, income_code, income. only(sit_id, id, ...) restricts the pairs and adds its columns.
+
+    Situations are dealt by sit_id first, so that a small file of them is no single task, and sums and ranks by situation
+    need no further shuffle.
+    """
     s = location_columns(with_ami(sit))
-    at = area_table(s, prepare_catalogue(cat))
-    own = s.drop("location", "has_location", "u_county", "u_city", "u_lat", "u_lng")
-    at = F.broadcast(at) if at.count() <= BROADCAST_ROWS else at
+    cat = prepare_catalogue(cat)
+    at = area_table(s, cat)
+    own = s.drop("location", "has_location", "u_county", "u_city", "u_lat", "u_lng").repartition(int(sit.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sit_id")
+    rows = s.select("place_key").distinct().count() * cat.count()
+    at = F.broadcast(at) if rows <= BROADCAST_ROWS else at
     both = (own.join(only, "sit_id").join(at, ["place_key", "id"]) if only is not None else own.join(at, "place_key")).drop("place_key")
-    return both.withColumn("income", income_verdict(F.col("monthly_income"), F.col("household_size"), F.col("ami")))
+    facts = F.col("monthly_income"), F.col("household_size"), F.col("ami")
+    return both.withColumns({"income_code": income_code(*facts), "income": income_verdict(*facts)})
 
 
-def failures() -> Column:
-    """Array of struct(gate, detail) of every gate that a known fact fails, in the order of GATES."""
+def failed() -> dict[str, Column]:
+    """For each of GATES whether a known fact fails it; false, not null, where it is unknown."""
     c = F.col
+    yes, no = (lambda name: F.coalesce(c(name), F.lit(False))), (lambda name: ~F.coalesce(c(name), F.lit(True)))
     status, allowed = c("housing_status"), c("housing_status_any_of")
-    row = lambda gate, detail: F.struct(F.lit(gate).alias("gate"), (detail if isinstance(detail, Column) else F.lit(detail)).alias("detail"))
-    yes = lambda name: F.coalesce(c(name), F.lit(False))
     tests = [
-        F.when(~yes("active"), row("active", "This listing is inactive.")),
-        F.when(c("area_verdict") == "mismatch", row("service_area", F.concat(F.lit("Serves "), F.array_join("service_area", "; ")))),
-        F.when(c("income.status") == "unmet", row("income_limit", c("income.detail"))),
-        F.when(yes("requires_eviction_notice") & status.isNotNull() & (status != "eviction_notice"), row("eviction_notice", "Needs a formal eviction notice.")),
-        F.when(yes("requires_children") & ~F.coalesce(c("has_children"), F.lit(True)), row("children", "Only for households with children.")),
-        F.when(yes("requires_veteran") & ~F.coalesce(c("is_veteran"), F.lit(True)), row("veteran", "Only for veterans.")),
-        F.when(allowed.isNotNull() & status.isNotNull() & ~F.array_contains(allowed, status), row("housing_status", F.concat(F.lit("Only for: "), F.array_join(allowed, ", ")))),
-    ]
-    return F.filter(F.array(*tests), lambda x: x.isNotNull())
-
-
-def breakdown() -> Column:
-    """Array of struct(factor, status, points, detail), in a fixed order; factors that don't apply are left out."""
+        ~yes("active"), c("area_verdict") == "mismatch", c("income_code") == UNMET, yes("requires_eviction_notice") & F.coalesce(status != "eviction_notice", F.lit(False)),
+        yes("requires_children") & no("has_children"), yes("requires_veteran") & no("is_veteran"), ~F.coalesce(F.array_contains(allowed, status), F.lit(True)),
+    ]
+    return dict(zip(GATES, tests, strict=True))
+
+
+def passes() -> Column:
+    """Whether a pair fails no gate."""
+    return ~reduce(Column.__or__, failed().values())
+
+
+def failures() -> Column:
+    """Array of struct(gate, detail) of every gate that a known fact fails, in the order of GATES."""
+    details = {
+        "active": F.lit("This listing is inactive."), "service_area": F.concat(F.lit("Serves "), F.array_join("service_area", "; ")), "income_limit": F.col("income.detail"), "eviction_notice": F.lit("Needs a formal eviction notice."),
+        "children": F.lit("Only for households with children."), "veteran": F.lit("Only for veterans."), "housing_status": F.concat(F.lit("Only for: "), F.array_join("housing_status_any_of", ", ")),
+    }
+    return F.array_compact(F.array(*(F.when(test, F.struct(F.lit(gate).alias("gate"), details[gate].alias("detail"))) for gate, test in failed().items())))
+
+
+def breakdown(details: bool = True) -> Column:
+    """Array of struct(factor, status, points, detail), in a fixed order; factors that don't apply are left out. Without `details`, which are sentences, these are null."""
     c, w = F.col, WEIGHTS
-    text = lambda d: d if isinstance(d, Column) else F.lit(d)
+    text = lambda d: F.lit(None).cast("string") if not details else d if isinstance(d, Column) else F.lit(d)
     item = lambda factor, status, points, detail: F.struct(F.lit(factor).alias("factor"), F.lit(status).alias("status"), F.lit(points).alias("points"), text(detail).alias("detail"))
     yes = lambda name: F.coalesce(c(name), F.lit(False))
     status, days, needs = c("housing_status"), c("response_time_days"), c("needs")
@@ -66,7 +83,7 @@ def breakdown() -> Column:
     need = F.when(no_need, item("need_match", "unverified", 0, "No need stated.")).when(F.array_contains(needs, c("category")), item("need_match", "met", w["need"], F.concat(F.lit("Matches your request: "), c("category")))).otherwise(item("need_match", "unmet", 0, F.concat(F.lit("Not asked for: "), c("category"))))
     urgent = F.when(days <= URGENT_DAYS, item("urgency_fit", "met", w["urgency"], F.concat(F.lit("Responds within days: "), days.cast("string")))).when(days.isNotNull(), item("urgency_fit", "unmet", 0, F.concat(F.lit("Takes days: "), days.cast("string"))))
     urgency = F.when(status.isNull(), item("urgency_fit", "unverified", 0, "Housing status unknown.")).when(status.isin(URGENT_STATUSES), urgent).when(days.isNotNull(), item("urgency_fit", "met", 0, "No immediate deadline."))
-    income = F.when(c("income.status") == "none", item("income_limit", "met", w["income_none"], c("income.detail"))).when(c("income.status") == "met", item("income_limit", "met", w["income_met"], c("income.detail"))).otherwise(item("income_limit", "unverified", 0, c("income.detail")))
+    income = F.when(c("income_code") == NONE, item("income_limit", "met", w["income_none"], c("income.detail"))).when(c("income_code") == MET, item("income_limit", "met", w["income_met"], c("income.detail"))).otherwise(item("income_limit", "unverified", 0, c("income.detail")))
     asked = lambda applies, ok, factor, detail: F.when(applies, F.when(ok, item(factor, "met", w["requirement"], detail)).otherwise(item(factor, "unverified", 0, detail)))
     missing = F.filter("required_documents", lambda d: ~F.array_contains(F.transform("documents_available", lambda h: F.lower(h)), F.lower(d)))
     papers = F.when(F.size("required_documents") > 0, F.when(c("documents_available").isNull(), item("documents", "unverified", 0, F.concat(F.lit("You will need: "), F.array_join("required_documents", ", "))))
@@ -100,11 +117,16 @@ def gated(sit: DataFrame, cat: DataFrame) -> DataFrame:
     return pairs(sit, cat).withColumn("failures", failures())
 
 
-def scored(survivors: DataFrame) -> DataFrame:
+def survivors(sit: DataFrame, cat: DataFrame) -> DataFrame:
+    """The pairs that fail no gate, with their section, as far as they have one."""
+    return pairs(sit, cat).filter(passes()).withColumn("section", section()).filter(F.col("section").isNotNull())
+
+
+def scored(kept: DataFrame) -> DataFrame:
     """Adds breakdown, score, unverified and needs_verification."""
-    open_ = F.filter("breakdown", lambda i: (i["status"] == "unverified") & i["factor"].isin(ELIGIBILITY))
-    out = survivors.withColumn("breakdown", breakdown())
-    return out.withColumn("score", F.aggregate("breakdown", F.lit(0), lambda a, i: a + i["points"])).withColumn("unverified", F.size(open_)).withColumn("needs_verification", F.col("unverified") > 0)
+    open_ = F.filter("_items", lambda i: (i["status"] == "unverified") & i["factor"].isin(ELIGIBILITY))
+    out = kept.withColumns({"breakdown": breakdown(), "_items": breakdown(details=False)})
+    return out.withColumn("score", F.aggregate("_items", F.lit(0), lambda a, i: a + i["points"])).withColumn("unverified", F.size(open_)).withColumn("needs_verification", F.col("unverified") > 0).drop("_items")
 
 
 def match(sit: DataFrame, cat: DataFrame, related_limit: int = RELATED_LIMIT) -> DataFrame:
@@ -113,15 +135,14 @@ def match(sit: DataFrame, cat: DataFrame, related_limit: int = RELATED_LIMIT) ->
     Programmes outside the requested and related categories are dropped before anything is scored. Order: score, fewer
     open questions, name in language order, place in the catalogue. Related programmes end at `related_limit`.
     """
-    kept = gated(sit, cat).filter(F.size("failures") == 0).withColumn("section", section()).filter(F.col("section").isNotNull())
     name = F.expr("name COLLATE UNICODE")
     order = Window.partitionBy("sit_id", "section").orderBy(F.desc("score"), "unverified", name, "ord")
-    ranked = scored(kept).withColumn("rank", F.row_number().over(order))
+    ranked = scored(survivors(sit, cat)).withColumn("rank", F.row_number().over(order))
     return ranked.filter((F.col("section") == "ranked") | (F.col("rank") <= related_limit))
 
 
 def excluded_counts(sit: DataFrame, cat: DataFrame) -> DataFrame:
     """(sit_id, excluded, one count for each gate): over all categories, before needs are looked at."""
-    g = gated(sit, cat)
-    counts = [F.sum(F.expr(f"cast(exists(failures, f -> f.gate = '{gate}') as bigint)")).alias(f"by_{gate}") for gate in GATES]
-    return g.groupBy("sit_id").agg(F.sum((F.size("failures") > 0).cast("long")).alias("excluded"), *counts)
+    tests = failed()
+    sums = [F.sum(test.cast("long")).alias(f"by_{gate}") for gate, test in tests.items()]
+    return pairs(sit, cat).groupBy("sit_id").agg(F.sum((~passes()).cast("long")).alias("excluded"), *sums)

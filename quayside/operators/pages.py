@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.urls import crawl_trap, document_kind, link_priority, normalize_url, useful_lead
+from ..functions.urls import crawl_trap, document_kind, link_priority, normalize_url, resolve, useful_lead
 
 # How much of a page is kept.
 TEXT_LIMIT, EXCERPT_LIMIT, LINK_LIMIT, HEADING_LIMIT = 60_000, 1200, 1000, 100
@@ -116,11 +116,9 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
 
 def page_links(records: DataFrame) -> DataFrame:
-    """(page_id, url, text, navigation, kind): links of each page in normal form, resolved against the page where they start with a slash."""
+    """(page_id, url, text, navigation, kind): links of each page in normal form, resolved against the page."""
     link = records.select("page_id", F.col("url").alias("base"), F.posexplode("links").alias("pos", "l")).select("page_id", "pos", "base", "l.*")
-    root = F.regexp_extract("base", r"^([A-Za-z]+://[^/?#]*)", 1)
-    full = F.when(F.startswith("url", F.lit("/")), F.concat(root, "url")).otherwise(F.col("url"))
-    out = link.withColumn("url", normalize_url(full)).filter("url is not null")
+    out = link.withColumn("url", normalize_url(resolve(F.col("base"), F.col("url")))).filter("url is not null")
     return out.withColumn("kind", document_kind(F.col("url"))).drop("base")
 
 

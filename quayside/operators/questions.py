@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..sources.dimensions import HOUSING_STATUSES
 from . import match as M
+from .dedup import checkpointed
 
 # Fields in the order in which ties are settled, and the answers tried for each.
 FIELDS = ["location", "housing_status", "monthly_income", "household_size", "has_children", "is_veteran"]
@@ -60,7 +61,7 @@ def question_scores(sit: DataFrame, cat: DataFrame) -> DataFrame:
     one candidate. Situations without candidates have no question.
     """
     known = M.with_ami(sit)
-    cand = candidates(sit, cat).persist()  # used four times; a lost part is matched again
+    cand = checkpointed(candidates(sit, cat))  # used four times
     hyp = simulated(known, answers(known, cand))
     before = cand.select("sit_id", "id", F.col("score").alias("before"))
     p = M.pairs(hyp, cat, before).withColumn("failures", M.failures())

@@ -100,7 +100,7 @@ def page_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def link_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
-    links = P.page_links(P.extract_pages(p)).withColumn("navigation", F.lit(False))
+    links = P.page_links(P.extract_pages(p))
     return P.fetch_list(links.withColumn("source", U.host(F.col("url"))), per_source=50, total=10_000)
 
 

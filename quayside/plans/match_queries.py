@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.income import status_of
 from ..operators import match as M
 from ..sources.derived import CATALOGUE_SQL, SITUATIONS_SQL, catalogue, situations
 from ..sources.dimensions import CATEGORIES, MEDIAN_INCOME, RELATED, SIZE_FACTORS
@@ -15,7 +16,8 @@ def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def match_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = M.gated(*_both(spark, sf_dir)).filter(F.size("failures") > 0)
+    p = M.pairs(*_both(spark, sf_dir)).filter(~M.passes())
+    g = p.withColumn("failures", M.failures())
     return g.select("sit_id", "id", F.array_join("failures.gate", ",").alias("gates"))
 
 
@@ -24,8 +26,7 @@ def match_excluded_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def match_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = M.gated(*_both(spark, sf_dir)).filter(F.size("failures") == 0).withColumn("section", M.section()).filter("section is not null")
-    return M.scored(g).select("sit_id", "id", "section", "score", "unverified", "needs_verification")
+    return M.scored(M.survivors(*_both(spark, sf_dir))).select("sit_id", "id", "section", "score", "unverified", "needs_verification")
 
 
 def match_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +51,7 @@ def distance_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def income_brackets(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = M.pairs(*_both(spark, sf_dir))
-    return p.groupBy("sit_id", F.col("income.status").alias("status")).agg(F.count("*").alias("n"))
+    return p.groupBy("sit_id", status_of(F.col("income_code")).alias("status")).agg(F.count("*").alias("n"))
 
 
 def docs_missing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ TOPICS = {
     "rental_assistance": r"rent(?:al)?|housing|evictions?|tenants?|foreclosure",
     "shelter": r"shelters?|homeless(?:ness)?|unhoused|transitional housing|safe parking",
     "food": r"food|meals?|nutrition|hunger|calfresh|snap|wic",
-    "utility": r"utilit(?:y|ies)|energy assistance|electric(?:ity)? bills?|water bills?|heating|liheap|lihwap|internet access|broadband|lifeline phone",
+    "utility": r"utilit(?:y|ies)|energy assistance|electric(?:ity)? bills?|water bills?|heating|liheap|lihwap|internet access|broadband",
     "employment": r"employment|unemployment|job(?:s|less)?|workforce|vocational|career training|apprenticeships?|caljobs",
     "legal": r"legal (?:aid|help|services|assistance)|tenant rights|legal rights|legal clinics?|immigration|lawyers?|attorneys?|expungement",
     "public_benefits": r"public benefits|cash (?:aid|assistance)|financial (?:aid|assistance)|general (?:assistance|relief)|calworks|capi|ssi|ssdi|tax credits?|earned income|cal eitc|caleitc|benefitscal",

@@ -20,6 +20,13 @@ def test_normal_form(spark, url, want):
     assert one(spark, url, U.normalize_url) == want
 
 
+@pytest.mark.parametrize(("link", "want"), [
+    ("apply.html", "https://a.org/x/apply.html"), ("../y", "https://a.org/y"), ("./", "https://a.org/x/"), ("?p=2", "https://a.org/x/z?p=2"), ("//b.org/q", "https://b.org/q"), ("/r/../s", "https://a.org/s"), ("http://c.org/k", "http://c.org/k"), ("../../../t", "https://a.org/t"), ("mailto:x@a.org", "mailto:x@a.org"),
+])
+def test_links_are_resolved_against_their_page(spark, link, want):
+    assert one(spark, link, lambda c: U.resolve(F.lit("https://a.org/x/z?k=1#f"), c)) == want
+
+
 def test_scope_kinds_and_traps(spark):
     scope = lambda u: one(spark, u, lambda c: U.in_scope(c, F.array(F.lit("https://a.org")), F.array(F.lit("/Help/"), F.lit("/b"))))
     assert [scope(u) for u in ("https://a.org/help", "https://a.org/help/x", "https://a.org/helper", "https://b.org/help", "https://a.org/B/1", None)] == [True, True, False, False, True, False]
