@@ -123,10 +123,10 @@ def page_links(records: DataFrame) -> DataFrame:
 
 
 def fetch_list(links: DataFrame, per_source: int, total: int) -> DataFrame:
-    """(source, url, score, rank): useful leads that are pages and no traps, the best score of each url, the best `per_source` of each source, the best `total` in all. Both limits are the budget of a fetching round."""
+    """(source, url, score, rank): pages that are no traps and no links for sharing, those of menus with a lower score, the best score of each url, the best `per_source` of each source, the best `total` in all. Both limits are the budget of a fetching round."""
     c = F.col
     score = link_priority(c("url"), c("text"), c("navigation")) * 3
-    good = links.filter((c("kind") == "page") & ~crawl_trap(c("url")) & useful_lead(c("url"), c("navigation")))
+    good = links.filter((c("kind") == "page") & ~crawl_trap(c("url")) & useful_lead(c("url"), F.lit(False)))
     best = good.groupBy("source", "url").agg(F.max(score).alias("score"))
     order = Window.partitionBy("source").orderBy(F.desc("score"), "url")
     return best.withColumn("rank", F.row_number().over(order)).filter(c("rank") <= per_source).orderBy(F.desc("score"), "source", "url").limit(total)
