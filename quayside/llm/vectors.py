@@ -105,7 +105,7 @@ def verify(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
 
 
 def near_duplicates(table: DataFrame, least: float = 0.95) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for every distinct vec_id of table(vec_id, embedding, ...).
+    """(vec_id, n_links, component_id, kept) for every distinct pair of a vec_id and a vector of table(vec_id, embedding, ...).
 
     Vectors are linked if their cosine, in double precision, is `least` or more and their collisions pass the calibrated
     count, which a pair at the threshold fails with a chance of at most MISS, closer pairs more rarely. n_links counts
