@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import itertools
 import re
 import tempfile
 import uuid
@@ -11,8 +12,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: Bytes of text that one vectorised step holds.
 BLOCK = 1 << 18
@@ -250,6 +252,32 @@ def measured(df: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
     return F.broadcast(df) if few(df, most) else df
 
 
+def ordered(df: DataFrame, order: list[Column], size: str) -> DataFrame:
+    """df, checkpointed, with `before`: the sum of column `size` (whole numbers from 0) over all rows that come earlier in the order; rows that tie come in any order.
+
+    Rows are dealt by ranges of the order with a number of each row as the last key, so that a value that many rows share
+    fills many tasks. Each part is sorted and summed by itself; the driver gets one sum a part.
+    """
+    rows = cut(df.withColumn("_row", F.monotonically_increasing_id()))
+    last = [*order, F.col("_row")]
+    parts = cut(rows.repartitionByRange(*last).sortWithinPartitions(*last).drop("_row").withColumn("_part", F.spark_partition_id()))
+    sums = sorted(map(tuple, parts.groupBy("_part").agg(F.sum(size)).collect()))
+    begin = dict(zip([p for p, _ in sums], itertools.accumulate([0, *(n for _, n in sums)]), strict=False))
+    at, names = parts.columns.index(size), parts.columns[:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passed: int | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n = batch.column(at).to_numpy(zero_copy_only=False).astype(np.int64)
+            passed = begin[batch.column(len(names))[0].as_py()] if passed is None else passed
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(passed + np.cumsum(n) - n)], [*names, "before"])
+            passed += int(n.sum())
+
+    return parts.mapInArrow(run, StructType([*parts.schema.fields[:-1], StructField("before", LongType())]))
+
+
 def crc_part(doc_id, n: int):
     """crc32 of the id's decimal text, modulo n; null ids give null."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

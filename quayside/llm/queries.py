@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hmm_lm, language_id, line_dedup, minhash, quality, sharding, url_filter, vectors
+from . import bpe, decontaminate, hmm_lm, importance, language_id, line_dedup, minhash, mixture, prefix_trie, quality, sharding, url_filter, vectors
 from .common import crc_part, documents
 
 
@@ -77,6 +77,20 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), least=0.95)
 
 
+def op11_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix_sources(documents(spark, sf_dir)).taken().select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = prefix_trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 #: DuckDB: lower-cased words of whole texts.
 WORDS = """translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"""
 
@@ -184,6 +198,67 @@ JOIN (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY 1) c USING
 """
 
 
+#: DuckDB: crc32 of strings, by the steps of its polynomial and the bytes in hexadecimal.
+CRC_SQL = """
+steps AS (
+  SELECT list(c ORDER BY i) AS t
+  FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) r(i))),
+crcs AS (
+  SELECT x, xor(4294967295, list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]))) AS crc
+  FROM (SELECT x, list_transform(range(1, len(h) + 1, 2), lambda k: (instr('0123456789ABCDEF', h[k]) * 16 + instr('0123456789ABCDEF', h[k + 1]) - 17)::BIGINT) AS bytes FROM (SELECT x, hex(encode(x)) AS h FROM crc_of)), steps)
+"""
+
+OP12_SQL = rf"""
+WITH RECURSIVE c AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL),
+crc_of AS (SELECT conv_id::VARCHAR AS x FROM c),
+{CRC_SQL},
+h AS (SELECT conv_id, crc % 4 AS h FROM c JOIN crcs ON x = conv_id::VARCHAR),
+o AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(role) || ':' || role || text)) AS pos
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+r AS (
+  SELECT h.conv_id, 0 AS part, pos, role, text FROM h JOIN o ON o.conv_id = h.conv_id - h.conv_id % 20 AND pos <= h
+  UNION ALL SELECT h.conv_id, 1, pos, role, text FROM h JOIN o ON o.conv_id = h.conv_id AND pos > h),
+s AS (SELECT c.conv_id, coalesce(any_value(turns), []) AS turns FROM c LEFT JOIN (SELECT conv_id, list(sha256(strlen(role) || ':' || role || text) ORDER BY part, pos) AS turns FROM r GROUP BY 1) USING (conv_id) GROUP BY 1),
+words AS (SELECT sha256(strlen(role) || ':' || role || text) AS t, len(list_filter(string_split_regex(any_value(text), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words FROM o GROUP BY 1),
+m AS (SELECT conv_id, d, turns[1 : d] AS key, d = len(turns) AS here FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM s)),
+n AS (
+  SELECT key, d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (here), '')) AS ends_sha256
+  FROM m GROUP BY key, d),
+v AS (
+  SELECT n.*, p.conv_id AS parent_conv_id, coalesce(k.n, 0) AS n_children, (n_convs - 1) * coalesce(words, 0) AS own
+  FROM n LEFT JOIN (SELECT key, conv_id FROM n) p ON n.d > 0 AND p.key = n.key[1 : n.d - 1]
+  LEFT JOIN (SELECT key[1 : d - 1] AS key, count(*) AS n FROM n WHERE d > 0 GROUP BY 1) k ON k.key = n.key
+  LEFT JOIN words ON t = n.key[n.d]),
+below AS (SELECT key[1 : up] AS key, sum(own) AS saved, sum((n_children = 0)::INT) AS leaves FROM (SELECT key, own, n_children, unnest(range(0, d + 1)) AS up FROM v) GROUP BY 1)
+SELECT conv_id, d AS depth, parent_conv_id, n_convs, n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, ends_sha256 FROM v JOIN below USING (key)
+"""
+
+OP13_SQL = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex({WORDS}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
+b AS (SELECT list_filter(string_split_regex({WORDS}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM benchmark),
+dw AS (SELECT r, w, count(*) AS n FROM (SELECT r, unnest(ws) AS w FROM d) GROUP BY 1, 2),
+bw AS (SELECT w, count(*) AS n FROM (SELECT unnest(ws) AS w FROM b) GROUP BY 1),
+crc_of AS (SELECT w AS x FROM dw UNION SELECT w FROM bw),
+{CRC_SQL},
+s AS (SELECT crc % 10000 AS k, sum(n) AS s FROM dw JOIN crcs ON x = w GROUP BY 1),
+t AS (SELECT crc % 10000 AS k, sum(n) AS t FROM bw JOIN crcs ON x = w GROUP BY 1),
+g AS (
+  SELECT k, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (all_s + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * (all_t + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM (SELECT k FROM s UNION SELECT k FROM t) LEFT JOIN s USING (k) LEFT JOIN t USING (k), (SELECT coalesce(sum(s), 0) AS all_s FROM s), (SELECT coalesce(sum(t), 0) AS all_t FROM t)),
+w AS (SELECT r, sum(n * gain) AS total FROM dw JOIN crcs ON x = w JOIN g ON k = crc % 10000 GROUP BY 1),
+f AS (SELECT d.r, doc_id, coalesce(len(ws), 0)::BIGINT AS n, coalesce(total, 0)::BIGINT AS total, sha256('2024:' || doc_id::VARCHAR) AS h FROM d LEFT JOIN w USING (r)),
+z AS (
+  SELECT r, doc_id, n, CASE WHEN n > 0 THEN (total - ((total % n) + n) % n) // n ELSE 0 END AS weight,
+    list_reduce(list_transform(range(1, 9), lambda i: (instr('0123456789abcdef', h[i]) - 1)::BIGINT), lambda x, y: 16 * x + y) AS h
+  FROM f),
+y AS (SELECT r, doc_id, n, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM z),
+ranked AS (
+  SELECT r, row_number() OVER (ORDER BY score DESC, doc_id, weight, n) AS place, 10 * count(*) OVER () // 100 AS most FROM y WHERE n >= 20 AND score IS NOT NULL)
+SELECT doc_id, n AS n_features, weight, score, CASE WHEN place <= most THEN place END AS rank FROM y LEFT JOIN ranked USING (r)
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -191,8 +266,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"pipeline": pipeline, "op1_minhash": op1_minhash, "op2_hmm_lm": op2_hmm_lm, "op3_line_dedup": op3_line_dedup, "op4_language_id": op4_language_id, "op5_quality": op5_quality, "op6_sharding": op6_sharding, "op7_decontaminate": op7_decontaminate, "op8_url_filter": op8_url_filter, "op9_bpe": op9_bpe, "op10_vectors": op10_vectors}
+    return {"pipeline": pipeline, "op1_minhash": op1_minhash, "op2_hmm_lm": op2_hmm_lm, "op3_line_dedup": op3_line_dedup, "op4_language_id": op4_language_id, "op5_quality": op5_quality, "op6_sharding": op6_sharding, "op7_decontaminate": op7_decontaminate, "op8_url_filter": op8_url_filter, "op9_bpe": op9_bpe, "op10_vectors": op10_vectors, "op11_mixture": op11_mixture, "op12_prefix_trie": op12_prefix_trie, "op13_importance": op13_importance}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": OP1_SQL, "op3_line_dedup": OP3_SQL, "op7_decontaminate": OP7_SQL, "op8_url_filter": OP8_SQL, "op10_vectors": OP10_SQL}
+    return {"op1_minhash": OP1_SQL, "op3_line_dedup": OP3_SQL, "op7_decontaminate": OP7_SQL, "op8_url_filter": OP8_SQL, "op10_vectors": OP10_SQL, "op12_prefix_trie": OP12_SQL, "op13_importance": OP13_SQL}
