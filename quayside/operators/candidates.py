@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.relevance import category
-from ..functions.text import eligibility, let
+from ..functions.rules import eligibility, evidence
+from ..functions.text import let
 from ..functions.urls import host, in_scope, path, scheme
 from .dedup import checkpointed
 
@@ -205,16 +206,16 @@ def make_candidates(pages: DataFrame, sources: DataFrame) -> DataFrame:
     s = sources.select("source_id", *(c(x).alias(f"_{x}") for x in ("name", "service_area", "organization_from_title", "skip_eligibility", "category_by_path")))
     home = F.coalesce("canonical", "url")
     raw = F.coalesce(*(F.when(x != "", x) for x in (squeeze(c("title"), 180), squeeze(F.try_element_at("headings", F.lit(1)), 180))), path(c("url")))
-    evidence = F.concat_ws(" ", "url", "title", F.try_element_at("headings", F.lit(1)))
+    named_by = F.concat_ws(" ", "url", "title", F.try_element_at("headings", F.lit(1)))
     named = pages.join(s, "source_id", "left").select(
         "ord", "url", "canonical", "title", "headings", "text", "excerpt", "links", "phones", "emails", "description", *(x for x in s.columns if x != "source_id"),
-        F.when(matches(evidence, TAX_CREDIT), TAX_CREDIT_NAME).otherwise(squeeze(F.element_at(F.split(raw, r"\s+\|\s+"), 1), 180)).alias("_title"), home.alias("_home"),
+        F.when(matches(named_by, TAX_CREDIT), TAX_CREDIT_NAME).otherwise(squeeze(F.element_at(F.split(raw, r"\s+\|\s+"), 1), 180)).alias("_title"), home.alias("_home"),
         best_description(c("title"), c("headings"), c("text"), c("excerpt"), c("description")).alias("_about"),
     )
     whole = F.concat_ws(" ", "title", "excerpt", "text")
     curated = F.try_element_at("_category_by_path", F.regexp_replace(path(c("_home")), "/+$", ""))
     office = F.when(matches(whole, TAX_CREDIT), TAX_CREDIT_OFFICE).when(F.coalesce("_organization_from_title", F.lit(False)) & (c("_title") != ""), c("_title")).otherwise(c("_name"))
-    rules = eligibility(F.concat_ws("\n", "title", "description", "excerpt", "text"))
+    rules = eligibility(evidence(c("title"), c("headings"), c("description"), c("excerpt"), c("text")))
     return named.filter(~is_navigation(c("_title"), c("_about"), c("url"))).select(
         "ord", stable_id(c("_title"), c("_home")).alias("id"), c("_title").alias("name"), office.alias("organization"), F.coalesce(curated, category(c("url"), c("_title"), c("_about"))).alias("category"),
         c("_about").alias("description"), F.array("_service_area").alias("service_area"), F.when(~F.coalesce("_skip_eligibility", F.lit(False)), rules).alias("eligibility"),

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.text import eligibility, let
+from ..functions.rules import eligibility, evidence
+from ..functions.text import let
 from ..functions.urls import crawl_trap, document_kind, normalize_url, useful_lead
 from ..sources.dimensions import CATEGORIES, PLACES
 
@@ -61,9 +62,9 @@ def checked(catalogue: DataFrame) -> DataFrame:
 
 
 def valid_entries(stored: DataFrame) -> DataFrame:
-    """Of stored(key, version, url, html, ...) what may be used again: of the present version, under the key of its own url, not too large."""
-    size = F.octet_length(F.coalesce("html", F.lit("")))
-    return stored.filter((F.col("version") == PAGE_VERSION) & (F.col("key") == F.sha2("url", 256)) & (size <= PAGE_BYTES))
+    """Of stored(key, version, url, final_url, html, ...) what may be used again: of the present version, under the key of its own url, with a final url and html that isn't too large in UTF-8. Null html or final url is no entry; empty html is one."""
+    own = (F.col("version") == PAGE_VERSION) & (F.col("key") == F.sha2("url", 256))
+    return stored.filter(own & (F.coalesce("final_url", F.lit("")) != "") & (F.octet_length("html") <= PAGE_BYTES))
 
 
 def area_coordinates(areas: Column) -> Column:
@@ -80,7 +81,7 @@ def backfill(catalogue: DataFrame) -> DataFrame:
     c = F.col
     names = catalogue.schema["eligibility"].dataType.names
     none = ~F.coalesce(*(F.when(c(f"eligibility.{n}").isNotNull(), F.lit(True)) for n in names), F.lit(False))
-    rules = eligibility(F.concat_ws("\n", "name", "description", "excerpt"))
+    rules = eligibility(evidence(c("name"), c("description"), c("excerpt")))
     stated = F.struct(*((rules[n] if n in RULES else F.lit(None)).cast(catalogue.schema["eligibility"].dataType[n].dataType).alias(n) for n in names))
     with_rules = catalogue.withColumn("_stated", F.when(none & ~F.coalesce(c("overridden"), F.lit(False)), stated))
     any_ = F.coalesce(*(F.when(c(f"_stated.{n}").isNotNull(), F.lit(True)) for n in names), F.lit(False))
@@ -88,7 +89,7 @@ def backfill(catalogue: DataFrame) -> DataFrame:
 
 
 #: The rules that page texts can state.
-RULES = ["max_annual_income", "max_ami_percent", "max_fpl_percent", "requires_eviction_notice", "requires_children", "requires_veteran", "housing_status_any_of"]
+RULES = ["max_annual_income", "max_ami_percent", "max_fpl_percent", "requires_eviction_notice", "requires_children", "requires_veteran", "housing_status_any_of", "notes"]
 
 
 def leads(links: DataFrame, most_depth: int) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import relevance as R
+from ..functions import rules
+from ..functions import spanish as S
 from ..functions import text as T
 from ..sources.derived import CATALOGUE_SQL, SITUATIONS_SQL, catalogue, table
 
@@ -33,6 +35,35 @@ def parse_situations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("key", "household_size", "monthly_income", "monthly_housing_cost", "age", "housing_status", "has_children", "is_veteran", "crisis", "city", "county")
 
 
+#: The same in Spanish, as far as there are words for it.
+_DICE = """
+  concat_ws(' ', 'Necesito ayuda con la comida.',
+    CASE WHEN city IS NOT NULL THEN concat('Vivo en ', replace(city, 'San Jose', 'San José'), '.') END,
+    CASE WHEN household_size IS NOT NULL THEN concat('Somos una familia de ', CAST(household_size AS VARCHAR(9)), '.') END,
+    CASE WHEN monthly_income = 0 THEN 'No tengo ingresos.' WHEN monthly_income IS NOT NULL THEN concat('Gano $', CAST(monthly_income AS VARCHAR(12)), ' al mes.') END,
+    CASE WHEN monthly_housing_cost IS NOT NULL THEN concat('La renta es $', CAST(monthly_housing_cost AS VARCHAR(12)), ' al mes.') END,
+    CASE WHEN age IS NOT NULL THEN concat('Tengo ', CAST(age AS VARCHAR(4)), ' años.') END,
+    CASE housing_status WHEN 'housed_at_risk' THEN 'Debo la renta.' WHEN 'eviction_notice' THEN 'Me dieron un aviso de desalojo.' WHEN 'unhoused' THEN 'Duermo en mi carro.' END,
+    CASE WHEN has_children THEN 'Tengo dos hijos.' WHEN NOT has_children THEN 'No tengo hijos.' END,
+    CASE WHEN is_veteran THEN 'Soy veterano.' WHEN NOT is_veteran THEN 'No soy veterano.' END)
+"""
+
+
+def _spanish_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(f"SELECT sit_id AS key, {_DICE} AS text FROM ({SITUATIONS_SQL.replace('FROM customer', 'FROM {customer}')}) s", customer=table(spark, sf_dir, "customer"))
+
+
+def spanish_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spanish texts in English phrases; every other one is English, and stays."""
+    both = _spanish_texts(spark, sf_dir).unionByName(texts(spark, sf_dir).withColumn("key", -F.col("key")))
+    return both.select("key", S.looks_spanish(F.col("text")).alias("spanish"), T.normalize(F.col("text")).alias("normal"))
+
+
+def spanish_situations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = T.parse(_spanish_texts(spark, sf_dir))
+    return p.select("key", "household_size", "monthly_income", "monthly_housing_cost", "age", "housing_status", "has_children", "is_veteran", "city", "county")
+
+
 def crisis_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir).filter(T.crisis(F.col("text"))).select("key")
 
@@ -51,13 +82,14 @@ _PAGE = """
     CASE WHEN max_annual_income IS NOT NULL THEN 'Annual income of no more than $32,900 a year.' END,
     CASE WHEN requires_veteran THEN 'Applicants must be veterans.' END, CASE WHEN requires_children THEN 'For families with minor children.' END,
     CASE WHEN requires_eviction_notice THEN 'You must have received an eviction notice.' END,
-    CASE status_any1 WHEN 'unhoused' THEN 'For people experiencing homelessness.' WHEN 'housed_at_risk' THEN 'For tenants behind on their rent.' END)
+    CASE status_any1 WHEN 'unhoused' THEN 'For people experiencing homelessness.' WHEN 'housed_at_risk' THEN 'For tenants behind on their rent.' END,
+    CASE ord % 7 WHEN 0 THEN 'Serves zip codes: 95112, 95113 and 95112.' WHEN 1 THEN 'Be a resident of Kern County for at least 30 days.' WHEN 2 THEN 'For CalWORKs participants.' WHEN 3 THEN 'Low-income tenants first.' WHEN 4 THEN 'Up to 60% of state median income, child welfare.' END)
 """
 
 
 def eligibility_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.sql(f"SELECT id, {_PAGE} AS text FROM ({CATALOGUE_SQL.replace('FROM supplier', 'FROM {supplier}')}) c", supplier=table(spark, sf_dir, "supplier"))
-    e = p.select("id", T.eligibility(F.col("text")).alias("e")).select("id", "e.*")
+    e = p.select("id", rules.eligibility(F.col("text")).alias("e")).select("id", "e.*")
     return e.withColumn("housing_status_any_of", F.array_join("housing_status_any_of", ","))
 
 
@@ -110,13 +142,24 @@ ORACLES = {
     "category_assign": f"WITH {_RELEVANT} SELECT page_id, CASE a WHEN 0 THEN 'food' WHEN 1 THEN 'shelter' WHEN 3 THEN 'legal' WHEN 4 THEN 'condition_support' ELSE CASE WHEN b = 2 THEN 'health' END END AS category FROM r",
     "parse_situations": f"""WITH s AS ({SITUATIONS_SQL}) SELECT sit_id AS key, coalesce(household_size, CASE WHEN has_children THEN 3 END)::INT AS household_size, monthly_income::DOUBLE AS monthly_income, monthly_housing_cost::DOUBLE AS monthly_housing_cost, age::INT AS age, housing_status, has_children, is_veteran,
       sit_id % 5 = 1 AS crisis, city, CASE WHEN city IS NOT NULL OR county <> 'Kern County' THEN county END AS county FROM s""",
+    "spanish_normalize": f"""WITH s AS ({SITUATIONS_SQL})
+      SELECT sit_id AS key, true AS spanish, concat_ws(' ', 'need help with la food.', CASE WHEN city IS NOT NULL THEN 'i live in ' || lower(city) || '.' END, CASE WHEN household_size IS NOT NULL THEN 'we are una family of ' || household_size || '.' END,
+        CASE WHEN monthly_income = 0 THEN 'no income.' WHEN monthly_income IS NOT NULL THEN 'i make $' || monthly_income::VARCHAR || ' a month.' END, CASE WHEN monthly_housing_cost IS NOT NULL THEN 'la rent is $' || monthly_housing_cost::VARCHAR || ' a month.' END,
+        CASE WHEN age IS NOT NULL THEN 'i am ' || age || '.' END, CASE housing_status WHEN 'housed_at_risk' THEN 'behind on rent.' WHEN 'eviction_notice' THEN 'me dieron un eviction notice.' WHEN 'unhoused' THEN 'sleeping in my car.' END,
+        CASE WHEN has_children THEN 'i have two kids.' WHEN NOT has_children THEN 'no kids.' END, CASE WHEN is_veteran THEN 'i''m veteran.' WHEN NOT is_veteran THEN 'not a veteran.' END) AS normal FROM s
+      UNION ALL SELECT -sit_id, false, trim({_SAY}) FROM s""",
+    "spanish_situations": f"""WITH s AS ({SITUATIONS_SQL}) SELECT sit_id AS key, coalesce(household_size, CASE WHEN has_children THEN 3 END)::INT AS household_size, monthly_income::DOUBLE AS monthly_income, monthly_housing_cost::DOUBLE AS monthly_housing_cost, age::INT AS age,
+      nullif(housing_status, 'housed_stable') AS housing_status, has_children, is_veteran, city, CASE WHEN city IS NOT NULL THEN county END AS county FROM s""",
     "crisis_screen": "SELECT c_custkey AS key FROM customer WHERE c_custkey % 5 = 1",
     "zip_to_place": """SELECT c_custkey AS key, CASE WHEN c_custkey % 2 = 0 THEN 'San Jose' ELSE ['Los Altos', 'Redwood City', 'Cupertino', 'Oakland', NULL][c_custkey % 5 + 1] END AS city,
       CASE WHEN c_custkey % 2 = 0 THEN 'Santa Clara County' ELSE ['Santa Clara County', 'San Mateo County', 'Santa Clara County', 'Alameda County', NULL][c_custkey % 5 + 1] END AS county,
       CASE WHEN c_custkey % 2 = 0 THEN '951' || lpad((c_custkey % 100)::VARCHAR, 2, '0') ELSE ['94022', '94063', '95014', '94612', NULL][c_custkey % 5 + 1] END AS zip FROM customer""",
     "eligibility_extract": f"""WITH c AS ({CATALOGUE_SQL}) SELECT id, max_annual_income::DOUBLE AS max_annual_income, max_ami_percent::DOUBLE AS max_ami_percent, max_fpl_percent::DOUBLE AS max_fpl_percent, requires_veteran, requires_children, CASE WHEN requires_eviction_notice THEN true END AS requires_eviction_notice,
-      CASE status_any1 WHEN 'unhoused' THEN 'unhoused' WHEN 'housed_at_risk' THEN 'housed_at_risk,eviction_notice' END AS housing_status_any_of FROM c""",
+      CASE status_any1 WHEN 'unhoused' THEN 'unhoused' WHEN 'housed_at_risk' THEN 'housed_at_risk,eviction_notice' END AS housing_status_any_of,
+      CASE ord % 7 WHEN 0 THEN 'Serves ZIP codes 95112, 95113.' WHEN 1 THEN 'Must be a resident of Kern County for at least 30 days.' WHEN 2 THEN 'Must be receiving (or applying for) CalWORKs.'
+        WHEN 3 THEN CASE WHEN coalesce(max_annual_income, max_ami_percent, max_fpl_percent) IS NULL THEN 'Income limits apply; the amounts are not published on the page.' END
+        WHEN 4 THEN 'Income limit 60% of state median income. Family must be involved with the child welfare system.' END AS notes FROM c""",
     "candidate_counts": f"WITH c AS ({CATALOGUE_SQL}), k AS (SELECT unnest(range(15)) AS no), x AS (SELECT no, count(id) AS n FROM k LEFT JOIN c ON category_no = no GROUP BY 1) SELECT (['rental_assistance', 'food', 'utility', 'shelter', 'employment', 'legal', 'health', 'benefits', 'family_support', 'veteran_support', 'older_adult_support', 'disability', 'mental_health', 'substance_use', 'condition_support'])[no + 1] AS category, n FROM x",
 }
 
-QUERIES = {f.__name__: f for f in (parse_situations, crisis_screen, zip_to_place, eligibility_extract, candidate_counts, page_relevance, topic_counts, category_assign)}
+QUERIES = {f.__name__: f for f in (parse_situations, spanish_normalize, spanish_situations, crisis_screen, zip_to_place, eligibility_extract, candidate_counts, page_relevance, topic_counts, category_assign)}

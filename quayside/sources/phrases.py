@@ -26,10 +26,36 @@ PARTNER_GONE = r"\b(?:wife|husband|partner|spouse|boyfriend|girlfriend|bf|gf)\b[
 ALONE = r"\b(?:live alone|living alone|just me|by myself|on my own|only me|it's just me|no one else)\b"
 VETERAN_POSITIVE = r"\b(?:veterans?|(?:i'm|i am|as|being|disabled|combat|retired|former) (?:a |an )?vet|vet (?:living|in|here|and|who|with|from|looking|needing)|served in the (?:army|navy|marines?|marine corps|air force|coast guard|military|national guard)|(?:i was|been|i've been) in the (?:army|navy|marines?|marine corps|air force|coast guard|military)|(?:army|navy|marine|marines|air force|coast guard) (?:veteran|vet)|military service|ex[- ]military|honorabl[ey] discharged|va benefits|va disability)\b"
 VETERAN_NEGATIVE = r"\b(?:not a (?:veteran|vet)|never served|no military|not military|non[- ]veteran)\b"
+NUMBER_WORD = r"(?:one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety)"
 KID_WORD = r"(?:kids?|children|child|sons?|daughters?|boys?|girls?|bab(?:y|ies)|toddlers?|infants?|teenagers?|teens?|little ones?|newborn)"
+KID_COUNT = rf"\b(\d+|{NUMBER_WORD}|a|an)\s+(?:young |small |little |school[- ]age |minor )?{KID_WORD}\b"
+KID_MENTION = rf"\b(?:my|our) (?:\d+[- ]year[- ]old|{KID_WORD})\b|\b{KID_WORD}\b|\bsingle (?:mom|mother|dad|father|parent)\b|\b(?:mom|mother|dad|father|parent) of (?:\d+|{NUMBER_WORD})\b|\b(?:child ?care|daycare|day care)\b"
+PARENT_OF = rf"\b(?:single )?(?:mom|mother|mama|dad|father|parent) of (\d+|{NUMBER_WORD})\b"
+ONE_KID = r"\b(?:my|our) (?:\d+[- ]year[- ]old|son|daughter|baby|toddler|infant|newborn|little one)\b"
+HOUSEHOLD_SIZES = [
+    rf"\b(?:family|household|house) of (\d+|{NUMBER_WORD})\b",
+    rf"\b(\d+|{NUMBER_WORD}) (?:people|persons|of us|in (?:my|our|the) (?:house|home|apartment|household|family))\b",
+    rf"\b(?:there (?:are|is)|we are|we're) (\d+|{NUMBER_WORD})(?: of us| people)?\b",
+    rf"\bhousehold (?:size )?(?:is|of) (\d+|{NUMBER_WORD})\b",
+]
+ADULTS_AND_KIDS = rf"\b(\d+|{NUMBER_WORD}) adults? and (\d+|{NUMBER_WORD}) {KID_WORD}\b"
+WITH_PARENTS = r"\b(?:live|living|stay|staying|moved back) (?:in )?with my (?:parents|mom and dad)\b"
+WITH_A_PARENT = r"\b(?:live|living|stay|staying|moved back) (?:in )?with my (?:mom|mother|dad|father)\b"
+RELATIVE = r"(?:mom|mother|dad|father|grandma|grandmother|grandpa|grandfather|aunt|uncle|sister|brother|cousin|roommate|friend|nephew|niece)"
+COHABITANT = rf"\b(?:my|our) {RELATIVE} (?:and (?:i|me)\b|(?:lives|is living|stays|is staying|moved in) with (?:me|us)\b)|\b(?:me and|i and) my {RELATIVE}\b"
+AGES = [
+    r"\b(?:i'm|i am|age|aged|i'm turning)\s+(\d{2})\b(?!\s*(?:months|weeks|hours|%|k|,\d|\d))",
+    r"(?<!\b(?:my|our|a|his|her)\s)\b(\d{2})[- ]years?[- ]old\b",
+    r"\b(\d{2})\s*(?:yo|y\/o|yrs old)\b",
+]
 PREGNANT = r"\b(?:pregnan\w*|expecting (?:a baby|our first|my first)|baby (?:is )?due|due in (?:january|february|march|april|may|june|july|august|september|october|november|december|\w+ (?:weeks|months)))\b"
 
 # Money.
+PERIOD = r"(?:per|a|an|each|every|/)\s*(month|mo|monthly|mth|week|wk|weekly|year|yr|annually|annual|hour|hr|hourly|paycheck|2 weeks|two weeks|biweekly|bi-weekly|fortnight)"
+HOURS_A_WEEK = r"\b(\d{1,2})\s*(?:hours?|hrs?)?\s*(?:a|per|\/|each|every)\s*(?:week|wk)\b|\bhours (?:dropped|cut|down|went|reduced|are now)(?: down)? to (\d{1,2})\b|\b(\d{1,2}) hours? (?:a|per) week\b"
+IDLE = r"\b(?:lost|no|without) (?:my |a )?(?:job|work)\b|\blaid off\b|\bunemployed\b"
+HOUSING_COST = rf"\b(?:rent|mortgage)\b(?: payment)?(?: is| was| of| costs?| runs?)?(?: about| around| like| roughly)?\s*(\$\s?)?(\d[\d,]*)(?:\s*{PERIOD})?|(?:pay|paying|spend|spending)(?: about| around| like)?\s*(\$\s?)?(\d[\d,]*)(?:\s*{PERIOD})?\s*(?:a month\s*)?(?:for|in|on) (?:my |our |the )?(?:rent|mortgage)\b"
+DEBT_BEFORE = r"\b(?:back|owe|owed|behind)\s*$"
 EXPENSE_CUE = r"\b(?:rent|lease|bill|bills|owe|owed|owing|deposit|behind|back rent|late fee|mortgage|cost|costs|costing|charging|charges|spend|spending|debt|utilities|pg&e|pge)\b"
 INCOME_CUE = r"\b(?:make|makes|making|made|earn|earns|earning|earned|income|bring(?:s|ing)? (?:home|in)|take(?:s)? home|paid|paycheck|salary|wage|wages|get paid|gets paid|receive|receives|receiving|getting|get|gets|on (?:social security|ssi|ssdi|disability|unemployment|a pension|pension|retirement)|from (?:social security|ssi|ssdi|disability|unemployment|work|my job|a pension|retirement)|social security|pension|unemployment|combined|together|total|budget|living on|live on|support us on)\b"
 NO_INCOME = r"\b(?:no|zero|without any|don't have any|not making any|no longer have any) (?:income|money|money coming in|paycheck|earnings)\b|\bnot working (?:right now|at all|anymore)\b|\bnot earning anything\b|\bbroke\b(?! down)"
@@ -58,6 +84,8 @@ NEEDS = {
 }
 NEED_PRIORITY = ["mental_health", "substance_use", "shelter", "rental_assistance", "utility", "legal", "employment", "benefits", "family_support", "health", "disability", "condition_support", "food", "veteran_support", "older_adult_support"]
 
+LEGAL_DENIAL_BEFORE = r"\b(?:no|not yet|haven't|hasn't|never)\b[^.!?;]{0,15}$"
+
 # Words of each reported condition.
 CONDITIONS = {
     "disability": r"\b(?:disabled|disability|developmental disability|intellectual disability|on ssdi|autis\w+|down syndrome|cerebral palsy|blind|deaf)\b",
@@ -95,3 +123,34 @@ SHORT_FORMS = [
     (r"\bppl\b", "people"),
     (r"\bmo\b", "month"),
 ]
+
+# Rules that a programme's page states.
+ANNUAL_INCOMES = [
+    r"\b(?:earning|earns|income|incomes|gross income|annual income|yearly income)[^$\d]{0,45}\$\s*([\d,]+)\s*(?:a|per|each)?\s*(?:year|yr|annually)\b",
+    r"\b(?:not more than|maximum income(?: allowed)?)[^$]{0,20}\$\s*([\d,]+)\b",
+    r"\b(?:under|below|less than|no more than|up to)\s+\$\s*([\d,]+)\s*(?:a|per|each)?\s*(?:year|yr|annually)\b",
+]
+AREA_PERCENT = r"\b(\d{2,3})\s*(?:%|percent)\s*(?:of\s+)?(?:the\s+)?(?:area median income|ami|median income)\b"
+POVERTY_PERCENT = r"\b(\d{2,3})\s*(?:%|percent)\s*(?:of\s+)?(?:the\s+)?(?:federal poverty (?:level|line|guidelines?)|poverty (?:level|line|guidelines?)|fpl)\b"
+STATE_PERCENT = r"\b(\d{2,3})\s*(?:%|percent)\s*(?:of\s+)?(?:the\s+)?state median income\b"
+SOME_INCOME_LIMIT = r"\b(?:low[- ]income|income[- ]eligible|income[- ]qualified|income limits? appl(?:y|ies))\b"
+VETERANS_ONLY = r"\b(?:must be (?:a )?veterans?|veterans? only|only (?:for|to) (?:eligible )?veterans|for (?:eligible|homeless|low-income) veterans|veterans and their families|serves veterans)\b"
+WITH_CHILDREN = r"\b(?:families with (?:minor |dependent )?children|households with (?:minor |dependent )?children|must have (?:a|at least one) (?:minor |dependent )?child|families (?:in|receiving|on|enrolled in) (?:the )?calworks(?: program)?)\b"
+FOR_HOMELESS = r"\b(?:experiencing homelessness|who are homeless|homeless (?:individuals|families|adults|youth|people)|people experiencing homelessness|are homeless)\b"
+FOR_AT_RISK = r"\b(?:at risk of (?:homelessness|losing (?:their |your )?(?:housing|home)|eviction)|risk of homelessness|past[- ]due rent|behind on (?:their |your )?rent|eviction prevention|avoid(?:ing)? eviction|prevent eviction|eviction avoidance|homelessness prevention|facing eviction)\b"
+NOTICE_REQUIRED = r"\b(?:must have (?:received )?(?:an? )?(?:eviction |written |court )?notice|with an eviction notice|received an? (?:eviction|3-day|three-day|pay or quit) notice|unlawful detainer (?:case|filed|lawsuit))\b"
+CASH_AID_REQUIRED = r"\b(?:calworks (?:recipients?|participants?|families|applicants?)|in the calworks program|receiving calworks|families in calworks)\b"
+ADULT_PROTECTION = r"\b(?:adult protective services|aps clients?)\b"
+CHILD_WELFARE = r"\bchild welfare\b"
+RESIDENT_OF = r"\bresident of ([A-Z][\w .]+? County)(?: for at least (\d+|thirty|sixty|ninety) days)?"
+POSTCODES_BEHIND, POSTCODE = r"\bzip codes?\b(.{0,600})", r"\b9\d{4}\b"
+NOTES = {
+    "state_percent": "Income limit %s%% of state median income.",
+    "some_limit": "Income limits apply; the amounts are not published on the page.",
+    "cash_aid": "Must be receiving (or applying for) CalWORKs.",
+    "adult_protection": "Must be an Adult Protective Services client or in APS intake.",
+    "child_welfare": "Family must be involved with the child welfare system.",
+    "resident": "Must be a resident of %s%s.",
+    "resident_days": " for at least %s days",
+    "postcodes": "Serves ZIP codes %s.",
+}

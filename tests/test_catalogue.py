@@ -37,9 +37,10 @@ def test_checked(spark):
 
 
 def test_valid_entries(spark):
-    rows = [("u1", L.PAGE_VERSION, "u1", "x"), ("u2", 0, "u2", "x"), ("other", L.PAGE_VERSION, "u3", "x"), ("u4", L.PAGE_VERSION, "u4", "é" * L.PAGE_BYTES), ("u5", L.PAGE_VERSION, "u5", None)]
-    stored = spark.createDataFrame(rows, "k string, version int, url string, html string").withColumn("key", F.sha2("k", 256))
-    assert sorted(r.url for r in L.valid_entries(stored).collect()) == ["u1", "u5"]
+    v = L.PAGE_VERSION
+    rows = [("u1", v, "u1", "f", "x"), ("u2", 0, "u2", "f", "x"), ("other", v, "u3", "f", "x"), ("u4", v, "u4", "f", "é" * L.PAGE_BYTES), ("u5", v, "u5", "f", None), ("u6", v, "u6", None, "x"), ("u7", v, "u7", "", "x"), ("u8", v, "u8", "f", "")]
+    stored = spark.createDataFrame(rows, "k string, version int, url string, final_url string, html string").withColumn("key", F.sha2("k", 256))
+    assert sorted(r.url for r in L.valid_entries(stored).collect()) == ["u1", "u8"]
 
 
 @pytest.mark.parametrize(("areas", "want"), [
