@@ -9,12 +9,22 @@ from ..sources.vocabulary import ACTIONS, CATEGORY_WORDS, DIRECT_SERVICES, HELP_
 from .urls import path
 
 
+# Why a page is kept or skipped.
+KEPT, NO_TOPIC, NO_HELP = "Matches assistance topics and practical help or a named program.", "No supported assistance topic was found in the main page content.", "A topic is mentioned, but no practical help or named assistance program was found."
+SKIPPED = "Skipped %s page; follow its program links instead."
+
+
+def first_match(text: Column, words: str) -> Column:
+    """The first match in lower case, null without one."""
+    return F.nullif(F.lower(F.regexp_extract(text, rf"(?i)\b(?:{words})\b", 0)), F.lit(""))
+
+
 def says(text: Column, words: str) -> Column:
     return F.coalesce(text.rlike(rf"(?i)\b(?:{words})\b"), F.lit(False))
 
 
 def relevance(url: Column, title: Column, description: Column, headings: Column, text: Column, links: Column) -> Column:
-    """struct(score, relevant, topics, page_types) of a page.
+    """struct(score, relevant, topics, page_types, matched_terms, reason) of a page.
 
     A topic counts 4 in the title, 3 in a heading, 2 in the description, else 1 in the text; signs of help 2 each, a named
     programme 5, a direct service 4, a kind of page without help -4 each. A page is relevant if its title, headings or text
@@ -32,6 +42,8 @@ def relevance(url: Column, title: Column, description: Column, headings: Column,
         for field, points in reversed(fields):
             w = F.when(says(field, words), points).otherwise(w)
         weight[topic] = w
+    terms = [F.coalesce(*(first_match(field, words) for field, _ in fields)) for words in TOPICS.values()]
+    terms += [first_match(body, words) for words in (*HELP_SIGNALS.values(), NAMED_PROGRAMS, DIRECT_SERVICES)]
     found = F.array(*(F.struct(F.lit(t).alias("topic"), w.alias("w")) for t, w in weight.items()))
     topics = F.filter(found, lambda x: x["w"] > 0)
     on_topic = F.exists(F.array(*(says(body, w) for w in TOPICS.values())), lambda x: x)
@@ -41,9 +53,14 @@ def relevance(url: Column, title: Column, description: Column, headings: Column,
     kinds = F.filter(F.array(*(F.when(says(identity, words) | F.coalesce(path(url).rlike(rf"(?i)/(?:{paths})(?:/|$)"), F.lit(False)), k) for k, (words, paths) in PAGE_TYPES.items())), lambda x: x.isNotNull())
     actionable = F.coalesce(F.exists(links, lambda x: ~F.coalesce(x["navigation"], F.lit(False)) & says(x["text"], ACTIONS)), F.lit(False))
     seekers = says(F.concat_ws("\n", identity, F.coalesce(description, empty), F.coalesce(text, empty)), SEEKERS)
-    barred = F.exists(kinds, lambda k: F.when(k == "employer_recruitment", ~seekers).when(k.isin("news_or_archive", "research_or_statistics"), ~actionable).otherwise(True))
+    bar = F.filter(kinds, lambda k: F.when(k == "employer_recruitment", ~seekers).when(k.isin("news_or_archive", "research_or_statistics"), ~actionable).otherwise(True))
+    barred, enough = F.size(bar) > 0, (n_help > 0) | named | direct
+    reason = F.when(barred, F.format_string(SKIPPED, F.replace(F.try_element_at(bar, F.lit(1)), F.lit("_"), F.lit(" ")))).when(~on_topic, NO_TOPIC).when(~enough, NO_HELP).otherwise(KEPT)
     score = F.aggregate(topics, F.lit(0), lambda a, x: a + x["w"]) + n_help * 2 + named.cast("int") * 5 + direct.cast("int") * 4 - F.size(kinds) * 4
-    return F.struct(score.alias("score"), (~barred & on_topic & ((n_help > 0) | named | direct)).alias("relevant"), F.transform(topics, lambda x: x["topic"]).alias("topics"), kinds.alias("page_types"))
+    return F.struct(
+        score.alias("score"), (~barred & on_topic & enough).alias("relevant"), F.transform(topics, lambda x: x["topic"]).alias("topics"), kinds.alias("page_types"),
+        F.array_distinct(F.array_compact(F.array(*terms))).alias("matched_terms"), reason.alias("reason"),
+    )
 
 
 def category(url: Column, name: Column, description: Column) -> Column:

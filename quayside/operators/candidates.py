@@ -132,9 +132,9 @@ def application_link(title: Column, headings: Column, links: Column) -> Column:
 
 
 def program_links(links: Column) -> Column:
-    """The first 40 links outside menus whose text names help."""
-    found = F.filter(links, lambda x: ~F.coalesce(x["navigation"], F.lit(False)) & matches(x["text"], PROGRAM_LINK))
-    return F.transform(F.slice(found, 1, LINKS), lambda x: F.struct(x["url"].alias("url"), squeeze(x["text"], 180).alias("text")))
+    """The first 40 links outside menus whose text names help, or that a section leads elsewhere with."""
+    found = F.filter(links, lambda x: ~F.coalesce(x["navigation"], F.lit(False)) & (matches(x["text"], PROGRAM_LINK) | F.coalesce(x["related"], F.lit(False))))
+    return F.transform(F.slice(found, 1, LINKS), lambda x: F.struct(x["url"].alias("url"), squeeze(x["text"], 180).alias("text"), squeeze(x["context"], 600).alias("context"), F.coalesce(x["related"], F.lit(False)).alias("related")))
 
 
 def focused(title: Column, headings: Column, text: Column) -> Column:
@@ -249,11 +249,11 @@ def group_candidates(keys: DataFrame) -> DataFrame:
 
 
 def merge_candidates(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(merged, links) of candidates(ord, name, organization, category, service_area, description, source_url, eligibility, linked, ...): one record for each group, with `n_merged`, and its linked programmes as (group, place, url, text).
+    """(merged, links) of candidates(ord, name, organization, category, service_area, description, source_url, eligibility, linked, ...): one record for each group, with `n_merged`, and its linked programmes as (group, place, url, ...).
 
     The record of a group is that of its first candidate with eligibility, or of its first if none has; among those that
     qualify so, the latest first-hand one goes before the first government one, and this before the first. A linked url
-    keeps the place where it was first seen and the text last seen.
+    keeps the place where it was first seen and what was last seen of it.
     """
     c = F.col
     keyed = candidates.select("ord", F.posexplode(F.array(*candidate_keys())).alias("k", "key"))
@@ -264,6 +264,6 @@ def merge_candidates(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     flags = candidates.select("ord", rules.alias("e"), first_hand.alias("p"), matches(site, GOVERNMENT_HOST).alias("g")).join(of, "ord")
     best = lambda ok: F.coalesce(F.max(F.when(ok & c("p"), c("ord"))), F.min(F.when(ok & c("g"), c("ord"))), F.min(F.when(ok, c("ord"))))
     chosen = flags.groupBy("group").agg(F.coalesce(best(c("e")), best(F.lit(True))).alias("ord"), F.count("*").alias("n_merged"))
-    each = candidates.select("ord", F.posexplode("linked").alias("i", "l")).join(of, "ord").select("group", F.struct("ord", "i").alias("at"), "l.url", "l.text")
-    links = each.groupBy("group", "url").agg(F.min("at").alias("place"), F.max_by("text", "at").alias("text")).select("group", "place", "url", "text")
+    each = candidates.select("ord", F.posexplode("linked").alias("i", "l")).join(of, "ord").select("group", F.struct("ord", "i").alias("at"), "l")
+    links = each.groupBy("group", "l.url").agg(F.min("at").alias("place"), F.max_by("l", "at").alias("l")).select("group", "place", "l.*")
     return candidates.join(chosen, "ord"), links

@@ -43,11 +43,3 @@ def first_seen(keys: DataFrame) -> DataFrame:
         return rows.select("id", "ord", F.lit(True).alias("kept"), F.col("id").alias("of"))
     return rows.join(done, "id", "left").select("id", "ord", F.coalesce("kept", F.lit(True)).alias("kept"), F.coalesce("of", "id").alias("of"))
 
-
-def page_keys(records: DataFrame, least: int = 80) -> DataFrame:
-    """(id, ord, key) of page records(page_id, url_key, title, description, text): the url, the text if longer than `least`, and title with description."""
-    c = F.col
-    text = F.when(F.length("text") > least, F.concat(F.lit("t"), F.sha2(F.col("text"), 256)))
-    name = F.when((F.coalesce("title", F.lit("")) != "") & (F.coalesce("description", F.lit("")) != ""), F.concat(F.lit("n"), F.sha2(F.concat_ws("\u001f", F.lower("title"), F.lower("description")), 256)))
-    url = F.concat(F.lit("u"), c("url_key"))
-    return records.select(c("page_id").alias("id"), c("page_id").alias("ord"), F.explode(F.array(url, text, name)).alias("key"))

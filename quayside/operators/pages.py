@@ -2,134 +2,113 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from ..functions.urls import crawl_trap, document_kind, link_priority, normalize_url, resolve, useful_lead
-
-# How much of a page is kept.
-TEXT_LIMIT, EXCERPT_LIMIT, LINK_LIMIT, HEADING_LIMIT = 60_000, 1200, 1000, 100
-SKIPPED = {"script", "style", "noscript", "template", "svg"}
-CHROME = {"nav", "header", "footer", "aside", "form"}
-BLOCKS = {"p", "div", "section", "article", "main", "li", "ul", "ol", "tr", "td", "th", "table", "h1", "h2", "h3", "h4", "h5", "h6", "br", "blockquote", "dd", "dt"}
-PHONE = re.compile(r"(?<!\d)(?:\+?1[-. ]?)?\(?([2-9]\d{2})\)?[-. ]?(\d{3})[-. ]?(\d{4})(?!\d)")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}")
-SCHEMA = "page_id long, url string, title string, description string, canonical string, headings array<string>, text string, excerpt string, links array<struct<url:string,text:string,navigation:boolean>>, phones array<string>, emails array<string>, truncated boolean"
-
-
-class Reader(HTMLParser):
-    """Collects what a page says outside scripts and, for its text, outside menus, headers and footers."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.title, self.description, self.canonical = [], "", ""
-        self.text, self.headings, self.links, self.tels = [], [], [], []
-        self.stack: list[str] = []
-        self.heading: list[str] | None = None
-        self.link: list | None = None
-
-    def inside(self, names: set[str]) -> bool:
-        return any(t in names for t in self.stack)
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        a = {k: v or "" for k, v in attrs}
-        if tag == "meta" and a.get("name", "").lower() == "description":
-            self.description = a.get("content", "")
-        elif tag == "link" and "canonical" in a.get("rel", "").lower():
-            self.canonical = a.get("href", "")
-        if tag in SKIPPED | CHROME | {"title"}:
-            self.stack.append(tag)
-        if tag in BLOCKS:
-            self.text.append("\n")
-        if re.fullmatch("h[1-6]", tag):
-            self.heading = []
-        if tag == "a" and a.get("href"):
-            if a["href"].lower().startswith("tel:"):
-                self.tels.append(a["href"][4:])
-            self.link = [a["href"], [], self.inside(CHROME)]
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in self.stack:
-            while self.stack.pop() != tag:
-                pass
-        if tag in BLOCKS:
-            self.text.append("\n")
-        if re.fullmatch("h[1-6]", tag) and self.heading is not None:
-            self.headings.append(squeeze("".join(self.heading)))
-            self.heading = None
-        if tag == "a" and self.link:
-            self.links.append((self.link[0], squeeze("".join(self.link[1])), self.link[2]))
-            self.link = None
-
-    def handle_data(self, data: str) -> None:
-        if self.inside(SKIPPED):
-            return
-        if "title" in self.stack:
-            self.title.append(data)
-            return
-        if self.link:
-            self.link[1].append(data)
-        if self.heading is not None:
-            self.heading.append(data)
-        if not self.inside(CHROME):
-            self.text.append(data)
-
-
-def squeeze(s: str) -> str:
-    return re.sub(r"[\s ]+", " ", s).strip()
-
-
-def read_page(url: str, html: str) -> dict:
-    r = Reader()
-    r.feed(html or "")
-    r.close()
-    lines = [x for x in (squeeze(part) for part in "".join(r.text).split("\n")) if x]
-    text = "\n".join(lines)
-    phones: list[str] = []
-    for found in [*r.tels, *(m.group(0) for m in PHONE.finditer(text))]:
-        digits = re.sub(r"\D", "", found)[-10:]
-        if len(digits) == 10 and not any(p.endswith(digits) for p in phones):
-            phones.append(digits)
-    emails = list(dict.fromkeys(m.lower() for m in EMAIL.findall(text)))
-    headings = [h for h in r.headings if h]
-    return {
-        "title": squeeze("".join(r.title)), "description": squeeze(r.description), "canonical": r.canonical or None, "headings": headings[:HEADING_LIMIT], "text": text[:TEXT_LIMIT], "excerpt": squeeze(text)[:EXCERPT_LIMIT],
-        "links": [{"url": u, "text": t, "navigation": n} for u, t, n in r.links[:LINK_LIMIT]], "phones": phones, "emails": emails, "truncated": len(text) > TEXT_LIMIT or len(r.links) > LINK_LIMIT or len(headings) > HEADING_LIMIT,
-    }
-
-
-def extract_pages(pages: DataFrame) -> DataFrame:
-    """A record for each of pages(page_id, url, html); null html gives an empty record. The limits on what is kept are part of the record: `truncated` says where one applied."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = [{"page_id": p, "url": u} | read_page(u, h) for p, u, h in zip(part["page_id"], part["url"], part["html"], strict=True)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-
-    return pages.select("page_id", "url", "html").mapInPandas(run, SCHEMA)
+from ..functions.urls import crawl_trap, document_kind, link_priority, normalize_url
+from .candidates import page_identity
+from .dedup import checkpointed
+from .page_reader import read_page
+
+#: Bytes of pages that a task reads at once.
+BATCH_BYTES = 4 << 20
+#: Least size of a text by which pages are told to be the same.
+SAME_TEXT = 80
+#: What a start page is worth in the order of fetching.
+SEED = 100_000
+LINK = "struct<url:string,text:string,navigation:boolean,context:string,related:boolean>"
+SCHEMA = (
+    f"page_id long, url string, title string, description string, canonical string, headings array<string>, text string, excerpt string, links array<{LINK}>, phones array<string>, emails array<string>, "
+    "content_hash string, text_size long, anchors int, truncated struct<text:boolean,excerpt:boolean,headings:boolean,links:boolean>"
+)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_BYTES at most, unless the session already asks for less."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).removesuffix("b")
+    if now.isdigit() and int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def extract_pages(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A record for each of pages(page_id, url, html), with the columns of `keep`; null html gives an empty record.
+
+    The text is that of the main region: main elements, else articles, else an element named as content, else the body,
+    without menus, headers and footers of the page, and sections that mostly link elsewhere. Links are full urls, each once,
+    those of the main region first: against the page's base if that is of its own origin; with the text around them, and
+    whether they stand in a menu or in a section that leads elsewhere. content_hash is of title and whole text; anchors counts
+    all links, repeated ones too.
+
+    What is kept is limited (60,000 characters of text, 1,000 links, 100 headings); `truncated` says where.
+    """
+    small_batches(pages.sparkSession)
+    schema = to_arrow_schema(StructType.fromDDL(SCHEMA))
+    read = schema.names[2:]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [read_page(u, h) for u, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[c] for r in rows], schema.field(c).type) for c in read), *batch.columns[3:]], [*schema.names, *keep])
+
+    rows = pages.select(F.col("page_id").cast("long"), "url", "html", *keep)
+    return rows.mapInArrow(run, StructType([*StructType.fromDDL(SCHEMA).fields, *rows.schema.fields[3:]]))
+
+
+def page_keys(records: DataFrame) -> DataFrame:
+    """(id, ord, key) of page records(page_id, url, title, description, excerpt, content_hash, text_size): what two pages that are the same one have in common. The final url, title and text if there is enough of it, name with description."""
+    text = F.when(F.col("text_size") > SAME_TEXT, F.concat(F.lit("t"), "content_hash"))
+    name = F.concat(F.lit("n"), F.sha2(page_identity(F.col("title"), F.col("description"), F.col("excerpt")), 256))
+    url = F.concat(F.lit("u"), normalize_url(F.col("url")))
+    keys = F.array_compact(F.array(url, text, name))
+    return records.select(F.col("page_id").alias("id"), F.col("page_id").alias("ord"), F.explode_outer(keys).alias("key"))
 
 
 def page_links(records: DataFrame) -> DataFrame:
-    """(page_id, url, text, navigation, kind): links of each page in normal form, resolved against the page."""
-    link = records.select("page_id", F.col("url").alias("base"), F.posexplode("links").alias("pos", "l")).select("page_id", "pos", "base", "l.*")
-    out = link.withColumn("url", normalize_url(resolve(F.col("base"), F.col("url")))).filter("url is not null")
-    return out.withColumn("kind", document_kind(F.col("url"))).drop("base")
+    """(page_id, pos, url, text, navigation, context, related, kind): links of each page in normal form."""
+    link = records.select("page_id", F.posexplode("links").alias("pos", "l")).select("page_id", "pos", "l.*")
+    out = link.withColumn("url", normalize_url(F.col("url"))).filter("url is not null")
+    return out.withColumn("kind", document_kind(F.col("url")))
 
 
-def fetch_list(links: DataFrame, per_source: int, total: int) -> DataFrame:
-    """(source, url, score, rank): pages that are no traps and no links for sharing, those of menus with a lower score, the best score of each url, the best `per_source` of each source, the best `total` in all. Both limits are the budget of a fetching round."""
+def frontier(links: DataFrame, seeds: DataFrame, sources: DataFrame, depth: int) -> DataFrame:
+    """(source, url, depth, score) of what links(found_from, url, text, navigation, source, ...) lead to from seeds(url, source): pages, no traps or assets, not farther than `depth` steps, with the best score of each url.
+
+    A page's depth is the length of the shortest way from a seed, found level by level; each level is written down and
+    joined with the links once, and only urls not met before go on. The score is the priority of the source in
+    sources(source, priority), how much the link promises, and less for depth; seeds go first. Links without a source lead
+    nowhere. Seeds are known by their normal form, so are pages.
+    """
     c = F.col
-    score = link_priority(c("url"), c("text"), c("navigation")) * 3
-    good = links.filter((c("kind") == "page") & ~crawl_trap(c("url")) & useful_lead(c("url"), F.lit(False)))
-    best = good.groupBy("source", "url").agg(F.max(score).alias("score"))
+    page = lambda u: (document_kind(u) == "page") & ~crawl_trap(u)
+    edges = checkpointed(links.withColumns({"url": normalize_url(c("url")), "from": normalize_url(c("found_from"))}).filter(c("url").isNotNull() & c("source").isNotNull() & page(c("url"))).select("from", "url", "text", "navigation", "source"))
+    start = checkpointed(seeds.withColumn("url", normalize_url(c("url"))).filter("url is not null").groupBy("url").agg(F.min("source").alias("source")))
+    level = start.select("url", F.lit(0).alias("depth"))
+    known, step = level, 0
+    ways = edges.select(c("from").alias("_from"), c("url").alias("_to")).distinct()
+    while step < depth - 1 and level.limit(1).count():
+        step += 1
+        level = checkpointed(level.join(ways, c("url") == c("_from")).select(c("_to").alias("url")).distinct().join(known, "url", "left_anti").withColumn("depth", F.lit(step)))
+        known = known.unionByName(level)
+    known = checkpointed(known)
+    near = known.withColumnRenamed("url", "from")
+    found = edges.join(near, "from").select("url", "source", (c("depth") + 1).alias("depth"), link_priority(c("url"), c("text"), c("navigation")).alias("promise"), F.lit(0).alias("seed"))
+    first = start.select("url", "source", F.lit(0).alias("depth"), link_priority(c("url"), F.lit(""), F.lit(False)).alias("promise"), F.lit(SEED).alias("seed"))
+    score = c("seed") + F.coalesce("priority", F.lit(0)) + 3 * c("promise") - 4 * c("depth")
+    all_ = first.unionByName(found).join(F.broadcast(sources.select("source", "priority")), "source", "left").withColumn("score", score)
+    return all_.groupBy("url").agg(F.min_by(F.struct("source", "depth", "score"), F.struct(-c("score"), c("depth"), c("source"))).alias("b")).select("b.source", "url", "b.depth", "b.score")
+
+
+def fetch_list(found: DataFrame, per_source: int, total: int) -> DataFrame:
+    """found(source, url, score, ...) with rank: the best `per_source` of each source, the best `total` in all. Both limits are the budget of a fetching round."""
     order = Window.partitionBy("source").orderBy(F.desc("score"), "url")
-    return best.withColumn("rank", F.row_number().over(order)).filter(c("rank") <= per_source).orderBy(F.desc("score"), "source", "url").limit(total)
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_source).orderBy(F.desc("score"), "source", "url").limit(total)
 
 
 def refresh(stored: DataFrame, log: DataFrame) -> DataFrame:

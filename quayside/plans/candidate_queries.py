@@ -23,7 +23,7 @@ FROM supplier
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.sql(_PAGES.replace("FROM supplier", "FROM {supplier}"), supplier=table(spark, sf_dir, "supplier"))
     c, none = F.col, F.lit(None).cast("string")
-    link = lambda url, text, nav: F.struct(F.concat(F.lit(url), (c("ord") % 4).cast("string")).alias("url"), F.lit(text).alias("text"), F.lit(nav).alias("navigation"))
+    link = lambda url, text, nav, related=False: F.struct(F.concat(F.lit(url), (c("ord") % 4).cast("string")).alias("url"), F.lit(text).alias("text"), F.lit(nav).alias("navigation"), F.lit("near").alias("context"), F.lit(related).alias("related"))
     links = F.array(link("https://m/", "Apply for food", True), link("https://c/", "Contact us", False), link("https://f/", "Food: apply", False))
     return p.withColumns({
         "canonical": none, "headings": F.array(F.lit("Menu"), F.lit("Hours")), "description": none, "excerpt": c("long"), "text": F.concat_ws(" ", "long", "more"), "links": F.when(c("ord") % 3 == 0, F.slice(links, 1, 2)).otherwise(links),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 from ..operators import pages as P
 from ..operators import promote as R
-from ..operators.dedup import first_seen, page_keys
+from ..operators.dedup import first_seen
 from ..sources.derived import CATALOGUE_SQL, catalogue, table
 
 
@@ -90,24 +90,43 @@ def snapshot_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = P.extract_pages(table(spark, sf_dir, "pages"))
-    return r.select("page_id", "title", F.element_at("headings", 1).alias("heading"), F.size("links").alias("n_links"))
+    return r.select("page_id", "title", F.element_at("headings", 1).alias("heading"), F.col("anchors").alias("n_links"))
+
+
+#: A page's own html, with telephone numbers in several forms and addresses at the end of its article.
+_CONTACTS = """
+SELECT page_id, url, replace(html, '</article>', concat('<p>Call (408) 555-', lpad(CAST(page_id % 10000 AS VARCHAR(9)), 4, '0'), CASE WHEN page_id % 3 = 0 THEN ' or 1-650-555-0199 ext. 7' ELSE '' END, ', <a href="tel:',
+  CASE WHEN page_id % 2 = 0 THEN '+1408555' ELSE '+1209555' END, lpad(CAST(page_id % 10000 AS VARCHAR(9)), 4, '0'), '">phone</a>, <a href="mailto:a', CAST(page_id AS VARCHAR(20)), '@b.org?subject=x">mail</a>, c', CAST(page_id AS VARCHAR(20)), '@d.example.org.</p></article>')) AS html FROM pages
+"""
 
 
 def page_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = P.extract_pages(table(spark, sf_dir, "pages"))
+    r = P.extract_pages(spark.sql(_CONTACTS.replace("FROM pages", "FROM {pages}"), pages=table(spark, sf_dir, "pages")))
     return r.select("page_id", F.array_join("phones", ",").alias("phones"), F.array_join("emails", ",").alias("emails"), F.length("text").alias("n_text"))
 
 
+#: A page for each customer; an order links its customer's page to another one, the text by its priority.
+_GRAPH = """
+SELECT concat('https://s', CAST(o_custkey % 5 AS VARCHAR(9)), '.example.org/p/', CAST(o_custkey AS VARCHAR(20))) AS found_from, CAST(o_custkey AS BIGINT) AS a, CAST((o_orderkey * 7 + o_custkey) % 1500 + 1 AS BIGINT) AS b,
+  concat('https://s', CAST(((o_orderkey * 7 + o_custkey) % 1500 + 1) % 5 AS VARCHAR(9)), '.example.org/p/', CAST((o_orderkey * 7 + o_custkey) % 1500 + 1 AS VARCHAR(20))) AS url,
+  CASE o_orderkey % 4 WHEN 0 THEN 'Apply for housing' WHEN 1 THEN 'News' WHEN 2 THEN 'Programs' ELSE 'More' END AS text, o_orderkey % 9 = 0 AS navigation
+FROM orders
+"""
+
+
 def link_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages")
-    links = P.page_links(P.extract_pages(p))
-    return P.fetch_list(links.withColumn("source", U.host(F.col("url"))), per_source=50, total=10_000)
+    """The pages of a round of fetching, from start pages on: every 100th customer's page is one."""
+    links = spark.sql(_GRAPH.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
+    site = F.regexp_extract("url", "^https://(s[0-9]+)[.]", 1)
+    seeds = links.filter("a % 100 = 1").select(F.col("found_from").alias("url")).distinct().withColumn("source", site)
+    sources = spark.createDataFrame([(f"s{k}", 10 * k) for k in range(5)], "source string, priority int")
+    found = P.frontier(links.withColumn("source", site), seeds, sources, depth=4)
+    return P.fetch_list(found, per_source=50, total=10_000).select("source", "url", "depth", "score", "rank")
 
 
 def page_dupes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages in the order of their ids; a page goes if its url, text, or title with description was kept before."""
-    p = table(spark, sf_dir, "pages")
-    keys = page_keys(P.extract_pages(p).withColumn("url_key", U.url_key(U.normalize_url(F.col("url")))))
+    """Pages in the order of their ids; a page goes if its url, title with text, or name with description was kept before."""
+    keys = P.page_keys(P.extract_pages(table(spark, sf_dir, "pages")))
     return first_seen(keys).select(F.col("id").alias("page_id"), "kept", "of")
 
 
@@ -141,6 +160,20 @@ WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^([A-Za-z]+)://', 1))
 n AS (
   SELECT *, array_to_string(list_sort(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[^=]+|fbclid|gclid|msclkid|mc_cid|mc_eid)(=|$)'))), '&') AS kept FROM p)"""
 
+_SQUEEZE = "trim(regexp_replace({}, '[[:space:]]+', ' ', 'g'))"
+
+
+def decoded(text: str) -> str:
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        text = f"replace({text}, '{entity}', '{char}')"
+    return text
+
+
+#: DuckDB: what the article of a given page says: ends of blocks are blanks, other tags nothing.
+SAID = _SQUEEZE.format(decoded(r"regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '</?(?:p|h1|br|li|ul|div)>', ' ', 'g'), '<[^<>]*>', '', 'g')"))
+TITLE = _SQUEEZE.format(decoded("regexp_extract(html, '<title>([^<]*)</title>', 1)"))
+
+
 def _plain(tag: str) -> str:
     """The text of the first such element, its entities read and its white space squeezed."""
     text = f"regexp_extract(html, '<{tag}>([^<]*)</{tag}>', 1)"
@@ -168,6 +201,31 @@ ORACLES = {
       CASE WHEN regexp_matches(lower(t), '\.(pdf|docx?|xlsx?|csv|rtf|odt)$') THEN 'document' ELSE 'page' END AS kind, regexp_matches(lower(t), '/(search|calendar|user|login|logout|cart)(/|$)') AS trap FROM n JOIN k USING (h)""",
     "snapshot_refresh": """WITH st AS (SELECT url, min(page_id) AS k FROM pages WHERE page_id % 2 = 0 GROUP BY 1)
       SELECT page_id, page_id % 4 = 0 AS reused, CASE WHEN page_id % 4 = 0 THEN 'stored' || k ELSE 'new' || page_id END AS html FROM pages LEFT JOIN st USING (url) WHERE (page_id % 4 = 0 AND k % 16 <> 0) OR (page_id % 4 <> 0 AND page_id % 7 <> 0)""",
+    "page_contacts": rf"""WITH f AS ({_CONTACTS}), t AS (
+        SELECT page_id, said, list_prepend(regexp_extract(html, 'href="tel:([^"]*)"', 1), regexp_extract_all(said, '(?i)(?:^|[^0-9])((?:\+?1[ .-]?)?\(?[2-9][0-9]{{2}}\)?[ .-]?[0-9]{{3}}[ .-][0-9]{{4}}(?:[[:space:]]*(?:ext\.?|x)[[:space:]]*[0-9]{{1,6}})?)(?:$|[^0-9])', 1)) AS ph,
+          list_prepend('a' || page_id || '@b.org', regexp_extract_all(said, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}\b')) AS em
+        FROM (SELECT page_id, html, {SAID} AS said FROM f)),
+      d AS (SELECT *, list_transform(ph, lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS dg FROM t)
+      SELECT page_id, array_to_string(list_filter(ph, lambda x, i: len(list_filter(dg[1 : i - 1], lambda y: ends_with(y, dg[i]))) = 0), ',') AS phones, array_to_string(list_filter(em, lambda x, i: list_position(em, x) = i), ',') AS emails, length(said) AS n_text FROM d""",
+    "page_dupes": rf"""{_NORMAL.replace("WITH p", "WITH RECURSIVE p")},
+      every AS (
+        SELECT page_id, list_filter([CASE WHEN s <> '' THEN 'u' || s || '://' || h || CASE WHEN t = '' THEN '/' ELSE t END || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END END, CASE WHEN length(said) > 80 THEN 't' || title || chr(10) || said END,
+          CASE WHEN length(name) >= 8 AND length(about) >= 70 THEN 'n' || name || chr(10) || about END], lambda x: x IS NOT NULL) AS keys
+        FROM (SELECT *, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS name, trim(regexp_replace(lower(said[:900]), '[^a-z0-9]+', ' ', 'g')) AS about FROM (SELECT n.*, {TITLE} AS title, {SAID} AS said FROM n JOIN (SELECT page_id, html FROM pages) USING (page_id)))),
+      -- a key that one page has decides nothing
+      many AS (SELECT x FROM (SELECT unnest(keys) AS x FROM every) GROUP BY 1 HAVING count(*) > 1),
+      k AS (SELECT row_number() OVER (ORDER BY page_id) AS i, page_id, coalesce(own, []) AS keys FROM every LEFT JOIN (SELECT page_id, list(x) AS own FROM (SELECT page_id, unnest(keys) AS x FROM every) JOIN many USING (x) GROUP BY 1) USING (page_id)),
+      w AS (
+        SELECT 0::BIGINT AS i, NULL::BIGINT AS page_id, NULL::BIGINT AS "of", MAP {{}}::MAP(VARCHAR, BIGINT) AS seen
+        UNION ALL SELECT i, page_id, "of", CASE WHEN "of" = page_id THEN map_concat(seen, map_from_entries(list_transform(keys, lambda x: {{'k': x, 'v': page_id}}))) ELSE seen END
+        FROM (SELECT k.i, k.page_id, keys, seen, coalesce(list_min(list_filter(list_transform(keys, lambda x: seen[x]), lambda x: x IS NOT NULL)), k.page_id) AS "of" FROM w JOIN k ON k.i = w.i + 1))
+      SELECT page_id, "of" = page_id AS kept, "of" FROM w WHERE i > 0""",
+    "link_frontier": f"""WITH RECURSIVE l AS ({_GRAPH}), d AS (SELECT DISTINCT a, 0 AS depth FROM l WHERE a % 100 = 1 UNION SELECT l.b, d.depth + 1 FROM d JOIN l ON l.a = d.a WHERE d.depth < 4),
+      near AS (SELECT a, min(depth) AS depth FROM d GROUP BY 1),
+      pri AS (SELECT b, url, depth + 1 AS depth, 10 * (b % 5) + 3 * (CASE WHEN navigation THEN -6 ELSE 2 END + CASE text WHEN 'Apply for housing' THEN 18 WHEN 'News' THEN -12 WHEN 'Programs' THEN 10 ELSE 0 END) - 4 * (depth + 1) AS score FROM l JOIN near USING (a) WHERE depth < 4
+        UNION ALL SELECT DISTINCT a, found_from, 0, 100000 + 10 * (a % 5) + 3 * 2 FROM l WHERE a % 100 = 1),
+      best AS (SELECT b, url, min_by(depth, (-score, depth)) AS depth, max(score) AS score FROM pri GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY b % 5 ORDER BY score DESC, url) AS rank FROM best)
+      SELECT 's' || (b % 5) AS source, url, depth, score, rank FROM r WHERE rank <= 50""",
     "page_extract": f"SELECT page_id, {_plain('title')} AS title, {_plain('h1')} AS heading, len(regexp_extract_all(html, '<a href=')) AS n_links FROM pages",
 }
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import benefit_queries, candidate_queries, catalogue_queries, curate_queries, match_queries, message_queries, packet_queries, text_queries
+from . import benefit_queries, candidate_queries, catalogue_queries, curate_queries, curation_job_queries, match_queries, message_queries, packet_queries, text_queries
 
-_MODULES = (match_queries, benefit_queries, curate_queries, candidate_queries, catalogue_queries, packet_queries, text_queries, message_queries)
+_MODULES = (match_queries, benefit_queries, curate_queries, curation_job_queries, candidate_queries, catalogue_queries, packet_queries, text_queries, message_queries)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}

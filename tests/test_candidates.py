@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quayside.operators import candidates as C
 
-PAGE = "ord long, source_id string, url string, canonical string, title string, headings array<string>, description string, text string, excerpt string, links array<struct<url:string,text:string,navigation:boolean>>, phones array<string>, emails array<string>"
+PAGE = "ord long, source_id string, url string, canonical string, title string, headings array<string>, description string, text string, excerpt string, links array<struct<url:string,text:string,navigation:boolean,context:string,related:boolean>>, phones array<string>, emails array<string>"
 SOURCE = "source_id string, name string, service_area string, organization_from_title boolean, skip_eligibility boolean, category_by_path map<string,string>"
 
 
@@ -44,6 +44,7 @@ def test_outcome(spark, html, text, relevant, want):
 def test_candidates(spark):
     long = "Groceries every week for families who need them, handed out at the hall near the station, with no questions asked at all."
     links = [("https://a.org/m", "Apply for food", True), ("https://a.org/c", "Contact us", False), ("https://a.org/z", "Apply for loans", False), ("https://a.org/f", "Food boxes: apply", False), ("https://a.org/n", "News", False)]
+    links = [(*x, "around it", False) for x in links] + [("https://a.org/r", "Elsewhere", False, "", True), ("https://a.org/s", "Elsewhere", True, "", True)]
     pages = [
         (1, "s", "https://a.org/food/", None, "Food boxes | Hall", ["Menu", "Food boxes"], "Short", f"Food boxes Home {long} Food boxes {long}", "", links, ["4085550100"], []),
         (2, "s", "https://a.org/x", "https://a.org/y", "Contact us", [], None, None, None, [], [], []), (3, None, "https://b.org/p", None, None, None, None, None, None, None, None, None),
@@ -54,7 +55,7 @@ def test_candidates(spark):
     assert set(got) == {1, 3, 4}
     r = got[1]
     assert (r.name, r.organization, r.category, r.application_url, r.phone) == ("Food boxes", "Food boxes", "shelter", "https://a.org/f", "4085550100")
-    assert r.description == f"Food boxes {long}" and [x.url for x in r.linked] == ["https://a.org/z", "https://a.org/f"] and r.id.startswith("food-boxes-")
+    assert r.description == f"Food boxes {long}" and [(x.url[-1], x.context, x.related) for x in r.linked] == [("z", "around it", False), ("f", "around it", False), ("r", "", True)] and r.id.startswith("food-boxes-")
     assert (got[3].name, got[3].organization, got[3].application_url) == ("/p", None, "https://b.org/p")
     assert (got[4].name, got[4].organization, got[4].eligibility) == (C.TAX_CREDIT_NAME, C.TAX_CREDIT_OFFICE, None)
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quayside.functions.relevance import category, relevance
 
-SCHEMA = "url string, title string, description string, headings array<string>, text string, links array<struct<url:string,text:string,navigation:boolean>>"
+SCHEMA = "url string, title string, description string, headings array<string>, text string, links array<struct<url:string,text:string,navigation:boolean,context:string,related:boolean>>"
 
 
 def judged(spark, **page):
@@ -18,7 +18,7 @@ def judged(spark, **page):
     ({"title": "CalFresh food help", "text": "Apply today."}, True, ["food"]), ({"title": "Our history", "text": "Founded in 1950."}, False, []), ({"title": "Food prices rose"}, False, ["food"]),
     ({"title": "Rent relief", "description": "Get help", "text": "Rental assistance."}, True, ["rental_assistance"]), ({"title": "Request for proposals: food services"}, False, ["food"]),
     ({"title": "Job openings at the county", "text": "Apply for jobs."}, False, ["employment"]), ({"title": "Current vacancies for job seekers", "text": "Job training, apply."}, True, ["employment"]),
-    ({"url": "https://a.org/news/1", "title": "Food bank", "text": "Apply."}, False, ["food"]), ({"url": "https://a.org/news/1", "title": "Food bank", "text": "Apply.", "links": [("u", "Apply here", False)]}, True, ["food"]),
+    ({"url": "https://a.org/news/1", "title": "Food bank", "text": "Apply."}, False, ["food"]), ({"url": "https://a.org/news/1", "title": "Food bank", "text": "Apply.", "links": [("u", "Apply here", False, "", False)]}, True, ["food"]),
     ({"title": "Hearing aids services"}, False, []), ({"description": "food help everywhere", "title": "Home"}, False, ["food"]), ({"title": None, "text": None}, False, []),
 ])
 def test_relevance(spark, page, relevant, topics):
