@@ -15,15 +15,17 @@ from ..sources.dimensions import CATEGORIES, PLACES
 PAGE_VERSION, PAGE_BYTES = 1, 2 * 1024 * 1024
 
 
-def read_existing(spark: SparkSession, paths: list[str], schema: StructType | str) -> DataFrame:
-    """The JSON records of those paths that exist, with `file_ord`, their path's place in the list; ValueError if none exists."""
+def existing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of the paths that exist, in any file system that Spark reads."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    there = lambda p: p.getFileSystem(conf).exists(p)
+    return [p for p in paths if there(jvm.org.apache.hadoop.fs.Path(p))]
 
-    def there(path: str) -> bool:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(conf).exists(p)
 
-    found = [(k, p) for k, p in enumerate(paths) if there(p)]
+def read_existing(spark: SparkSession, paths: list[str], schema: StructType | str) -> DataFrame:
+    """The JSON records of those paths that exist, with `file_ord`, their path's place in the list; ValueError if none exists."""
+    some = set(existing(spark, paths))
+    found = [(k, p) for k, p in enumerate(paths) if p in some]
     if not found:
         raise ValueError(f"none of these exists: {', '.join(paths)}")
     out = None

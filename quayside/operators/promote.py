@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.urls import url_key
 from ..sources.dimensions import CATEGORIES, HOUSING_STATUSES
+from .catalogue import existing
 
 #: Forms of a service area: the country, the state, counties or a city with the state.
 SERVICE_AREA = r"^(?:US|California|[A-Z][\w .'-]+(?: and [A-Z][\w .'-]+)*(?: count(?:y|ies))?, CA)$"
@@ -19,6 +22,22 @@ RULES = [*LIMITS, "requires_eviction_notice", "requires_children", "requires_vet
 FIELDS = ["active", "phone", "address", "response_time_days", "required_documents", "description", "application_url", "source_url"]
 
 
+def read_candidate_sets(spark: SparkSession, paths: list[str], fields: str) -> list[DataFrame]:
+    """A table for each of the candidate files that exist: JSON objects {generatedAt, candidates}, each candidate with `ord`, its place, and with `generated_at` and `file_path`, where it comes from."""
+    out = []
+    schema = f"generatedAt string, candidates array<struct<{fields}>>"
+    for path in existing(spark, paths):
+        whole = spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", True).json(path).select("generatedAt", "candidates", F.col("_metadata.file_path").alias("file_path"))
+        out.append(whole.select(F.col("generatedAt").alias("generated_at"), "file_path", F.posexplode("candidates").alias("ord", "c")).select("ord", "generated_at", "file_path", "c.*"))
+    return out
+
+
+def latest_date(sets: list[DataFrame]) -> DataFrame:
+    """One row: the latest `generated_at` of all the sets' rows, also of those that merging drops; null without any."""
+    dates = [s.select(F.max("generated_at").alias("generated_at")) for s in sets]
+    return reduce(DataFrame.unionByName, dates).agg(F.max("generated_at").alias("generated_at"))
+
+
 def merge_candidate_sets(sets: list[DataFrame]) -> DataFrame:
     """The rows of several candidate tables in order; the first row of an id wins. Columns that a table lacks are null."""
     all_ = None
@@ -78,12 +97,13 @@ class Promotion:
     stats: DataFrame
 
 
-def promote(candidates: DataFrame, overrides: DataFrame, previous: DataFrame) -> Promotion:
+def promote(candidates: DataFrame, overrides: DataFrame, previous: DataFrame, more_errors: DataFrame | None = None) -> Promotion:
     """Applies overrides(id, ord, reviewed_at, reviewed_by, exclude, exclude_reason, eligibility_verified, rules, FIELDS...) to candidates in order.
 
     Overrides with an id that is gone follow their page to its new id, or keep the previous record, flagged, if the page is
     gone too. A candidate without a category is skipped; one whose id came before is an error; an excluded one is dropped;
     the others take the reviewed fields, and reviewed rules as a whole. Null in an override means "not reviewed".
+    more_errors(id, error), such as those of reviews as they were written, count as errors of the promotion.
     """
     c = F.col
     keys = rekey(overrides, candidates, previous)
@@ -109,6 +129,7 @@ def promote(candidates: DataFrame, overrides: DataFrame, previous: DataFrame) ->
 
     bad = resources.select("id", F.explode(resource_errors()).alias("error"))
     errors = bad.unionByName(judged.filter("outcome = 'duplicate'").select("id", F.lit("duplicate id").alias("error"))).unionByName(override_errors(overrides))
+    errors = errors if more_errors is None else errors.unionByName(more_errors.select("id", "error")).distinct()
     link = Window.partitionBy(F.lower("application_url")).orderBy("ord", "id")
     shared = new.filter("application_url is not null").withColumn("other", F.first("id").over(link)).filter("id <> other").select("id", F.lit("shares application_url").alias("kind"), "other")
     renamed = keys.filter("new_id is not null").select("id", F.lit("re-keyed").alias("kind"), c("new_id").alias("other"))
@@ -126,10 +147,43 @@ def promote(candidates: DataFrame, overrides: DataFrame, previous: DataFrame) ->
     return Promotion(resources, errors, warnings, judged.select("id", "ord", "outcome"), stats)
 
 
-def write_catalogue(p: Promotion, path: str) -> int:
-    """Writes resources only if there is no error; returns the number of errors, which are written beside it."""
-    p.errors.write.mode("overwrite").parquet(f"{path}_errors")
-    n = p.errors.sparkSession.read.parquet(f"{path}_errors").count()
+def switch(spark: SparkSession, folder: str, version: str) -> None:
+    """Makes a version the current one: its name is written beside the pointer file, which it then replaces in one step. (In a store without atomic renaming, that step is as atomic as the store makes it.)"""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs, path = jvm.org.apache.hadoop.fs, jvm.org.apache.hadoop.fs.Path
+    new, now = path(f"{folder}/pointer-{version}"), path(f"{folder}/current")
+    out = now.getFileSystem(conf).create(new, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    rename = getattr(fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    fs.FileContext.getFileContext(now.toUri(), conf).rename(new, now, how)
+
+
+def current_version(spark: SparkSession, folder: str) -> str | None:
+    found = existing(spark, [f"{folder}/current"])
+    return spark.read.text(found[0]).first()[0] if found else None
+
+
+def current(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The catalogue that was published last in a folder, None if none was."""
+    version = current_version(spark, folder)
+    return None if version is None else spark.read.parquet(f"{folder}/{version}/resources")
+
+
+def publish(p: Promotion, folder: str) -> int:
+    """Publishes a promotion in a folder, all or nothing; returns the number of its errors.
+
+    Everything is written to a new version's own folder first: errors, warnings, then, only if there is no error, the
+    resources. Only when these are complete the pointer moves to them. A job that ends before that, or has errors, leaves
+    the catalogue of before in place; readers see one version or the other.
+    """
+    spark, version = p.errors.sparkSession, uuid.uuid4().hex
+    p.errors.write.parquet(f"{folder}/{version}/errors")
+    p.warnings.write.parquet(f"{folder}/{version}/warnings")
+    n = spark.read.schema(p.errors.schema).parquet(f"{folder}/{version}/errors").count()
     if not n:
-        p.resources.write.mode("overwrite").parquet(path)
+        p.resources.write.parquet(f"{folder}/{version}/resources")
+        switch(spark, folder, version)
     return n
