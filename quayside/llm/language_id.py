@@ -152,7 +152,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     best, score = np.where(letter, p.argmax(axis=1), len(m.languages)), np.where(letter, p.max(axis=1), 0.0)
                 else:
                     best, score = np.zeros(j - i, np.int64), np.zeros(j - i)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), names.take(pa.array(best)), pa.array(score), pa.array((score >= m.least) & letter)], ["doc_id", "lang_pred", "score", "accepted"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), names.take(pa.array(best)), pa.array(score), pa.array((score >= m.least) & letter & bool(m.languages))], ["doc_id", "lang_pred", "score", "accepted"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, accepted boolean")
 

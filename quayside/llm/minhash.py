@@ -216,8 +216,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     Null, empty and blank texts have an empty set and stay alone. A text of fewer words is one shingle. Equal sets are
     folded before anything is paired, so that copies cost nothing. A repeated row gets the same result again; a doc_id with
-    several texts gets a row for each, linked by that text alone. Rows without doc_id have a component without one. Other
-    columns are ignored. An empty table gives an empty table.
+    several texts gets a row for each, linked by that text alone. A row without doc_id belongs to the component of
+    its text, which is null, and the row kept, only if nothing that it is linked with has an id. Other columns are ignored. An empty table gives an empty table.
 
     Candidates: within each band's bucket, every member is paired with the smallest one, its hub; pairs that the registers
     leave plausible are verified on the full sets and contracted to components. Then the members of all buckets of one hub
@@ -228,7 +228,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     threshold = percent / 100
     sk = cut(sketches(docs, shingle, threshold))
     # a set is known by a number of its own, as one doc_id may come with several texts
-    first = F.min(F.struct("doc_id", "text_hash")).alias("first")
+    first = F.min_by(F.struct("doc_id", "text_hash"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")
     reps = sk.filter("n_shingles > 0").groupBy("h1", "h2").agg(first, F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
     reps = cut(reps.select(F.monotonically_increasing_id().alias("rep"), "h1", "h2", "first.*", "n_shingles", "registers"))
     width = 2 * ROWS

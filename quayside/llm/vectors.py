@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix
+from .common import cut, measured, mix
 from .components import components
 
 #: Half width of a window, in standard deviations of the difference of a pair at the threshold.
@@ -112,20 +112,25 @@ def near_duplicates(table: DataFrame, least: float = 0.95) -> DataFrame:
     the other vectors linked directly; component_id is the smallest vec_id reachable.
 
     Null, zero and empty vectors, and those with a null or non-finite component, link with nothing; so do vectors of
-    different length. Equal vectors are folded before anything is paired, and still count as links of each other.
+    different length. Equal vectors are folded before anything is paired, and still count as links of each other. A vec_id
+    with several vectors gets a row for each, with that vector's links and component; rows without vec_id are never kept.
     Repeated rows count once. Other columns are ignored. An empty table gives an empty table.
     """
     v = cut(read_vectors(table))
     own = v.filter("vector is not null").select("vec_id", "h1", "h2").distinct()
-    reps = own.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    vectors = cut(reps.join(v.dropDuplicates(["h1", "h2"]).select("h1", "h2", "vector"), ["h1", "h2"]))
+    folded = own.groupBy("h1", "h2").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    # a vector is known by a number of its own, as one vec_id may come with several
+    vectors = cut(folded.join(v.dropDuplicates(["h1", "h2"]).select("h1", "h2", "vector"), ["h1", "h2"]).select(F.monotonically_increasing_id().alias("rep"), "h1", "h2", "least", "copies", "vector"))
     signs, groups, need, half = plan(vectors.count(), least)
     links = cut(verify(collisions(projections(vectors, signs, groups), half, need), vectors, least))
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     copies = vectors.select(F.col("rep").alias("b"), "copies")
     n = both.join(copies, "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("n"))
     found = components(links).withColumnRenamed("node", "rep")
-    of = vectors.select("h1", "h2", "rep", "copies").join(n, "rep", "left").join(found, "rep", "left")
-    of = of.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    named = vectors.select("rep", "least").join(found, "rep")
+    ids = measured(cut(named.groupBy("component").agg(F.min("least").alias("component_id"))))
+    of = vectors.select("h1", "h2", "rep", "least", "copies").join(n, "rep", "left").join(found.join(ids, "component").select("rep", "component_id"), "rep", "left")
+    of = of.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
     out = v.select("vec_id", "h1", "h2").distinct().join(of, ["h1", "h2"], "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -161,3 +161,9 @@ def test_quality_of_held_out_texts(spark):
     empty = quality.train(df, lab.limit(0), F.lit(True))
     assert {r.score for r in quality.rank(df, empty).collect()} == {0.5}
     assert quality.rank(df.limit(0), model).collect() == []
+
+
+def test_nothing_learnt_is_nothing_accepted(spark):
+    docs = spark.createDataFrame([(1, "some letters", None), (2, None, "en"), (3, "...", "en")], "doc_id long, text string, lang string")
+    got = language_id.identify(docs, F.lit(False)).collect()
+    assert sorted((r.doc_id, r.lang_pred, r.score, r.accepted) for r in got) == [(1, "und", 0.0, False), (2, "und", 0.0, False), (3, "und", 0.0, False)]
