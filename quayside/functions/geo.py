@@ -56,26 +56,22 @@ def prepare_catalogue(cat: DataFrame) -> DataFrame:
 
 
 def location_columns(sit: DataFrame) -> DataFrame:
-    """Adds has_location, normalised county and city, and place_key, which is equal for situations at the same place. A location without any field still is one."""
+    """Adds has_location, normalised county and city, coordinates, and place_key, which is equal for situations of the same county and city. A location without any field still is one."""
     loc = F.col("location")
     out = sit.withColumn("has_location", loc.isNotNull()).withColumn("u_county", norm_county(loc["county"])).withColumn("u_city", norm(loc["city"])).withColumn("u_lat", loc["lat"]).withColumn("u_lng", loc["lng"])
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("has_location", "u_county", "u_city", "u_lat", "u_lng")]
-    return out.withColumn("place_key", F.concat_ws("|", *parts))
+    return out.withColumn("place_key", F.concat_ws("|", *(F.col(c).cast("string") for c in ("has_location", "u_county", "u_city"))))
 
 
 def area_table(sit: DataFrame, cat: DataFrame) -> DataFrame:
-    """A row for each distinct place and programme: all programme columns, area verdict, first matched entry, miles.
+    """A row for each distinct county and city, and programme: all programme columns, area verdict, first matched entry.
 
-    Places are few beside situations; what depends on a place and a programme is computed here once, and situations are
-    then joined on place_key.
+    Verdicts depend on names alone, and there are few of these however many people there are; each has coordinates of its
+    own, and miles are worked out for a pair.
     """
-    at = sit.select("place_key", "has_location", "u_county", "u_city", "u_lat", "u_lng").dropDuplicates(["place_key"])
+    at = sit.select("place_key", "has_location", "u_county", "u_city").dropDuplicates(["place_key"])
     both = at.crossJoin(cat)
     verdicts = F.transform("areas", lambda a: match_area(a, F.col("has_location"), F.col("u_county"), F.col("u_city")))
     v = both.withColumn("_v", verdicts)
     first = F.element_at(F.col("service_area"), F.array_position("_v", F.lit("match")).cast("int"))
     verdict = F.when(F.array_contains("_v", "match"), "match").when((F.size("_v") == 0) | F.array_contains("_v", "unknown"), "unknown").otherwise("mismatch")
-    return (
-        v.withColumn("area_verdict", verdict).withColumn("area_matched", F.when(F.array_contains("_v", "match"), first))
-        .withColumn("miles", distance_miles(F.col("u_lat"), F.col("u_lng"), F.col("lat"), F.col("lng"))).drop("_v", "has_location", "u_county", "u_city", "u_lat", "u_lng", "areas")
-    )
+    return v.withColumn("area_verdict", verdict).withColumn("area_matched", F.when(F.array_contains("_v", "match"), first)).drop("_v", "has_location", "u_county", "u_city", "areas")

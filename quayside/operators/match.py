@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.geo import area_table, location_columns, prepare_catalogue
+from ..functions.geo import area_table, distance_miles, location_columns, prepare_catalogue
 from ..functions.income import MET, NONE, UNMET, income_code, income_verdict
 from ..sources.dimensions import MID_MILES, NEAR_MILES, RELATED, RELATED_LIMIT, URGENT_DAYS, URGENT_STATUSES, WEIGHTS, median_income
 
 GATES = ["active", "service_area", "income_limit", "eviction_notice", "children", "veteran", "housing_status"]
 #: Factors whose unverified items leave eligibility open.
 ELIGIBILITY = ["service_area", "need_match", "income_limit", "eviction_notice", "children", "veteran", "housing_status", "other_conditions"]
-#: Rows of the table of places and programmes that are broadcast; a larger one is shuffled on the place.
+#: Rows of the table of counties, cities and programmes that are broadcast; a larger one is shuffled on the place.
 BROADCAST_ROWS = 200_000
 
 
@@ -37,12 +37,13 @@ def pairs(sit: DataFrame, cat: DataFrame, only: DataFrame | None = None) -> Data
     s = location_columns(with_ami(sit))
     cat = prepare_catalogue(cat)
     at = area_table(s, cat)
-    own = s.drop("location", "has_location", "u_county", "u_city", "u_lat", "u_lng").repartition(int(sit.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sit_id")
+    own = s.drop("location", "has_location", "u_county", "u_city").repartition(int(sit.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sit_id")
     rows = s.select("place_key").distinct().count() * cat.count()
     at = F.broadcast(at) if rows <= BROADCAST_ROWS else at
     both = (own.join(only, "sit_id").join(at, ["place_key", "id"]) if only is not None else own.join(at, "place_key")).drop("place_key")
     facts = F.col("monthly_income"), F.col("household_size"), F.col("ami")
-    return both.withColumns({"income_code": income_code(*facts), "income": income_verdict(*facts)})
+    miles = distance_miles(F.col("u_lat"), F.col("u_lng"), F.col("lat"), F.col("lng"))
+    return both.withColumns({"miles": miles, "income_code": income_code(*facts), "income": income_verdict(*facts)}).drop("u_lat", "u_lng")
 
 
 def failed() -> dict[str, Column]:
