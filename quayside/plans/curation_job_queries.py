@@ -20,8 +20,8 @@ SELECT page_id, url, CASE WHEN page_id % 20 = 9 THEN 404 ELSE 200 END AS status,
     WHEN page_id % 20 IN (2, 3) THEN replace(replace(html, '<title>', concat('<title>Pantry number ', CAST(page_id AS VARCHAR(20)), ' | ')), '<article>',
       concat('<article><h2>Food pantry of hall ', CAST(page_id AS VARCHAR(20)), '</h2><p>Apply for free groceries at the hall, every day of the week. ', CASE WHEN page_id % 20 = 2 THEN '<a href="https://provider.example.net/' ELSE '<a href="/forms/a.pdf?n=' END, CAST(page_id AS VARCHAR(20)),
         '">Application</a></p>', CASE WHEN page_id % 40 = 2 THEN '<p>Applicants must be veterans.</p>' ELSE '' END))
-    WHEN page_id % 20 IN (4, 5) THEN concat('<title>Rent relief of district ', CAST(floor(page_id / 100) AS VARCHAR(20)), '</title><nav>', CAST(page_id AS VARCHAR(20)), '</nav><main><h1>Rent relief</h1><p>Apply for rental assistance at the office of this district, open on weekdays from nine to five.</p></main>')
-    WHEN page_id % 20 IN (6, 7) THEN concat('<title>Legal aid office ', CAST(floor(page_id / 100) AS VARCHAR(20)), '</title><meta name="description" content="Free legal aid for tenants of this district who face an eviction, in person or by phone."><main><h1>Legal aid</h1><p>Register for free advice, page ', CAST(page_id AS VARCHAR(20)), '.</p></main>')
+    WHEN page_id % 20 IN (4, 5) THEN concat('<title>Rent relief of district ', CAST(floor(page_id / 100) AS VARCHAR(20)), '</title><nav>', CAST(page_id AS VARCHAR(20)), '</nav><main><h1>Rent relief</h1><p>Apply for rental assistance at the office of district ', CAST(floor(page_id / 100) AS VARCHAR(20)), ', open on weekdays from nine to five.</p></main>')
+    WHEN page_id % 20 IN (6, 7) THEN concat('<title>Legal aid office ', CAST(floor(page_id / 100) AS VARCHAR(20)), '</title><meta name="description" content="Free legal aid for tenants of district ', CAST(floor(page_id / 100) AS VARCHAR(20)), ' who face an eviction, in person or by phone."><main><h1>Legal aid</h1><p>Register for free advice, page ', CAST(page_id AS VARCHAR(20)), '.</p></main>')
     ELSE html END AS html
 FROM pages
 """
