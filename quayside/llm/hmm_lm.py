@@ -17,8 +17,8 @@ from .common import HashIndex, bounded, cut, discard, forget, hashed_words, mix,
 STATES, PASSES, SYMBOLS = 8, 6, 1 << 19
 #: The most words whose counts are broadcast, and so the most words broadcast at all.
 COMMON = 1 << 20
-#: Tokens of a long text that are gone through side by side with its other parts, sequences in one matrix, and tokens in one.
-SEGMENT, WIDTH, CELLS = 8192, 2048, 1 << 20
+#: Tokens of a long text that are gone through side by side with its other parts, sequences that are scored at once, and tokens in one matrix.
+SEGMENT, WIDTH, CELLS = 4096, 2048, 1 << 18
 #: Broadcast words whose sums travel in one row.
 ROWS = 4096
 #: Weight, in tokens, of the corpus's word frequencies in each state's emissions, and of an even choice in its transitions.
@@ -109,23 +109,33 @@ def coded_texts(docs: DataFrame, train: Column, keys: np.ndarray, counts: np.nda
     return coded.withColumn("row", F.monotonically_increasing_id())
 
 
+def side_by_side(sizes: np.ndarray) -> tuple[list[int], list[int], np.ndarray]:
+    """For sequences of falling length that run side by side: how many have a token at each step, where each step's tokens begin when they lie step by step, and where each of these tokens lies when the sequences follow one another."""
+    steps = np.arange(int(sizes[0]) if len(sizes) else 0)
+    n = np.searchsorted(-sizes, -steps, side="left")
+    off = np.cumsum(n) - n
+    seq = np.arange(int(n.sum())) - np.repeat(off, n)
+    return n.tolist(), off.tolist(), (np.cumsum(sizes) - sizes)[seq] + np.repeat(steps, n)
+
+
 def transfers(segs: list[np.ndarray], first: np.ndarray, m: Model) -> np.ndarray:
     """For each segment the product of its steps as a matrix, up to a factor: what takes the state weights before it to those at its end. A text's first segment begins with its own first token."""
     states = m.emit.shape[1]
     out = np.tile(np.eye(states), (len(segs), 1, 1))
     order = np.argsort([-len(x) for x in segs], kind="stable")
-    sizes = np.array([len(segs[i]) for i in order], np.int64)
-    flat = np.concatenate([segs[i] for i in order]) if len(order) else sizes
-    at = np.cumsum(sizes) - sizes
+    n, off, place = side_by_side(np.array([len(segs[i]) for i in order], np.int64))
+    if not n:
+        return out
+    ahead = (m.emit / m.emit.max(axis=1, keepdims=True))[np.concatenate([segs[i] for i in order])[place]]
     now = out[order]
-    for t in range(int(sizes[0]) if len(order) else 0):
-        n = int(np.searchsorted(-sizes, -t, side="left"))
-        step = now[:n] @ m.move
+    for t, k in enumerate(n):
+        step = (now[:k].reshape(-1, states) @ m.move).reshape(k, states, states)
         if t == 0:
             step[first[order]] = np.eye(states)
-        step *= m.emit[flat[at[:n] + t]][:, None, :]
-        now[:n] = step / step.sum(axis=(1, 2), keepdims=True)
-    out[order] = now
+        np.multiply(step, ahead[off[t] : off[t] + k, None, :], out=now[:k])
+        if t % 8 == 7:  # double precision has room for the steps between
+            now[:k] /= now[:k].sum(axis=(1, 2), keepdims=True)
+    out[order] = now / now.sum(axis=(1, 2), keepdims=True)
     return out
 
 
@@ -161,53 +171,50 @@ def expected_counts(texts: Iterator[np.ndarray], m: Model) -> tuple[np.ndarray,
     Long texts are gone through in segments side by side, with the exact probabilities at their limits, so that every move
     counts, that from one segment to the next too.
     """
-    s, k = m.emit.shape[1], m.emit.shape[0]
-    start, move, emit = np.zeros(s), np.zeros((s, s)), np.zeros((k, s))
+    s, symbols = m.emit.shape[1], m.emit.shape[0]
+    start, move, emit = np.zeros(s), np.zeros((s, s)), np.zeros((symbols, s))
     segs = sorted(boundaries(list(texts), m), key=lambda y: -len(y[0]))
-    a, e = m.move.astype(np.float32), m.emit.astype(np.float32)
+    a, one = m.move.astype(np.float32), np.ones(s, np.float32)
+    back = np.ascontiguousarray(a.T)
+    e = (m.emit / m.emit.max(axis=1, keepdims=True)).astype(np.float32)  # a word's factor cancels out
+    ends = np.cumsum([len(x) for x, _, _ in segs])
     g = 0
     while g < len(segs):
-        part = segs[g : g + max(1, min(WIDTH, CELLS // len(segs[g][0])))]
-        g += len(part)
+        begin = g
+        g = max(g + 1, int(np.searchsorted(ends, (ends[g - 1] if g else 0) + CELLS, side="right")))
+        part = segs[begin:g]
         sizes = np.array([len(x) for x, _, _ in part])
-        steps, width = int(sizes[0]), len(part)
-        n = (sizes[None, :] > np.arange(steps)[:, None]).sum(axis=1)
-        obs = np.zeros((steps, width), np.int64)
-        for c, (x, _, _) in enumerate(part):
-            obs[: len(x), c] = x
+        n, off, place = side_by_side(sizes)
+        obs = np.concatenate([x for x, _, _ in part])[place]
         inner = np.array([before is not None for _, _, before in part])
         entry = np.stack([m.start if before is None else before for _, _, before in part]).astype(np.float32)
-        live = np.arange(width)[None, :] < n[:, None]
-        ahead = e[obs]  # emissions, then what each token and the rest of its text weigh in each state
-        ahead[~live] = 0
-        alpha, scale = np.zeros((steps, width, s), np.float32), np.ones((steps, width, 1), np.float32)
-        now = np.where(inner[:, None], entry @ a, entry)
-        for t in range(steps):
-            k = n[t]
-            now = np.multiply(now if t == 0 else now[:k] @ a, ahead[t, :k], out=alpha[t, :k])
-            c = now.sum(axis=1, keepdims=True)
-            now /= c
-            scale[t, :k] = c
-        np.divide(1, scale, out=scale)
-        beta = np.empty_like(alpha)
-        last = np.stack([x for _, x, _ in part]).astype(np.float32)
-        last /= (alpha[sizes - 1, np.arange(width)] * last).sum(axis=1, keepdims=True)
-        beta[sizes - 1, np.arange(width)] = last
-        ahead *= scale
-        back = np.ascontiguousarray(a.T)
-        for t in range(steps - 1, 0, -1):
-            w = n[t]
-            x = ahead[t, :w]
-            x *= beta[t, :w]
-            np.matmul(x, back, out=beta[t - 1, :w])
-        ahead[0] *= beta[0]
-        if steps > 1:
-            move += alpha[:-1].reshape(-1, s).T @ ahead[1:].reshape(-1, s)
-        move += entry[inner].T @ ahead[0][inner]
-        seen, weight = obs[live], alpha[live] * beta[live]
-        start += (alpha[0] * beta[0])[~inner].sum(axis=0)
+        ahead = e.take(obs, axis=0)  # emissions, then what each token and the rest of its text weigh in each state
+        alpha, beta, scale = np.empty_like(ahead), np.empty_like(ahead), np.empty(len(obs), np.float32)
+        np.multiply(np.where(inner[:, None], entry @ a, entry), ahead[: n[0]], out=alpha[: n[0]])
+        for t, k in enumerate(n):
+            at = off[t]
+            now, c = alpha[at : at + k], scale[at : at + k]
+            if t:
+                np.matmul(alpha[off[t - 1] : off[t - 1] + k], a, out=now)
+                now *= ahead[at : at + k]
+            np.matmul(now, one, out=c)
+            now /= c[:, None]
+        ahead /= scale[:, None]
+        last = np.array(off)[sizes - 1] + np.arange(len(part))
+        behind = np.stack([x for _, x, _ in part]).astype(np.float32)
+        beta[last] = behind / (alpha[last] * behind).sum(axis=1, keepdims=True)
+        for t in range(len(n) - 1, 0, -1):
+            k, at = n[t], off[t]
+            x = ahead[at : at + k]
+            x *= beta[at : at + k]
+            np.matmul(x, back, out=beta[off[t - 1] : off[t - 1] + k])
+        ahead[: n[0]] *= beta[: n[0]]
+        move += alpha.take(np.arange(n[0], len(obs)) - np.repeat(n[:-1], n[1:]), axis=0).T @ ahead[n[0] :]
+        move += entry[inner].T @ ahead[: n[0]][inner]
+        alpha *= beta
+        start += alpha[: n[0]][~inner].sum(axis=0)
         for i in range(s):
-            emit[:, i] += np.bincount(seen, weights=weight[:, i], minlength=len(emit))
+            emit[:, i] += np.bincount(obs, weights=alpha[:, i], minlength=symbols)
     return start, move * m.move, emit
 
 
