@@ -142,6 +142,16 @@ def match(sit: DataFrame, cat: DataFrame, related_limit: int = RELATED_LIMIT) ->
     return ranked.filter((F.col("section") == "ranked") | (F.col("rank") <= related_limit))
 
 
+def plan_counts(sit: DataFrame, cat: DataFrame) -> DataFrame:
+    """(sit_id, survivors, ranked, related, confirmed) for every situation: programmes that fail no gate, those of requested and of related categories before any limit, and requested ones without an open question."""
+    kept = pairs(sit, cat).filter(passes()).withColumn("section", section())
+    ranked = F.col("section") == "ranked"
+    open_ = F.exists(breakdown(details=False), lambda i: (i["status"] == "unverified") & i["factor"].isin(ELIGIBILITY))
+    flags = kept.select("sit_id", "section", F.when(ranked, ~open_).alias("sure"))
+    n = flags.groupBy("sit_id").agg(F.count("*").alias("survivors"), F.count_if(ranked).alias("ranked"), F.count_if(F.col("section") == "related").alias("related"), F.count_if("sure").alias("confirmed"))
+    return sit.select("sit_id").join(n, "sit_id", "left").fillna(0)
+
+
 def excluded_counts(sit: DataFrame, cat: DataFrame) -> DataFrame:
     """(sit_id, excluded, one count for each gate): over all categories, before needs are looked at."""
     tests = failed()

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import candidates as C
 from ..operators import catalogue as L
+from ..operators import mapdata as D
 from ..sources.derived import CATALOGUE_SQL, catalogue, table
 from ..sources.dimensions import CATEGORIES
 
@@ -64,8 +66,50 @@ def share_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("sit_id", L.share_text(likely, steps, docs, _WORDS).alias("text"))
 
 
+def placement_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dot for each order of a customer, and programmes of the state and the country for each customer."""
+    kind = F.element_at(F.array(F.lit("address"), F.lit("county"), F.lit("near_you")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    dots = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("sit_id"), kind.alias("placement"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("sit_id"), F.explode(F.create_map(F.lit("*statewide"), F.col("c_nationkey") + 100, F.lit("*national"), F.col("c_custkey") % 9, F.lit("Kern"), F.lit(7))).alias("place", "n"))
+    return L.placement_counts(dots, c.withColumn("n", F.col("n").cast("long")))
+
+
+#: For each supplier an outline of five points, closed, on whole numbers; those of a nation share a name.
+_RINGS = """
+SELECT CAST(s_nationkey AS VARCHAR(9)) AS name, CAST(s_suppkey AS INT) AS ring, CAST(p.k AS INT) AS seq,
+  CAST(s_suppkey % 17 + CASE WHEN p.k IN (1, 2) THEN 2 * (1 + s_suppkey % 5) ELSE 0 END AS DOUBLE) AS lng,
+  CAST(s_suppkey % 13 + CASE p.k WHEN 2 THEN 4 * (1 + s_suppkey % 3) WHEN 3 THEN 2 * (1 + s_suppkey % 3) ELSE 0 END AS DOUBLE) AS lat
+FROM supplier CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS p(k)
+"""
+
+
+def county_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rings = spark.sql(_RINGS.replace("FROM supplier", "FROM {supplier}"), supplier=table(spark, sf_dir, "supplier"))
+    return D.centroids(rings).select("name", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))
+
+
+_ABOUT = "Helps households in the district with number {} to pay for heating, water and repairs all year round"
+
+
+def page_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of a page for each customer: endings of titles that don't count, descriptions that say little, pages without evidence."""
+    k = F.col("c_custkey")
+    number = (k % 40).cast("string")
+    title = F.concat(F.lit("Energy Help "), number, F.when(k % 3 == 0, " - Consumer").when(k % 3 == 1, " | State pages").otherwise(""))
+    about = F.concat(F.lit(_ABOUT.split("{}")[0]), number, F.lit(_ABOUT.split("{}")[1]))
+    description, excerpt = F.when(k % 4 < 2, about).when(k % 4 == 2, F.lit("Welcome.")), F.when(k % 5 != 0, about)
+    key = C.page_identity(title, description, excerpt)
+    return table(spark, sf_dir, "customer").select("c_custkey", F.replace(key, F.lit("\u001f"), F.lit("#")).alias("key"))
+
+
 _CAT = "[" + ", ".join(f"'{c}'" for c in CATEGORIES) + "]"
 ORACLES = {
+    "placement_counts": """WITH d AS (SELECT o_custkey AS sit_id, count_if(o_orderkey % 3 = 0) AS exact, count(*) AS dots, count_if(o_orderkey % 3 = 2) AS near FROM orders GROUP BY 1)
+      SELECT c_custkey AS sit_id, coalesce(exact, 0)::BIGINT AS exact, (coalesce(dots, 0) - coalesce(exact, 0))::BIGINT AS approximate, (c_nationkey + 100 + c_custkey % 9 - coalesce(near, 0))::BIGINT AS not_drawn FROM customer LEFT JOIN d ON sit_id = c_custkey""",
+    "county_centroids": f"""WITH e AS (SELECT *, lead(lng) OVER w AS x1, lead(lat) OVER w AS y1 FROM ({_RINGS}) WINDOW w AS (PARTITION BY ring ORDER BY seq)), f AS (SELECT *, lng * y1 - x1 * lat AS z FROM e WHERE x1 IS NOT NULL),
+      a AS (SELECT name, ring, sum(z) / 2 AS area, sum((lng + x1) * z) AS cx, sum((lat + y1) * z) AS cy FROM f GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY abs(area) DESC, ring) AS r FROM a)
+      SELECT name, round(cy / (6 * area), 6) AS lat, round(cx / (6 * area), 6) AS lng FROM b WHERE r = 1""",
+    "page_identity": f"""SELECT c_custkey, CASE WHEN c_custkey % 4 < 2 OR c_custkey % 5 <> 0 THEN lower(concat('energy help ', c_custkey % 40, '#', replace(replace('{_ABOUT}', ',', ''), '{{}}', (c_custkey % 40)::VARCHAR))) END AS key FROM customer""",
     "catalogue_coordinates": f"""WITH c AS ({CATALOGUE_SQL}), a AS (SELECT id, {_CAT}[category_no + 1] AS category, list_filter(list_transform([area1, area2], lambda x: CASE WHEN x LIKE 'Santa Clara%' THEN 'Santa Clara' WHEN x LIKE 'San Mateo%' THEN 'San Mateo' WHEN x LIKE 'Alameda%' THEN 'Alameda' WHEN x LIKE '%, CA' THEN split_part(x, ',', 1) END), lambda x: x IS NOT NULL)[1] AS place FROM c)
       SELECT id, category, CASE place WHEN 'Santa Clara' THEN 37.3382e0 WHEN 'San Jose' THEN 37.3382e0 WHEN 'San Mateo' THEN 37.4688e0 WHEN 'Redwood City' THEN 37.4852e0 WHEN 'Alameda' THEN 37.8044e0 WHEN 'Oakland' THEN 37.8044e0 END AS lat,
         CASE place WHEN 'Santa Clara' THEN -121.8863e0 WHEN 'San Jose' THEN -121.8863e0 WHEN 'San Mateo' THEN -122.1411e0 WHEN 'Redwood City' THEN -122.2364e0 WHEN 'Alameda' THEN -122.2712e0 WHEN 'Oakland' THEN -122.2712e0 END AS lng FROM a""",
@@ -80,4 +124,4 @@ ORACLES = {
       CASE WHEN c_custkey % 4 = 0 THEN ['', 'Bring:', '☐ ID', '☐ Lease'] ELSE [] END, ['', 'Call first.']), chr(10)) AS text FROM customer""",
 }
 
-QUERIES = {f.__name__: f for f in (catalogue_coordinates, eligibility_backfill, retained_leads, needs_merged, share_texts)}
+QUERIES = {f.__name__: f for f in (catalogue_coordinates, eligibility_backfill, retained_leads, needs_merged, share_texts, placement_counts, county_centroids, page_identity)}

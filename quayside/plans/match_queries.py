@@ -25,6 +25,10 @@ def match_excluded_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.excluded_counts(*_both(spark, sf_dir))
 
 
+def match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.plan_counts(*_both(spark, sf_dir))
+
+
 def match_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.scored(M.survivors(*_both(spark, sf_dir))).select("sit_id", "id", "section", "score", "unverified", "needs_verification")
 
@@ -129,6 +133,8 @@ _FAILED = "f1 OR f2 OR f3 OR f4 OR f5 OR f6 OR f7"
 ORACLES = {
     "match_gates": f"WITH {PAIRS_SQL} SELECT sit_id, id, concat_ws(',', {_GATES}) AS gates FROM g WHERE {_FAILED}",
     "match_excluded_counts": f"WITH {PAIRS_SQL} SELECT sit_id, sum(({_FAILED})::INT)::BIGINT AS excluded, " + ", ".join(f"sum(f{k + 1}::INT)::BIGINT AS by_{gate}" for k, gate in enumerate(M.GATES)) + " FROM g GROUP BY sit_id",
+    "match_counts": f"""WITH {PAIRS_SQL}, k AS (SELECT sc.sit_id, sc.section, sd.unverified FROM sc LEFT JOIN sd ON sd.sit_id = sc.sit_id AND sd.id = sc.id)
+      SELECT s.sit_id, count(k.sit_id) AS survivors, count_if(section = 'ranked')::BIGINT AS ranked, count_if(section = 'related')::BIGINT AS related, count_if(section = 'ranked' AND unverified = 0)::BIGINT AS confirmed FROM s LEFT JOIN k ON k.sit_id = s.sit_id GROUP BY s.sit_id""",
     "match_scores": f"WITH {PAIRS_SQL} SELECT sit_id, id, section, score, unverified, unverified > 0 AS needs_verification FROM sd",
     "match_rank": f"WITH {PAIRS_SQL} SELECT sit_id, rank, id, score FROM r WHERE section = 'ranked'",
     "match_related_topk": f"WITH {PAIRS_SQL} SELECT sit_id, rank, id, score FROM r WHERE section = 'related' AND rank <= 6",
@@ -152,4 +158,4 @@ ORACLES = {
       SELECT sit_id, missing, count(*) AS n FROM m WHERE missing <> '' GROUP BY 1, 2""",
 }
 
-QUERIES = {f.__name__: f for f in (match_gates, match_excluded_counts, match_scores, match_rank, match_related_topk, match_breakdown, distance_bands, income_brackets, docs_missing)}
+QUERIES = {f.__name__: f for f in (match_gates, match_excluded_counts, match_counts, match_scores, match_rank, match_related_topk, match_breakdown, distance_bands, income_brackets, docs_missing)}
