@@ -156,10 +156,10 @@ def shard_bytes(docs: DataFrame, shards: int) -> DataFrame:
     # slots: rows of a shard are numbered in parts, and each part starts where the ones before it end
     most = placed.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
     parts = max(1, -(-most // PART_ROWS))
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("doc_id", "key"), F.lit(parts)).cast("int"))
     counts = placed.groupBy("shard", "part").count()
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cut(counts.select("shard", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset")))
-    own = Window.partitionBy("shard", "part").orderBy("doc_id")
+    own = Window.partitionBy("shard", "part").orderBy("doc_id", "key")
     numbered = placed.withColumn("own", F.row_number().over(own) - 1)
     return numbered.join(measured(offsets, 1 << 19), ["shard", "part"]).select("doc_id", "size", "text_crc32", "shard", (F.col("offset") + F.col("own")).cast("long").alias("slot"))
