@@ -126,17 +126,23 @@ def transfers(segs: list[np.ndarray], first: np.ndarray, m: Model) -> np.ndarray
     n, off, place = side_by_side(np.array([len(segs[i]) for i in order], np.int64))
     if not n:
         return out
-    ahead = (m.emit / m.emit.max(axis=1, keepdims=True))[np.concatenate([segs[i] for i in order])[place]]
-    now = out[order]
+    obs = np.concatenate([segs[i] for i in order])[place]
+    e = np.ascontiguousarray((m.emit / m.emit.max(axis=1, keepdims=True)).T)
+    move = np.ascontiguousarray(m.move.T)
+    # now[j, i, k]: from state i before to state j now, of sequence k; a finished one keeps its place at the end
+    now = np.ascontiguousarray(np.broadcast_to(np.eye(states)[:, :, None], (states, states, len(segs))))
     for t, k in enumerate(n):
-        step = (now[:k].reshape(-1, states) @ m.move).reshape(k, states, states)
+        if k < now.shape[2]:
+            out[order[k : now.shape[2]]] = now[:, :, k:].transpose(2, 1, 0)
+            now = np.ascontiguousarray(now[:, :, :k])
+        step = (move @ now.reshape(states, -1)).reshape(states, states, k)
         if t == 0:
-            step[first[order]] = np.eye(states)
-        np.multiply(step, ahead[off[t] : off[t] + k, None, :], out=now[:k])
+            step[:, :, first[order]] = np.eye(states)[:, :, None]
+        now = np.multiply(step, e.take(obs[off[t] : off[t] + k], axis=1)[:, None], out=step)
         if t % 8 == 7:  # double precision has room for the steps between
-            now[:k] /= now[:k].sum(axis=(1, 2), keepdims=True)
-    out[order] = now / now.sum(axis=(1, 2), keepdims=True)
-    return out
+            now /= now.sum(axis=(0, 1))
+    out[order[: now.shape[2]]] = now.transpose(2, 1, 0)
+    return out / out.sum(axis=(1, 2), keepdims=True)
 
 
 def boundaries(texts: list[np.ndarray], m: Model) -> list[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
@@ -213,8 +219,8 @@ def expected_counts(texts: Iterator[np.ndarray], m: Model) -> tuple[np.ndarray,
         move += entry[inner].T @ ahead[: n[0]][inner]
         alpha *= beta
         start += alpha[: n[0]][~inner].sum(axis=0)
-        for i in range(s):
-            emit[:, i] += np.bincount(obs, weights=alpha[:, i], minlength=symbols)
+        for i, x in enumerate(np.ascontiguousarray(alpha.T)):
+            emit[:, i] += np.bincount(obs, weights=x, minlength=symbols)
     return start, move * m.move, emit
 
 
@@ -222,19 +228,21 @@ def log_likelihoods(texts: list[np.ndarray], m: Model) -> np.ndarray:
     """Natural log-likelihood of each whole text by the scaled forward recursion. Texts run side by side, none is cut."""
     out = np.zeros(len(texts))
     order = np.argsort([-len(x) for x in texts], kind="stable")
+    e, move = np.ascontiguousarray(m.emit.T), np.ascontiguousarray(m.move.T)
     for g in range(0, len(order), WIDTH):
         part = order[g : g + WIDTH]
         sizes = np.array([len(texts[i]) for i in part])
-        flat = np.concatenate([texts[i] for i in part])
-        at = np.cumsum(sizes) - sizes
-        total, now = np.zeros(len(part)), None
-        for t in range(int(sizes[0])):
-            n = int(np.searchsorted(-sizes, -t, side="left"))
-            e = m.emit[flat[at[:n] + t]]
-            now = (m.start if t == 0 else now[:n] @ m.move) * e
-            c = now.sum(axis=1)
-            now = now / c[:, None]
-            total[:n] += np.log(c)
+        n, off, place = side_by_side(sizes)
+        obs = np.concatenate([texts[i] for i in part])[place]
+        scale, now = np.empty(len(obs)), None
+        for t, k in enumerate(n):
+            at = off[t]
+            weights = e.take(obs[at : at + k], axis=1)
+            weights *= m.start[:, None] if t == 0 else move @ now[:, :k]
+            now = np.divide(weights, np.add.reduce(weights, axis=0, out=scale[at : at + k]), out=weights)
+        total, logs = np.zeros(len(part)), np.log(scale)
+        for t, k in enumerate(n):
+            total[:k] += logs[off[t] : off[t] + k]
         out[part] = total
     return out
 
@@ -291,9 +299,12 @@ def own_symbols(batch: pa.RecordBatch, m: Model, scale: np.ndarray, total: float
     other = flat == symbols
     before = np.concatenate([[0], np.cumsum(other)])
     start = before[np.concatenate([[0], at[:-1]])]
-    uniq, place = np.unique(flat[~other], return_inverse=True)
-    flat = flat.astype(np.int64)
-    flat[~other], flat[other] = place, len(uniq) + np.arange(before[-1])
+    number = np.zeros(symbols + 1, np.int64)
+    number[flat] = 1
+    uniq = np.flatnonzero(number[:symbols])
+    number[uniq] = np.arange(len(uniq))
+    flat = number[flat]
+    flat[other] = len(uniq) + np.arange(before[-1])
     emit = np.empty((len(uniq) + before[-1], states))
     emit[: len(uniq)], emit[len(uniq) :] = m.emit[uniq], m.emit[symbols - 2]
     own = col["own"]
