@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.income import fpl_limit
-from ..sources.dimensions import EARNED_LIMIT, food_years
+from ..sources.dimensions import BENEFIT_LINKS, EARNED_LIMIT, food_years
 
 ORDER = ["calfresh", "medi_cal", "medi_cal_kids", "care", "fera", "wic", "school_meals", "caleitc"]
 
@@ -96,3 +96,10 @@ def totals(sit: DataFrame, as_of: Column) -> DataFrame:
     missing = F.array_compact(F.array(gap("income", F.col("monthly_income").isNull()), gap("householdSize", F.col("household_size").isNull()), gap("rent", F.col("monthly_housing_cost").isNull() & F.coalesce("food", F.lit(False)))))
     zero = F.lit(0).cast("long")
     return sit.join(sums, "sit_id", "left").select("sit_id", F.coalesce("likely", zero).alias("likely"), F.coalesce("possible", zero).alias("possible"), "low", "high", F.array_join(missing, ",").alias("missing"))
+
+
+def applications(sit: DataFrame, as_of: Column) -> DataFrame:
+    """(sit_id, benefit_id, ord, status, low, high, ceiling, url, phone, figures): the estimates with where to apply, the telephone if there is one, and the years that the food benefit's figures are of."""
+    link = F.create_map(*(x for k, (url, phone) in BENEFIT_LINKS.items() for x in (F.lit(k), F.struct(F.lit(url).alias("url"), F.lit(phone).cast("string").alias("phone")))))
+    years = as_of_figures(sit.select("sit_id"), as_of).select("sit_id", F.col("y.label").alias("figures"))
+    return estimates(sit, as_of).join(years, "sit_id").withColumn("_at", link[F.col("benefit_id")]).select("sit_id", "benefit_id", "ord", "status", "low", "high", "ceiling", "_at.url", "_at.phone", "figures")

@@ -22,30 +22,34 @@ def existing(spark: SparkSession, paths: list[str]) -> list[str]:
     return [p for p in paths if there(jvm.org.apache.hadoop.fs.Path(p))]
 
 
-def read_existing(spark: SparkSession, paths: list[str], schema: StructType | str) -> DataFrame:
-    """The JSON records of those paths that exist, with `file_ord`, their path's place in the list; ValueError if none exists."""
+def read_existing(spark: SparkSession, paths: list[str], schema: StructType | str, lines: bool = False) -> DataFrame:
+    """The JSON records of those paths that exist, with `file_ord`, their path's place in the list; ValueError if none exists.
+
+    A file that is one JSON value, such as a list of records, is read by one task. With `lines`, each line is a record, and
+    files are split; a path may then be a folder of files too.
+    """
     some = set(existing(spark, paths))
     found = [(k, p) for k, p in enumerate(paths) if p in some]
     if not found:
         raise ValueError(f"none of these exists: {', '.join(paths)}")
     out = None
     for k, p in found:
-        part = spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", True).json(p).withColumn("file_ord", F.lit(k))
+        part = spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", not lines).json(p).withColumn("file_ord", F.lit(k))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def read_previous(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+def read_previous(spark: SparkSession, path: str, schema: StructType | str, lines: bool = False) -> DataFrame:
     """The previous catalogue, or a table without rows if there is none."""
     try:
-        return read_existing(spark, [path], schema).drop("file_ord")
+        return read_existing(spark, [path], schema, lines).drop("file_ord")
     except ValueError:
         return spark.createDataFrame([], schema)
 
 
-def read_overrides(spark: SparkSession, path: str, fields: str) -> DataFrame:
-    """(id, ...) of a JSON object of reviewed overrides by id."""
-    whole = spark.read.schema(f"overrides map<string, struct<{fields}>>").option("mode", "FAILFAST").option("multiLine", True).json(path)
+def read_overrides(spark: SparkSession, path: str, fields: str, lines: bool = False) -> DataFrame:
+    """(id, ...) of a JSON object of reviewed overrides by id; with `lines`, of such an object on each line."""
+    whole = spark.read.schema(f"overrides map<string, struct<{fields}>>").option("mode", "FAILFAST").option("multiLine", not lines).json(path)
     return whole.select(F.explode("overrides").alias("id", "o")).select("id", "o.*")
 
 

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+from ..sources import prose as P
+from .explain import filled, labels, templates
+from .messages import money
+
 TOP = 4
 # Kinds of documents and the words that name them, first match wins; their order on a list; documents of each benefit; questions of open factors.
 PATTERNS = [
@@ -25,6 +30,9 @@ ORDER = ["notice", "id", "income", "lease", "rentOwed", "utilityBill", "pgeAccou
 BENEFIT_DOCUMENTS = {"calfresh": ["id", "income", "lease", "utilityBill"], "medi_cal": ["id", "income", "address"], "medi_cal_kids": ["birth", "income", "address"], "care": ["pgeAccount"], "fera": ["pgeAccount"], "wic": ["id", "address", "income"]}
 QUESTIONS = ["service_area", "income_limit", "housing_status", "eviction_notice", "children", "veteran", "other_conditions"]
 CLOSING = ["docs", "time", "waitlist", "else"]
+# Under which key the question of an open factor stands, and the fact that a housing status is.
+QUESTION_KEYS = {"service_area": "area", "income_limit": "income", "housing_status": "housing", "eviction_notice": "notice", "children": "children", "veteran": "veteran", "other_conditions": "other"}
+STATUS_FACTS = {"eviction_notice": "notice", "housed_at_risk": "behind", "unhoused": "unhoused"}
 
 
 def document_key(raw: Column) -> Column:
@@ -58,6 +66,47 @@ def calls(top: DataFrame) -> DataFrame:
     return top.select("sit_id", "rank", "id", F.concat(F.array_distinct(open_), F.array(*map(F.lit, CLOSING))).alias("questions"))
 
 
+def facts_sentence(t: Column) -> Column:
+    """What a person tells first, in the language of the texts t: place, household, income, housing, service. Unknown facts are left out; without any it is empty."""
+    c = F.col
+    said = lambda key, **places: filled(t[f"call.fact.{key}"], **places)
+    place, size, income = F.coalesce("location.city", "location.county"), c("household_size"), c("monthly_income")
+    housing = labels(STATUS_FACTS, c("housing_status"))
+    parts = [
+        F.when(place != "", said("place", place=place)),
+        F.when(size == 1, said("alone")).when(size != 0, said("household", n=size)),
+        F.when(income == 0, said("noIncome")).when(income.isNotNull(), said("income", amount=money(income))),
+        F.when(housing.isNotNull(), F.element_at(t, F.concat(F.lit("call.fact."), housing))),
+        F.when(c("is_veteran"), said("veteran")),
+    ]
+    return F.concat_ws(" ", *parts)
+
+
+def scripts(sit: DataFrame, top: DataFrame) -> DataFrame:
+    """(sit_id, rank, id, lang, opener, questions) for each programme of top(sit_id, rank, id, name, breakdown): how to begin a call and what to ask, in the language of sit(sit_id, lang, location, household_size, monthly_income, housing_status, is_veteran).
+
+    Open factors come first, in the order of the breakdown, each text once; then what to ask always. An unknown place or
+    household size is left empty in a question. A language without texts, and none, gets English ones. A programme without
+    a breakdown has the closing questions; programmes of situations that sit hasn't got give no row.
+    """
+    c = F.col
+    facts = ("location", "household_size", "monthly_income", "housing_status", "is_veteran")
+    people = sit.select("sit_id", F.coalesce("lang", F.lit("en")).alias("lang"), *facts).join(F.broadcast(templates(sit.sparkSession)), c("lang") == c("t_lang"), "left")
+    english = F.create_map(*(F.lit(x) for pair in P.ENGLISH.items() for x in pair))
+    people = people.withColumn("_t", F.coalesce("t", english)).select("sit_id", "lang", "_t", facts_sentence(c("_t")).alias("_facts"), F.coalesce("location.city", "location.county", F.lit("")).alias("_place"), F.coalesce(c("household_size").cast("string"), F.lit("")).alias("_size"))
+    rows = top.select("sit_id", "rank", "id", "name", "breakdown").join(people, "sit_id")
+
+    def asked(t: Column) -> Column:
+        open_ = F.filter(c("breakdown"), lambda b: (b["status"] == "unverified") & b["factor"].isin(list(QUESTION_KEYS)))
+        own = F.transform(open_, lambda b: filled(F.element_at(t, F.concat(F.lit("call.q."), labels(QUESTION_KEYS, b["factor"]))), place=c("_place"), size=c("_size")))
+        return F.concat(F.coalesce(F.array_distinct(own), F.array().cast("array<string>")), F.array(*(t[f"call.q.{k}"] for k in CLOSING)))
+
+    lead = F.when(c("_facts") == "", "").otherwise(F.concat(F.lit(" "), "_facts"))
+    opener = lambda t: F.trim(filled(t["call.opener"], program=F.coalesce("name", F.lit("")), facts=lead))
+    said = let(c("_t"), lambda t: F.struct(opener(t).alias("opener"), asked(t).alias("questions")))
+    return rows.withColumn("_said", said).select("sit_id", "rank", "id", "lang", "_said.opener", "_said.questions")
+
+
 def steps(sit: DataFrame, benefits: DataFrame, top: DataFrame) -> DataFrame:
     """(sit_id, steps): array of struct(when, key) in order: safety and deadlines, the first call if housing is at risk, benefits, other calls, the folder."""
     c = F.col

@@ -52,6 +52,18 @@ FOOD_YEARS = [
 ]
 EARNED_LIMIT = 32900
 
+# Where each benefit is applied for, and the telephone.
+BENEFIT_LINKS = {
+    "calfresh": ("https://www.getcalfresh.org/", "1-877-847-3663"),
+    "medi_cal": ("https://www.dhcs.ca.gov/services/medi-cal/Pages/DoYouQualifyForMedi-Cal.aspx", "1-800-541-5555"),
+    "medi_cal_kids": ("https://www.dhcs.ca.gov/services/medi-cal/Pages/DoYouQualifyForMedi-Cal.aspx", "1-800-541-5555"),
+    "care": ("https://www.pge.com/care", "1-866-743-2273"),
+    "fera": ("https://www.pge.com/fera", "1-866-743-2273"),
+    "wic": ("https://myfamily.wic.ca.gov/", "1-800-852-5770"),
+    "school_meals": ("https://www.cde.ca.gov/ls/nu/sn/cauniversalmeals.asp", None),
+    "caleitc": ("https://www.ftb.ca.gov/file/personal/credits/caleitc/index.html", None),
+}
+
 # City, county, latitude, longitude, other names, postcodes or their first three digits.
 PLACES = [
     ("San Jose", "Santa Clara County", 37.3382, -121.8863, "SJ|San José", "951"),

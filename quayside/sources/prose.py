@@ -36,6 +36,27 @@ ENGLISH = {
     "explain.needs.none": "you are looking for help",
     "explain.needs.some": "you are looking for help with {list}",
     "explain.and": " and ",
+    "call.opener": "Hi, I'm calling about {program}.{facts} Could you tell me if I might qualify and how to apply?",
+    "call.fact.place": "I live in {place}.",
+    "call.fact.household": "There are {n} people in my household.",
+    "call.fact.alone": "I live alone.",
+    "call.fact.income": "Our income is about {amount} a month.",
+    "call.fact.noIncome": "We don't have any income right now.",
+    "call.fact.notice": "I got an eviction notice.",
+    "call.fact.behind": "I'm behind on rent.",
+    "call.fact.unhoused": "I don't have a place to live right now.",
+    "call.fact.veteran": "I'm a veteran.",
+    "call.q.area": "Do you serve people who live in {place}?",
+    "call.q.income": "What's the income limit for a household of {size}?",
+    "call.q.housing": "Can you help someone in my housing situation?",
+    "call.q.notice": "Do I need an eviction notice to get help?",
+    "call.q.children": "Do I need to have children at home to qualify?",
+    "call.q.veteran": "Is this only for veterans?",
+    "call.q.other": "Are there any other requirements I should know about?",
+    "call.q.docs": "What documents should I bring?",
+    "call.q.time": "How long does it usually take to get help?",
+    "call.q.waitlist": "Is there a waitlist? Can I get on it today?",
+    "call.q.else": "If you can't help, who can?",
 }
 
 # Texts in Spanish.
@@ -74,6 +95,27 @@ SPANISH = {
     "explain.needs.none": "busca ayuda",
     "explain.needs.some": "busca ayuda con {list}",
     "explain.and": " y ",
+    "call.opener": "Hola, llamo por {program}.{facts} ¿Me puede decir si podría calificar y cómo solicitar?",
+    "call.fact.place": "Vivo en {place}.",
+    "call.fact.household": "En mi hogar somos {n} personas.",
+    "call.fact.alone": "Vivo solo.",
+    "call.fact.income": "Nuestro ingreso es de unos {amount} al mes.",
+    "call.fact.noIncome": "Ahora no tenemos ningún ingreso.",
+    "call.fact.notice": "Recibí un aviso de desalojo.",
+    "call.fact.behind": "Estoy atrasado con la renta.",
+    "call.fact.unhoused": "Ahora no tengo dónde vivir.",
+    "call.fact.veteran": "Soy veterano.",
+    "call.q.area": "¿Atienden a personas que viven en {place}?",
+    "call.q.income": "¿Cuál es el límite de ingresos para un hogar de {size}?",
+    "call.q.housing": "¿Pueden ayudar a alguien en mi situación de vivienda?",
+    "call.q.notice": "¿Necesito un aviso de desalojo para recibir ayuda?",
+    "call.q.children": "¿Tengo que tener hijos en casa para calificar?",
+    "call.q.veteran": "¿Es solo para veteranos?",
+    "call.q.other": "¿Hay algún otro requisito que deba saber?",
+    "call.q.docs": "¿Qué documentos debo llevar?",
+    "call.q.time": "¿Cuánto tiempo tarda normalmente recibir ayuda?",
+    "call.q.waitlist": "¿Hay lista de espera? ¿Me pueden anotar hoy?",
+    "call.q.else": "Si ustedes no pueden ayudarme, ¿quién puede?",
 }
 LANGUAGES = {"en": ENGLISH, "es": SPANISH}
 
