@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 from ..functions.rules import eligibility, evidence
 from ..functions.text import let
@@ -59,6 +60,27 @@ def flatten_snapshot(snapshot: DataFrame) -> DataFrame:
     return s.select("source_ord", F.col("s.id").alias("source_id"), F.posexplode("s.pages").alias("page_ord", "p")).select("source_ord", "page_ord", "source_id", "p.*")
 
 
+#: Fields of a source of pages.
+SOURCE = "id string, name string, startUrl string, startUrls array<string>, allowedOrigins array<string>, allowedPathPrefixes array<string>, serviceArea string, crawlOrder int, priority int, maxPages int"
+PAGES_OF_SOURCE = 20
+
+
+def read_sources(spark: SparkSession, paths: list[str], lines: bool = False) -> DataFrame:
+    """(source_id, ord, name, seeds, origins, prefixes, service_area, priority, max_pages) of registries of sources, for owners(), with_definitions() and the ranking of links.
+
+    ord counts the sources by crawl order, then by file and id, as sources are few. Seeds are the first url and the others,
+    each once. A source without an id or an origin, and an id that comes twice, fail when they are read.
+    """
+    c = F.col
+    s = read_existing(spark, paths, SOURCE, lines)
+    w = Window.orderBy(F.coalesce("crawlOrder", F.lit(1 << 30)), "file_ord", "id")  # a registry holds some dozens of sources
+    fail = lambda what: F.raise_error(F.concat(F.lit(what), F.coalesce(c("id"), F.lit("?"))))
+    key = F.when(F.coalesce(c("id"), F.lit("")) == "", fail("source without an id: ")).when(F.coalesce(F.size("allowedOrigins"), F.lit(0)) < 1, fail("no origin of source ")).when(F.count("*").over(Window.partitionBy("id")) > 1, fail("source comes twice: ")).otherwise(c("id"))
+    seeds = F.array_distinct(F.array_compact(F.concat(F.array("startUrl"), F.coalesce("startUrls", F.array().cast("array<string>")))))
+    prefixes = F.when(F.size("allowedPathPrefixes") > 0, c("allowedPathPrefixes")).otherwise(F.array(F.lit("/")))
+    return s.select(key.alias("source_id"), (F.row_number().over(w) - 1).alias("ord"), "name", seeds.alias("seeds"), c("allowedOrigins").alias("origins"), prefixes.alias("prefixes"), c("serviceArea").alias("service_area"), F.coalesce("priority", F.lit(0)).alias("priority"), F.coalesce("maxPages", F.lit(PAGES_OF_SOURCE)).alias("max_pages"))
+
+
 def checked(catalogue: DataFrame) -> DataFrame:
     """The catalogue; reading a row of an unknown category fails, and so does an empty catalogue, at once."""
     if not catalogue.limit(1).count():

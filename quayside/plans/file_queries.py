@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import candidates as C
 from ..operators import catalogue as L
+from ..operators import mapdata as D
 from ..operators.dedup import shared_folder
 from ..sources.derived import table
 
@@ -61,12 +62,39 @@ FROM nation
 
 
 def link_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owners of links by a registry of sources that is read from a file."""
+    folder = f"{shared_folder(spark)}/sources-{uuid.uuid4().hex}"
     links = spark.sql(_LINKS.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
     sources = spark.sql(_SOURCES.replace("FROM nation", "FROM {nation}"), nation=table(spark, sf_dir, "nation"))
-    return C.owners(links, sources.select("source_id", "ord", F.array("origin").alias("origins"), F.array("prefix").alias("prefixes"))).select("k", "url", "found_by", "owner")
+    prefixes = F.when(F.col("prefix") != "/", F.array("prefix"))
+    sources.select(F.col("source_id").alias("id"), F.col("ord").alias("crawlOrder"), F.array("origin").alias("allowedOrigins"), prefixes.alias("allowedPathPrefixes")).write.json(folder)
+    return C.owners(links, L.read_sources(spark, [folder], lines=True)).select("k", "url", "found_by", "owner")
+
+
+#: Outlines of a square for each supplier; those of a nation are the polygons of one shape, or one polygon where it has one supplier.
+_SQUARES = """
+SELECT concat('n', CAST(s_nationkey AS VARCHAR(9))) AS name, s_suppkey AS k, s_suppkey % 17 AS x, s_suppkey % 13 AS y, 1 + s_suppkey % 5 AS w, 1 + s_suppkey % 3 AS h FROM supplier
+"""
+
+
+def outline_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centres of shapes that are written as GeoJSON, a shape of at most as many polygons as a part on a line, and read back."""
+    folder = f"{shared_folder(spark)}/outlines-{uuid.uuid4().hex}"
+    s = spark.sql(_SQUARES.replace("FROM supplier", "FROM {supplier}"), supplier=table(spark, sf_dir, "supplier"))
+    at = lambda x, y: F.array((F.col("x") + x).cast("double"), (F.col("y") + y).cast("double"))
+    ring = F.array(at(0, 0), at(F.col("w"), 0), at(F.col("w"), F.col("h")), at(0, F.col("h")), at(0, 0))
+    shapes = s.groupBy("name", F.floor(F.col("k") / PART).alias("part")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", F.array(ring).alias("p")))), lambda z: z["p"]).alias("polygons"))
+    shapes = shapes.withColumn("name", F.concat("name", F.lit("/"), F.col("part").cast("string")))
+    single = F.size("polygons") == 1
+    text = F.when(single, F.to_json(F.col("polygons")[0])).otherwise(F.to_json("polygons"))
+    geometry = F.concat(F.lit('{"type": "'), F.when(single, "Polygon").otherwise("MultiPolygon"), F.lit('", "coordinates": '), text, F.lit("}"))
+    line = F.concat(F.lit('{"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"name": "'), F.col("name"), F.lit('"}, "geometry": '), geometry, F.lit("}]}"))
+    shapes.select(line.alias("value")).write.text(folder)
+    return D.centroids(D.read_outlines(spark, folder, lines=True)).select("name", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))
 
 
 ORACLES = {
+    "outline_centres": f"""SELECT name || '/' || (k // {PART}) AS name, round(arg_max(y + h / 2, (w * h, -k)), 6) AS lat, round(arg_max(x + w / 2, (w * h, -k)), 6) AS lng FROM ({_SQUARES}) GROUP BY name, k // {PART}""",
     "snapshot_pages": f"SELECT 's' || (page_id % 3) AS source_id, 0::INT AS source_ord, (row_number() OVER (PARTITION BY page_id % 3, page_id // {PART} ORDER BY page_id, url) - 1)::INT AS page_ord, page_id, url FROM pages",
     "candidate_files": """SELECT 'c' || c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 2 END::INT AS first_file, ((c_custkey % 2 = 0)::INT + (c_custkey % 3 = 0)::INT)::BIGINT AS files,
       CASE WHEN c_custkey % 6 = 0 THEN c_custkey % 4 = 0 END AS exclude, CASE WHEN c_custkey % 30 = 0 THEN false END AS active, c_custkey % 3 = 0 AS before FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0""",
@@ -75,4 +103,4 @@ ORACLES = {
       SELECT l.k, url, found_by, source_id AS owner FROM l LEFT JOIN j ON j.k = l.k AND r = 1""",
 }
 
-QUERIES = {f.__name__: f for f in (snapshot_pages, candidate_files, link_owners)}
+QUERIES = {f.__name__: f for f in (snapshot_pages, candidate_files, link_owners, outline_centres)}
