@@ -29,3 +29,14 @@ def test_sources(spark, tmp_path):
         (tmp_path / "bad.json").write_text(json.dumps(bad))
         with pytest.raises(Exception, match=message):
             L.read_sources(spark, [f"{tmp_path}/bad.json"]).collect()
+
+
+def test_centres_of_counties_without_an_anchor(spark):
+    found = spark.createDataFrame([(1, "ranked", 1, "a", ["Napa County, CA"]), (1, "ranked", 2, "b", ["Alameda County, CA"]), (1, "related", 1, "c", ["California"])], "sit_id long, section string, rank int, id string, service_area array<string>")
+    sit = spark.createDataFrame([(1, ("Kern County", 35.0, -119.0))], "sit_id long, location struct<county:string,lat:double,lng:double>")
+    centres = spark.createDataFrame([("Napa", 38.5, -122.3), ("Alameda", 1.0, 1.0), (None, 2.0, 2.0)], "name string, lat double, lng double")
+    of = lambda d: {r.id: (r.placement, r.centre) for r in d.collect()}
+    assert of(D.dots(found, sit)) == {"a": ("near_you", "near_you"), "b": ("county", "Alameda"), "c": ("near_you", "near_you")}
+    with_centres = D.dots(found, sit, centres)
+    assert of(with_centres) == {"a": ("county", "Napa"), "b": ("county", "Alameda"), "c": ("near_you", "near_you")}
+    assert all(abs(r.lat - {"Napa": 38.5, "Alameda": 37.8044, "near_you": 35.0}[r.centre]) < 0.05 for r in with_centres.collect())
