@@ -38,7 +38,7 @@ class Curation:
     totals: DataFrame
 
 
-def read_once(pages: DataFrame) -> tuple[DataFrame, dict]:
+def read_once(pages: DataFrame, whole: bool = False) -> tuple[DataFrame, dict]:
     """(records, counts): pages(page_id, url, html, and as far as there are source_id, status, content_type, depth) read in one scan and written down, with `code` where a page can't be used and its relevance; and what the scan counted on its way."""
     c = F.col
     given = {"source_id": F.lit(None).cast("string"), "status": F.lit(200), "content_type": F.lit("text/html"), "depth": F.lit(0)}
@@ -48,7 +48,7 @@ def read_once(pages: DataFrame) -> tuple[DataFrame, dict]:
     code = F.when(F.coalesce(c("status") != 200, F.lit(True)), HTTP).when(~F.coalesce(c("content_type").rlike(HTML_TYPES), F.lit(False)), UNSUPPORTED).when(outcome == "challenge", CHALLENGE)
     needs = C.page_outcome(c("html"), F.lit(""), F.lit(True)) == "script_shell"
     flagged = p.withColumns({"code": code, "needs_script": needs}).withColumn("html", F.when(c("code").isNull(), c("html")))
-    read = extract_pages(flagged, ("source_id", "status", "depth", "code", "needs_script"))
+    read = extract_pages(flagged, ("source_id", "status", "depth", "code", "needs_script"), whole)
     read = read.withColumn("code", F.when(c("code").isNull() & c("needs_script") & (c("text_size") < C.SHELL_SIZE), SCRIPT).otherwise(c("code"))).drop("needs_script")
     read = read.withColumn("relevance", F.when(c("code").isNull(), relevance(c("url"), c("title"), c("description"), c("headings"), c("text"), c("links"))))
 
@@ -81,14 +81,15 @@ def same_pages(good: DataFrame) -> DataFrame:
     return again.unionByName(done.select(c("id").alias("page_id"), outcome.alias("outcome"), reason.alias("reason"), F.when(~F.coalesce("kept", F.lit(False)), c("b.of")).alias("of")))
 
 
-def curate(pages: DataFrame, sources: DataFrame, depth: int = DEPTH) -> Curation:
+def curate(pages: DataFrame, sources: DataFrame, depth: int = DEPTH, whole: bool = False) -> Curation:
     """Curates pages(page_id, url, html, ...) of sources(source_id, ord, name, origins, prefixes, service_area, organization_from_title, skip_eligibility, category_by_path).
 
     The pages are read once; all results come from what was written then. A page without a status counts as fetched, one
     without a source as of the source whose scope it is in. Pages without rows give empty results.
+    whole: texts, links and headings of a page are read to their ends, as by extract_pages.
     """
     c = F.col
-    records, counts = read_once(pages)
+    records, counts = read_once(pages, whole)
     code = c("code")
     errors = records.filter(code.isin(HTTP, CHALLENGE, SCRIPT)).select("page_id", "url", "code", "status")
     good = records.filter(code.isNull())

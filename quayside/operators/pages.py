@@ -37,7 +37,7 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-def extract_pages(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def extract_pages(pages: DataFrame, keep: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
     """A record for each of pages(page_id, url, html), with the columns of `keep`; null html gives an empty record.
 
     The text is that of the main region: main elements, else articles, else an element named as content, else the body,
@@ -46,7 +46,7 @@ def extract_pages(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     whether they stand in a menu or in a section that leads elsewhere. content_hash is of title and whole text; anchors counts
     all links, repeated ones too.
 
-    What is kept is limited (60,000 characters of text, 1,000 links, 100 headings); `truncated` says where.
+    What is kept is limited (60,000 characters of text, 1,000 links, 100 headings), unless all is wanted (`whole`); `truncated` says where.
     """
     small_batches(pages.sparkSession)
     schema = to_arrow_schema(StructType.fromDDL(SCHEMA))
@@ -54,7 +54,7 @@ def extract_pages(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [read_page(u, h) for u, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            rows = [read_page(u, h, whole) for u, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[c] for r in rows], schema.field(c).type) for c in read), *batch.columns[3:]], [*schema.names, *keep])
 
     rows = pages.select(F.col("page_id").cast("long"), "url", "html", *keep)

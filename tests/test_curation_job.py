@@ -1,7 +1,7 @@
 """Fetched pages to programmes, on a few pages with known outcomes."""
 
 from quayside.operators import pages as P
-from quayside.operators.curate import curate
+from quayside.operators.curate import curate, read_once
 
 SOURCE = "source_id string, ord int, name string, origins array<string>, prefixes array<string>, service_area string, organization_from_title boolean, skip_eligibility boolean, category_by_path map<string,string>"
 PAGE = "page_id long, url string, html string, status int, content_type string, source_id string, depth int"
@@ -34,6 +34,12 @@ def test_outcomes_and_totals(spark):
     assert t == {"attempted": 11, "inspected": 7, "errors": 4, "unsupported": 1, "truncated": 0, "kept": 2, "skipped": 2, "duplicates": 2, "leads": 7, "candidates": 1, "uncategorised": 0}
 
 
+def test_long_pages_are_read_whole(spark):
+    pages = spark.createDataFrame([(1, "https://a.org/food", FOOD.format("Meals. " * 10_000), 200, "text/html", "a", 0)], PAGE)
+    assert [read_once(pages, whole)[1]["truncated"] for whole in (False, True)] == [1, 0]
+    assert read_once(pages, True)[0].first().text.endswith("Meals. " * 9_999 + "Meals.")
+
+
 def test_nothing_to_curate(spark):
     c = curate(spark.createDataFrame([], PAGE), spark.createDataFrame([], SOURCE))
     assert set(c.totals.first().asDict().values()) == {0} and c.outcomes.count() == c.candidates.count() == c.leads.count() == 0

@@ -86,6 +86,13 @@ def test_limits():
     assert len(r["links"]) == 1000 and r["links"][0]["url"].endswith("/apply") and r["truncated"]["links"]
 
 
+def test_whole_pages_have_no_limits():
+    menu = "".join(f'<a href="/menu/{i}">Menu {i}</a>' for i in range(1050))
+    r = read_page(URL, f"<nav>{menu}</nav><main>{'<h2>Food</h2>' * 120}<p>{'Text ' * 14_000}</p></main>", whole=True)
+    assert (len(r["text"]), len(r["headings"]), len(r["links"])) == (r["text_size"], 120, 1050) and r["text_size"] > 70_000
+    assert r["truncated"] == {"text": False, "excerpt": True, "headings": False, "links": False}
+
+
 def test_one_url_once():
     r = read_page(URL, '<nav><a href="/a">in a menu</a></nav><main><p>Before <a href="/a"></a> behind</p><a href="/b"> </a><a href="/b" title="named">x</a></main>')
     assert [(x["url"][-2:], x["text"], x["navigation"]) for x in r["links"]] == [("/a", "in a menu", True), ("/b", "x", False)]
