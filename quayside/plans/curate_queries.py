@@ -101,7 +101,7 @@ SELECT page_id, url, replace(html, '</article>', concat('<p>Call (408) 555-', lp
 
 
 def page_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = P.extract_pages(spark.sql(_CONTACTS.replace("FROM pages", "FROM {pages}"), pages=table(spark, sf_dir, "pages")))
+    r = P.extract_pages(spark.sql(_CONTACTS.replace("FROM pages", "FROM {pages}"), pages=table(spark, sf_dir, "pages")), whole=True)
     return r.select("page_id", F.array_join("phones", ",").alias("phones"), F.array_join("emails", ",").alias("emails"), F.length("text").alias("n_text"))
 
 
