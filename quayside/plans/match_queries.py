@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.income import status_of
 from ..operators import match as M
 from ..sources.derived import CATALOGUE_SQL, SITUATIONS_SQL, catalogue, situations
 from ..sources.dimensions import CATEGORIES, MEDIAN_INCOME, RELATED, SIZE_FACTORS
@@ -54,8 +53,7 @@ def distance_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def income_brackets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = M.pairs(*_both(spark, sf_dir))
-    return p.groupBy("sit_id", status_of(F.col("income_code")).alias("status")).agg(F.count("*").alias("n"))
+    return M.income_counts(*_both(spark, sf_dir))
 
 
 def docs_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
