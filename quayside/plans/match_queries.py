@@ -47,9 +47,7 @@ def match_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def distance_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = M.pairs(*_both(spark, sf_dir)).filter("not national and not statewide and miles is not null")
-    band = F.when(F.col("miles") <= 5, "near").when(F.col("miles") <= 15, "mid").otherwise("far")
-    return p.groupBy("sit_id", band.alias("band")).agg(F.count("*").alias("n"), F.round(F.max("miles"), 6).alias("most"))
+    return M.distance_counts(*_both(spark, sf_dir)).withColumn("most", F.round("most", 6))
 
 
 def income_brackets(spark: SparkSession, sf_dir: str) -> DataFrame:
