@@ -55,9 +55,7 @@ def income_brackets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def docs_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = M.pairs(*_both(spark, sf_dir)).filter(F.col("documents_available").isNotNull() & (F.size("required_documents") > 0))
-    missing = F.filter("required_documents", lambda d: ~F.array_contains(F.transform("documents_available", lambda h: F.lower(h)), F.lower(d)))
-    return p.select("sit_id", "id", F.array_join(missing, ",").alias("missing")).filter("missing <> ''").groupBy("sit_id", "missing").agg(F.count("*").alias("n"))
+    return M.missing_counts(*_both(spark, sf_dir))
 
 
 # -- equivalents -------------------------------------------------------------
