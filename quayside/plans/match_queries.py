@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import match as M
 from ..sources.derived import CATALOGUE_SQL, SITUATIONS_SQL, catalogue, situations
-from ..sources.dimensions import CATEGORIES, MEDIAN_INCOME, RELATED, SIZE_FACTORS
+from ..sources.dimensions import CATEGORIES, MEDIAN_INCOME, RELATED, RELATED_LIMIT, SIZE_FACTORS
 
 
 def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -37,7 +37,7 @@ def match_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def match_related_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.match(*_both(spark, sf_dir)).filter("section = 'related'").select("sit_id", "rank", "id", "score")
+    return M.best(*_both(spark, sf_dir), 0, RELATED_LIMIT).select("sit_id", "rank", "id", "score")
 
 
 def match_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
