@@ -59,6 +59,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df dealt by a key, so that a small file, whose rows cost much each, isn't one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def numbered(names: list[str], no):
     return F.when(no.isNotNull(), F.element_at(F.array(*map(F.lit, names)), (no + 1).cast("int")))
 
