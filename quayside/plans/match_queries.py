@@ -42,8 +42,7 @@ def match_related_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def match_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points and statuses summed by factor."""
-    m = M.match(*_both(spark, sf_dir)).select(F.explode("breakdown").alias("b"))
-    return m.groupBy(F.col("b.factor").alias("factor"), F.col("b.status").alias("status")).agg(F.count("*").alias("n"), F.sum("b.points").alias("points"))
+    return M.breakdown_totals(*_both(spark, sf_dir))
 
 
 def distance_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
