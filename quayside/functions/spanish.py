@@ -40,6 +40,8 @@ def rewritten(text: Column, rules: list[tuple[str, str]]) -> Column:
         if "$" in with_groups:
             text = F.regexp_replace(text, pattern, with_groups)
     every = "|".join(f"({p})" for p, _ in fixed)
+    if all(p.startswith(r"\b") for p, _ in fixed):  # said once, so that only the bounds of words are tried
+        every = rf"\b(?:{every})"
     hit = "\u0001" + "\u0002".join(f"${k + 1}" for k in range(len(fixed))) + "\u0001"
     parts = F.split(F.regexp_replace(F.regexp_replace(text, "[\u0001\u0002]", ""), every, hit), "\u0001")
     words = F.array(*(F.lit(r) for _, r in fixed))

@@ -9,7 +9,7 @@ from ..functions import relevance as R
 from ..functions import rules
 from ..functions import spanish as S
 from ..functions import text as T
-from ..sources.derived import CATALOGUE_SQL, SITUATIONS_SQL, catalogue, table
+from ..sources.derived import CATALOGUE_SQL, SITUATIONS_SQL, catalogue, dealt, table
 
 #: A text for each situation; what is null isn't said.
 _SAY = """
@@ -56,7 +56,7 @@ def _spanish_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spanish_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spanish texts in English phrases; every other one is English, and stays."""
     both = _spanish_texts(spark, sf_dir).unionByName(texts(spark, sf_dir).withColumn("key", -F.col("key")))
-    return both.select("key", S.looks_spanish(F.col("text")).alias("spanish"), T.normalize(F.col("text")).alias("normal"))
+    return dealt(both, "key").select("key", S.looks_spanish(F.col("text")).alias("spanish"), T.normalize(F.col("text")).alias("normal"))
 
 
 def spanish_situations(spark: SparkSession, sf_dir: str) -> DataFrame:
