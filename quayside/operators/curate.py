@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -24,18 +24,74 @@ UNSUPPORTED, SCRIPT_LEAD = "unsupported_content_type", "javascript_required"
 REDIRECT, SAME_CONTENT, SAME_PROGRAM = "redirect", "same_content", "same_program_name_and_description"
 
 
-@dataclass
 class Curation:
-    """outcomes(page_id, outcome, reason, of): kept, duplicate, irrelevant, error or lead, one row for each page; errors(page_id, url, code, status); leads(url, found_from, reason, kind, text); skipped(page_id, url, title, reason); records: the kept pages; candidates and links: merged programmes and where they lead; totals: one row."""
+    """outcomes(page_id, outcome, reason, of): kept, duplicate, irrelevant, error or lead, one row for each page; errors(page_id, url, code, status); leads(url, found_from, reason, kind, text); skipped(page_id, url, title, reason); records: the kept pages; candidates and links: merged programmes and where they lead; totals: one row.
 
-    outcomes: DataFrame
-    errors: DataFrame
-    leads: DataFrame
-    skipped: DataFrame
-    records: DataFrame
-    candidates: DataFrame
-    links: DataFrame
-    totals: DataFrame
+    The pages are read at once; each result is made when it is first asked for, and then stays, so that who wants one
+    doesn't wait for the others.
+    """
+
+    def __init__(self, read: DataFrame, counts: dict, sources: DataFrame, depth: int):
+        self._read, self._counts, self._sources, self._depth = read, counts, sources, depth
+        self._good = read.filter(F.col("code").isNull())
+
+    @cached_property
+    def _judged(self) -> DataFrame:
+        return checkpointed(same_pages(self._good))
+
+    @cached_property
+    def outcomes(self) -> DataFrame:
+        code = F.col("code")
+        return self._judged.unionByName(self._read.filter(code.isNotNull()).select("page_id", F.when(code == UNSUPPORTED, "lead").otherwise("error").alias("outcome"), code.alias("reason"), F.lit(None).cast("long").alias("of")))
+
+    @cached_property
+    def errors(self) -> DataFrame:
+        return self._read.filter(F.col("code").isin(HTTP, CHALLENGE, SCRIPT)).select("page_id", "url", "code", "status")
+
+    @cached_property
+    def leads(self) -> DataFrame:
+        """Leads among the links of every page that was read, kept or not, and pages that can't be read."""
+        c, code = F.col, F.col("code")
+        once = first_fetched(self._good.select("page_id", "url", "source_id", "depth", "links")).filter("page_id = first")
+        here = once.select("page_id", c("url").alias("found_from"), "source_id", "depth")
+        links = page_links(once).drop("kind").join(here, "page_id").withColumnsRenamed({"source_id": "found_by"})
+        owned = C.owners(links.withColumn("depth", c("depth") + 1), self._sources)
+        pending = self._read.filter(code.isin(UNSUPPORTED, SCRIPT)).select(normalize_url(c("url")).alias("url"), F.lit(None).cast("string").alias("found_from"), F.when(code == SCRIPT, SCRIPT_LEAD).otherwise(UNSUPPORTED).alias("reason"), F.lit("page").alias("kind"), F.coalesce("title", F.lit("")).alias("text"))
+        return checkpointed(leads_of(owned, self._depth).unionByName(pending.filter("url is not null").dropDuplicates(["url", "reason"])))
+
+    @cached_property
+    def records(self) -> DataFrame:
+        return self._read.join(self._judged.filter("outcome = 'kept'").select("page_id"), "page_id", "left_semi")
+
+    @cached_property
+    def _merged(self) -> tuple[DataFrame, DataFrame]:
+        c = F.col
+        own = C.owners(self.records.select("page_id", normalize_url(c("url")).alias("url"), c("source_id").alias("found_by")), self._sources).select("page_id", "owner")
+        named = self.records.join(own, "page_id").withColumn("source_id", F.coalesce("source_id", "owner")).withColumn("ord", c("page_id"))
+        # one page of each canonical url and content
+        home = F.array(F.concat(F.lit("c"), F.coalesce("canonical", "url")), F.concat(F.lit("t"), "content_hash"))
+        once = first_seen(named.select(c("page_id").alias("id"), "ord", F.explode(home).alias("key"))).filter("kept").select(c("id").alias("page_id"))
+        made = checkpointed(C.make_candidates(named.join(once, "page_id", "left_semi"), self._sources))
+        merged, linked = C.merge_candidates(made)
+        return checkpointed(merged), linked
+
+    @property
+    def candidates(self) -> DataFrame:
+        return self._merged[0]
+
+    @property
+    def links(self) -> DataFrame:
+        return self._merged[1]
+
+    @cached_property
+    def skipped(self) -> DataFrame:
+        return self._good.join(self._judged.filter("outcome = 'irrelevant'").select("page_id"), "page_id", "left_semi").select("page_id", "url", "title", F.col("relevance.reason").alias("reason"))
+
+    @cached_property
+    def totals(self) -> DataFrame:
+        n = {r[0]: r[1] for r in self._judged.groupBy("outcome").count().collect()}
+        totals = self._counts | {"kept": n.get("kept", 0), "skipped": n.get("irrelevant", 0), "duplicates": n.get("duplicate", 0), "leads": self.leads.count(), "candidates": self.candidates.count(), "uncategorised": self.candidates.filter("category is null").count()}
+        return self._read.sparkSession.createDataFrame([tuple(totals.values())], ", ".join(f"{k} long" for k in totals))
 
 
 def read_once(pages: DataFrame, whole: bool = False) -> tuple[DataFrame, dict]:
@@ -61,12 +117,16 @@ def read_once(pages: DataFrame, whole: bool = False) -> tuple[DataFrame, dict]:
     return checkpointed(counted), dict(seen.get)
 
 
+def first_fetched(good: DataFrame) -> DataFrame:
+    """good with `first`, the least page_id of its url; a page without a url in normal form is its own."""
+    place = good.withColumn("_url", F.coalesce(normalize_url(F.col("url")), F.concat(F.lit("#"), F.col("page_id").cast("string"))))
+    return place.join(place.groupBy("_url").agg(F.min("page_id").alias("first")), "_url").drop("_url")
+
+
 def same_pages(good: DataFrame) -> DataFrame:
     """(page_id, outcome, reason, of) of usable records, in the order of page_id: a later page of one url is a duplicate; then, one that has the text or the name and description of a kept page before it; others are kept if relevant. What isn't kept marks nothing."""
     c = F.col
-    place = good.withColumn("_url", F.coalesce(normalize_url(c("url")), F.concat(F.lit("#"), c("page_id").cast("string"))))
-    firsts = place.groupBy("_url").agg(F.min("page_id").alias("first"))
-    placed = checkpointed(place.join(firsts, "_url").select("page_id", "first", "url", "title", "description", "excerpt", "content_hash", "text_size", c("relevance.relevant").alias("relevant")))
+    placed = checkpointed(first_fetched(good.select("page_id", "url", "title", "description", "excerpt", "content_hash", "text_size", c("relevance.relevant").alias("relevant"))))
     again = placed.filter("page_id <> first").select("page_id", F.lit("duplicate").alias("outcome"), F.lit(REDIRECT).alias("reason"), c("first").alias("of"))
     rest = placed.filter("page_id = first")
     keys = checkpointed(page_keys(rest).join(rest.select(c("page_id").alias("id"), "relevant"), "id").filter("not startswith(coalesce(key, ''), 'u')"))
@@ -88,34 +148,4 @@ def curate(pages: DataFrame, sources: DataFrame, depth: int = DEPTH, whole: bool
     without a source as of the source whose scope it is in. Pages without rows give empty results.
     whole: texts, links and headings of a page are read to their ends, as by extract_pages.
     """
-    c = F.col
-    records, counts = read_once(pages, whole)
-    code = c("code")
-    errors = records.filter(code.isin(HTTP, CHALLENGE, SCRIPT)).select("page_id", "url", "code", "status")
-    good = records.filter(code.isNull())
-    judged = checkpointed(same_pages(good))
-    outcomes = judged.unionByName(records.filter(code.isNotNull()).select("page_id", F.when(code == UNSUPPORTED, "lead").otherwise("error").alias("outcome"), code.alias("reason"), F.lit(None).cast("long").alias("of")))
-
-    # links of every page that was read, kept or not
-    read = good.join(judged.filter(f"reason is null or reason <> '{REDIRECT}'").select("page_id"), "page_id", "left_semi")
-    here = read.select("page_id", c("url").alias("found_from"), "source_id", "depth")
-    links = page_links(read).drop("kind").join(here, "page_id").withColumnsRenamed({"source_id": "found_by"})
-    owned = C.owners(links.withColumn("depth", c("depth") + 1), sources)
-    pending = records.filter(code.isin(UNSUPPORTED, SCRIPT)).select(normalize_url(c("url")).alias("url"), F.lit(None).cast("string").alias("found_from"), F.when(code == SCRIPT, SCRIPT_LEAD).otherwise(UNSUPPORTED).alias("reason"), F.lit("page").alias("kind"), F.coalesce("title", F.lit("")).alias("text"))
-    leads = checkpointed(leads_of(owned, depth).unionByName(pending.filter("url is not null").dropDuplicates(["url", "reason"])))
-
-    kept = records.join(judged.filter("outcome = 'kept'").select("page_id"), "page_id", "left_semi")
-    own = C.owners(kept.select("page_id", normalize_url(c("url")).alias("url"), c("source_id").alias("found_by")), sources).select("page_id", "owner")
-    named = kept.join(own, "page_id").withColumn("source_id", F.coalesce("source_id", "owner")).withColumn("ord", c("page_id"))
-    # one page of each canonical url and content
-    home = F.array(F.concat(F.lit("c"), F.coalesce("canonical", "url")), F.concat(F.lit("t"), "content_hash"))
-    once = first_seen(named.select(c("page_id").alias("id"), "ord", F.explode(home).alias("key"))).filter("kept").select(c("id").alias("page_id"))
-    made = checkpointed(C.make_candidates(named.join(once, "page_id", "left_semi"), sources))
-    merged, linked = C.merge_candidates(made)
-    merged = checkpointed(merged)
-
-    skipped = good.join(judged.filter("outcome = 'irrelevant'").select("page_id"), "page_id", "left_semi").select("page_id", "url", "title", c("relevance.reason").alias("reason"))
-    n = {r[0]: r[1] for r in judged.groupBy("outcome").count().collect()}
-    totals = counts | {"kept": n.get("kept", 0), "skipped": n.get("irrelevant", 0), "duplicates": n.get("duplicate", 0), "leads": leads.count(), "candidates": merged.count(), "uncategorised": merged.filter("category is null").count()}
-    row = pages.sparkSession.createDataFrame([tuple(totals.values())], ", ".join(f"{k} long" for k in totals))
-    return Curation(outcomes, errors, leads, skipped, kept, merged, linked, row)
+    return Curation(*read_once(pages, whole), sources, depth)

@@ -1,5 +1,6 @@
 """Fetched pages to programmes, on a few pages with known outcomes."""
 
+from quayside.operators import candidates as C
 from quayside.operators import pages as P
 from quayside.operators.curate import curate, read_once
 
@@ -40,6 +41,19 @@ def test_long_pages_are_read_whole(spark):
     assert read_once(pages, True)[0].first().text.endswith("Meals. " * 9_999 + "Meals.")
 
 
+def test_a_result_does_not_wait_for_others(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError
+
+    monkeypatch.setattr(C, "make_candidates", never)
+    rows = [(1, "https://a.org/food", FOOD.format('<a href="/form.pdf">Apply</a>'), 200, "text/html", "a", 0), (2, "https://a.org/food#b", FOOD.format('<a href="/other.pdf">Apply</a>'), 200, "text/html", "a", 0)]
+    sources = spark.createDataFrame([("a", 1, "Hall", ["https://a.org"], ["/"], "California", False, False, None)], SOURCE)
+    c = curate(spark.createDataFrame(rows, PAGE), sources)
+    assert {(r.page_id, r.outcome, r.of) for r in c.outcomes.collect()} == {(1, "kept", None), (2, "duplicate", 1)}
+    monkeypatch.setattr("quayside.operators.curate.same_pages", never)
+    assert [r.url for r in curate(spark.createDataFrame(rows, PAGE), sources).leads.collect()] == ["https://a.org/form.pdf"]
+
+
 def test_nothing_to_curate(spark):
     c = curate(spark.createDataFrame([], PAGE), spark.createDataFrame([], SOURCE))
     assert set(c.totals.first().asDict().values()) == {0} and c.outcomes.count() == c.candidates.count() == c.leads.count() == 0

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quayside.functions.relevance import category, relevance
+from quayside.functions.relevance import category, relevance, whole_words
 
 SCHEMA = "url string, title string, description string, headings array<string>, text string, links array<struct<url:string,text:string,navigation:boolean,context:string,related:boolean>>"
 
@@ -31,3 +31,13 @@ def test_relevance(spark, page, relevant, topics):
 ])
 def test_category(spark, url, name, text, want):
     assert spark.createDataFrame([(url, name, text)], "u string, n string, d string").select(category(F.col("u"), F.col("n"), F.col("d"))).first()[0] == want
+
+
+def test_letters_that_no_word_begins_with_are_passed_over():
+    assert whole_words("rent(?:al|s)?|(?<!no )housing") == r"(?i)(?=[hr])\b(?:rent(?:al|s)?|(?<!no )housing)\b"
+    assert whole_words("(?:a|b)c|d") == r"(?i)\b(?:(?:a|b)c|d)\b"
+
+
+def test_terms_of_all_fields_in_their_order(spark):
+    r = judged(spark, title="Hearing", headings=["aids services"], description="SNAP for tenants", text="Meals; apply or get help. Food for tenants")
+    assert r.matched_terms == ["tenants", "snap", "aids services", "apply", "services", "get help"] and r.topics == ["rental_assistance", "food", "hiv_aids"]
